@@ -30,24 +30,27 @@ def skew_join(
     how: str = "inner",
     rows_per_split: int = ROWS_PER_SPLIT,
     hot: DataFrame | None = None,
+    hot_on: Sequence[str] | None = None,
 ) -> DataFrame:
     """Equi-join with hot keys of ``left`` salted and the matching rows of ``right`` repeated per salt.
 
     The salt is a hash of the left row, so a retried task salts alike. The hot-key table is broadcast: it has
-    at most (left rows / rows_per_split) rows. ``how`` may be inner, left, left_semi or left_anti.
+    at most (left rows / rows_per_split) rows. ``how`` may be inner, left, left_semi or left_anti. A caller that
+    knows the hot keys passes them as ``hot``, over the columns ``hot_on`` (part of the join key, default all).
     """
     keys = [on] if isinstance(on, str) else list(on)
+    hot_on = list(hot_on) if hot_on else keys
     if hot is None:
-        hot = hot_keys(left, keys, rows_per_split)
+        hot = hot_keys(left, hot_on, rows_per_split)
     hot = F.broadcast(hot)
     any_null = F.lit(False)
     for key in keys:
         any_null = any_null | F.col(key).isNull()
     spread = F.xxhash64(*[F.col(c) for c in left.columns])
     salt = F.when(any_null, F.pmod(spread, F.lit(1024))).otherwise(F.pmod(spread, F.coalesce(F.col("_splits"), F.lit(1))))
-    salted = left.join(hot, keys, "left").withColumn("_salt", salt.cast("int")).drop("_splits")
+    salted = left.join(hot, hot_on, "left").withColumn("_salt", salt.cast("int")).drop("_splits")
     repeated = (
-        right.join(hot, keys, "left")
+        right.join(hot, hot_on, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_splits"), F.lit(1)) - 1)))
         .drop("_splits")
     )

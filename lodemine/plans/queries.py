@@ -1,0 +1,463 @@
+"""Registered queries: each operator run over the whole test tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodemine.operators import bfr, explore, graph, itemsets, recommend, similarity, sketches
+from lodemine.plans import views
+from lodemine.session import checkpoint, scratch_path
+from lodemine.sources import sinks
+from lodemine.sources.readers import table
+from lodemine.streaming import sketches as live
+
+Query = Callable[[SparkSession, str], DataFrame]
+REGISTRY: dict[str, Query] = {}
+
+YEAR = 1998
+BLOOM_BITS, BLOOM_HASHES = 499, 2
+BATCH = 1000
+SON_CHUNKS = 4
+SON_SHARE, RETAIL_SHARE = 4, 3  # support in thousandths of the baskets
+PAIR_SHARE = 22  # about half of the brand pairs
+RETAIL_MIN_ROWS = 3
+CATEGORY_WORD = "7"
+
+
+def register(fn: Query) -> Query:
+    REGISTRY[fn.__name__] = fn
+    return fn
+
+
+def r6(column: Column | str) -> Column:
+    return F.round(F.col(column) if isinstance(column, str) else column, 6)
+
+
+def joined(column: str) -> Column:
+    return F.array_join(F.col(column).cast("array<string>"), ",")
+
+
+# --- exploration -----------------------------------------------------------------------------------------------
+
+
+@register
+def review_summary(spark, folder):
+    s = explore.summary(views.reviews(spark, folder), "user", "item", "date", YEAR)
+
+    def text(c: str) -> Column:
+        return F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["key"].cast("string"), x["cnt"].cast("string"))), ",").alias(c)
+
+    return s.select("n_review", "n_review_year", "n_user", text("top_users"), "n_item", text("top_items"))
+
+
+@register
+def top_users(spark, folder):
+    return explore.top_k(views.reviews(spark, folder), "user")
+
+
+@register
+def top_items(spark, folder):
+    return explore.top_k(views.reviews(spark, folder), "item")
+
+
+@register
+def top_items_repartitioned(spark, folder):
+    return explore.top_k(views.reviews(spark, folder).select("item").repartition(2), "item")
+
+
+@register
+def partition_layout(spark, folder):
+    return explore.partition_layout(views.reviews(spark, folder).select("item"), 2)
+
+
+@register
+def partition_totals(spark, folder):
+    """The row total is the same whatever the layout."""
+    rows = views.reviews(spark, folder).select("item")
+    laid_out = explore.partition_layout(rows, 2).agg(F.count(F.lit(1)).alias("n_partition"), F.sum("n_items").alias("n_items"))
+    return laid_out
+
+
+def _city_means(spark, folder):
+    return explore.group_mean(views.reviews(spark, folder), views.cities(spark, folder), "item", "city", "stars")
+
+
+@register
+def city_avg_stars(spark, folder):
+    return explore.ranked_groups(_city_means(spark, folder), "city").select("city", r6("avg_value").alias("stars"))
+
+
+@register
+def top_cities(spark, folder):
+    return explore.top_groups(_city_means(spark, folder), "city").select("city", r6("avg_value").alias("stars"))
+
+
+@register
+def json_props_sum(spark, folder):
+    return explore.map_values_sum(table(spark, folder, "events"), "user_id", "props")
+
+
+# --- frequent itemsets -----------------------------------------------------------------------------------------
+
+
+def _brand_baskets(spark, folder):
+    return checkpoint(itemsets.baskets(views.brand_rows(spark, folder), "order", "brand"))
+
+
+def _support(b: DataFrame, share: int) -> int:
+    return max(1, b.select("basket").distinct().count() * share // 1000)
+
+
+def _flat(sets: DataFrame) -> DataFrame:
+    return sets.withColumn("itemset", joined("itemset"))
+
+
+@register
+def son_candidates(spark, folder):
+    b = _brand_baskets(spark, folder)
+    return _flat(itemsets.son_candidates(b, _support(b, SON_SHARE), SON_CHUNKS, max_k=3))
+
+
+@register
+def son_frequent(spark, folder):
+    b = _brand_baskets(spark, folder)
+    return _flat(itemsets.frequent_itemsets(b, _support(b, SON_SHARE), max_k=3, chunks=SON_CHUNKS))
+
+
+@register
+def fpgrowth_frequent(spark, folder):
+    b = _brand_baskets(spark, folder)
+    return _flat(itemsets.frequent_itemsets(b, _support(b, SON_SHARE), max_k=3, backend="fpgrowth"))
+
+
+@register
+def apriori_triples(spark, folder):
+    b = _brand_baskets(spark, folder)
+    pairs = itemsets.frequent_itemsets(b, _support(b, PAIR_SHARE), max_k=2, backend="fpgrowth")
+    return _flat(itemsets.extend_candidates(pairs, 2))
+
+
+@register
+def retail_frequent(spark, folder):
+    b = checkpoint(itemsets.baskets(views.retail_rows(spark, folder), ["day", "customer"], "product", RETAIL_MIN_ROWS))
+    return _flat(itemsets.frequent_itemsets(b, _support(b, RETAIL_SHARE), max_k=3, chunks=SON_CHUNKS))
+
+
+@register
+def itemset_report(spark, folder):
+    b = _brand_baskets(spark, folder)
+    found = itemsets.frequent_itemsets(b, _support(b, SON_SHARE), max_k=2, backend="fpgrowth")
+    return itemsets.itemset_lines({"Frequent Itemsets": found}).select("section", "size", "segment", "line")
+
+
+# --- similarity ------------------------------------------------------------------------------------------------
+
+
+def _words(spark, folder):
+    return similarity.words(table(spark, folder, "documents"), "doc_id", "text")
+
+
+@register
+def minhash_signature(spark, folder):
+    return similarity.minhash(_words(spark, folder), "doc_id", "word")
+
+
+@register
+def jaccard_copies(spark, folder):
+    return similarity.set_groups(_words(spark, folder), "doc_id", "word")
+
+
+def _similar(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("similarity", r6("similarity"))
+
+
+@register
+def lsh_pairs(spark, folder):
+    return _similar(similarity.lsh_pairs(_words(spark, folder), "doc_id", "word"))
+
+
+@register
+def jaccard_pairs(spark, folder):
+    return _similar(similarity.jaccard_pairs(_words(spark, folder), "doc_id", "word"))
+
+
+# --- recommendation --------------------------------------------------------------------------------------------
+
+
+def _train_test(spark, folder):
+    return checkpoint(views.ratings(spark, folder, test=False)), checkpoint(views.ratings(spark, folder, test=True))
+
+
+def _sims(train: DataFrame) -> DataFrame:
+    return checkpoint(recommend.item_similarity(train))
+
+
+@register
+def item_pearson(spark, folder):
+    sims = recommend.item_similarity(views.ratings(spark, folder, test=False))
+    return sims.withColumn("weight", r6("weight"))
+
+
+@register
+def cf_predict(spark, folder):
+    train, test = _train_test(spark, folder)
+    return recommend.cf_predict(train, test, _sims(train)).withColumn("prediction", r6("prediction"))
+
+
+@register
+def cf_rmse(spark, folder):
+    train, test = _train_test(spark, folder)
+    return recommend.rmse(recommend.cf_predict(train, test, _sims(train)), test).withColumn("rmse", r6("rmse"))
+
+
+def _profiles(spark, folder):
+    """User and item profile tables with counts and means over all reviews."""
+    all_reviews = views.reviews(spark, folder)
+
+    def profile(key: str) -> DataFrame:
+        return all_reviews.groupBy(key).agg(F.count(F.lit(1)).alias("review_count"), F.avg("stars").alias("stars"))
+
+    useful = table(spark, folder, "customer").select(F.col("c_custkey").alias("user"), F.floor("c_acctbal").cast("bigint").alias("useful"))
+    users = profile("user").withColumnRenamed("stars", "average_stars").join(useful, "user", "left")
+    items = profile("item").join(views.cities(spark, folder).select("item", "state", "categories"), "item", "left")
+    return users, items
+
+
+def _side_facts(spark, folder):
+    """Tips (user, item), photos (item) and check-ins (item, n) from the event table."""
+    events = table(spark, folder, "events")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    tips = events.where("event_type = 'click'").select(F.col("user_id").alias("user"), k.alias("item"))
+    photos = events.where("event_type = 'view'").select(k.alias("item"))
+    checkins = explore.map_values_sum(events, "user_id", "props", "n").withColumnRenamed("user_id", "item")
+    return tips, photos, checkins
+
+
+def _wide(spark, folder, pairs):
+    users, items = _profiles(spark, folder)
+    tips, photos, checkins = _side_facts(spark, folder)
+    levels = recommend.level_list(views.cities(spark, folder), "state")
+    return recommend.wide_features(pairs, users, items, tips, photos, checkins, levels, CATEGORY_WORD)
+
+
+def _rounded_features(features: DataFrame) -> DataFrame:
+    rounded = [c for c in ("rating", "user_stars", "item_stars") if c in features.columns]
+    return features.select(*[r6(c).alias(c) if c in rounded else c for c in features.columns])
+
+
+@register
+def features_basic(spark, folder):
+    users, items = _profiles(spark, folder)
+    return _rounded_features(recommend.basic_features(views.ratings(spark, folder, test=True), users, items))
+
+
+@register
+def features_wide(spark, folder):
+    return _rounded_features(_wide(spark, folder, views.ratings(spark, folder, test=True)))
+
+
+def _model_based(spark, folder):
+    train, test = _train_test(spark, folder)
+    model = recommend.fit_rating_model(checkpoint(_wide(spark, folder, train)))
+    return recommend.predict_rating(model, _wide(spark, folder, test)), test
+
+
+@register
+def gbt_predict(spark, folder):
+    return _model_based(spark, folder)[0]
+
+
+@register
+def gbt_rmse(spark, folder):
+    predictions, test = _model_based(spark, folder)
+    return recommend.rmse(predictions, test)
+
+
+@register
+def hybrid_blend(spark, folder):
+    """Blend of the neighbour prediction with the item mean as the model part, which keeps it checkable by SQL."""
+    train, test = _train_test(spark, folder)
+    sims = _sims(train)
+    users, items = _profiles(spark, folder)
+    counts = recommend.basic_features(test, users, items).select("user", "item", "user_review_cnt", "item_review_cnt")
+    means = recommend.item_means(train)
+    model_based = recommend.skew_join(test.select("user", "item"), means, "item", "left").select(
+        "user", "item", F.coalesce("item_mean", F.lit(3.0)).alias("prediction")
+    )
+    out = recommend.blend(recommend.cf_parts(train, test, sims), model_based, counts)
+    return out.select("user", "item", r6("alpha").alias("alpha"), r6("prediction").alias("prediction"))
+
+
+@register
+def hybrid_predict(spark, folder):
+    """The blend with the boosted-tree model."""
+    predictions, test = _model_based(spark, folder)
+    train = checkpoint(views.ratings(spark, folder, test=False))
+    users, items = _profiles(spark, folder)
+    counts = recommend.basic_features(test, users, items).select("user", "item", "user_review_cnt", "item_review_cnt")
+    return recommend.blend(recommend.cf_parts(train, test, _sims(train)), predictions, counts)
+
+
+# --- graph -----------------------------------------------------------------------------------------------------
+
+
+def _edges(spark, folder):
+    threshold = views.activity_threshold(spark, folder)
+    return graph.co_occurrence_edges(views.activity(spark, folder), "user", "item", threshold)
+
+
+@register
+def graph_edges(spark, folder):
+    return _edges(spark, folder)
+
+
+@register
+def graph_degree(spark, folder):
+    return graph.degrees(_edges(spark, folder))
+
+
+@register
+def label_propagation(spark, folder):
+    return graph.label_propagation(_edges(spark, folder))
+
+
+@register
+def community_lines(spark, folder):
+    return graph.community_lines(checkpoint(graph.label_propagation(_edges(spark, folder))))
+
+
+@register
+def connected_components(spark, folder):
+    return graph.connected_components(_edges(spark, folder))
+
+
+@register
+def edge_betweenness(spark, folder):
+    return graph.edge_betweenness(_edges(spark, folder)).withColumn("betweenness", r6("betweenness"))
+
+
+@register
+def modularity(spark, folder):
+    """Modularity of the partition by id modulo 3."""
+    edges = checkpoint(_edges(spark, folder))
+    partition = graph.vertices_of(edges).withColumn("community", F.col("id") % 3)
+    return graph.modularity(partition, edges).withColumn("modularity", r6("modularity"))
+
+
+@register
+def girvan_newman(spark, folder):
+    return graph.community_members(graph.girvan_newman(_edges(spark, folder)).partition)
+
+
+# --- chunked clustering ----------------------------------------------------------------------------------------
+
+
+def _labelled(spark, folder):
+    return views.points(spark, folder).withColumn("cluster", F.col("truth").cast("bigint"))
+
+
+@register
+def bfr_cluster_stats(spark, folder):
+    stats = bfr.cluster_stats(_labelled(spark, folder))
+    return stats.select("cluster", "n", F.posexplode(F.arrays_zip("sum", "sumsq")).alias("dim", "v")).select(
+        "cluster", "n", "dim", r6("v.sum").alias("sum"), r6("v.sumsq").alias("sumsq")
+    )
+
+
+@register
+def bfr_merge_stats(spark, folder):
+    """Summaries of the even and the odd points, merged."""
+    p = _labelled(spark, folder)
+    merged = bfr.merge_stats(bfr.cluster_stats(p.where("id % 2 = 0")), bfr.cluster_stats(p.where("id % 2 = 1")))
+    return merged.select("cluster", "n", F.posexplode(F.arrays_zip("sum", "sumsq")).alias("dim", "v")).select(
+        "cluster", "n", "dim", r6("v.sum").alias("sum"), r6("v.sumsq").alias("sumsq")
+    )
+
+
+@register
+def bfr_assign(spark, folder):
+    p = views.points(spark, folder)
+    summaries = bfr.Summaries.collect(bfr.cluster_stats(_labelled(spark, folder)), 64)
+    return bfr.assign_nearest(p, summaries, radius=1.0).withColumn("distance", r6("distance"))
+
+
+@register
+def bfr_cluster_dist(spark, folder):
+    stats = bfr.cluster_stats(_labelled(spark, folder))
+    return bfr.cluster_distance(stats, stats).withColumn("distance", r6("distance"))
+
+
+@register
+def bfr_rounds(spark, folder):
+    return bfr.bfr(views.points(spark, folder), k=10).rounds
+
+
+@register
+def bfr_labels(spark, folder):
+    return bfr.bfr(views.points(spark, folder), k=10).labels
+
+
+# --- stream sketches -------------------------------------------------------------------------------------------
+
+
+@register
+def bloom_seen(spark, folder):
+    return sketches.bloom_seen(views.event_stream(spark, folder), "id", "seq", BLOOM_BITS, BLOOM_HASHES)
+
+
+@register
+def bloom_fpr(spark, folder):
+    out = sketches.bloom_fpr(views.event_stream(spark, folder), "id", "seq", 50, BLOOM_BITS, BLOOM_HASHES)
+    return out.withColumn("fpr", r6("fpr"))
+
+
+@register
+def fm_estimate(spark, folder):
+    stream = views.part_stream(spark, folder).withColumn("batch", sketches.batch_number("seq", BATCH))
+    return sketches.fm_distinct(stream, "id", "batch")
+
+
+@register
+def reservoir_sample(spark, folder):
+    return sketches.reservoir(views.part_stream(spark, folder), "id", "seq")
+
+
+@register
+def reservoir_snapshots(spark, folder):
+    return sketches.reservoir_snapshots(views.part_stream(spark, folder), "id", "seq", BATCH)
+
+
+def _event_files(spark, folder):
+    schema = table(spark, folder, "events").schema
+    raw = live.read_stream(spark, folder, schema, only="events.parquet")
+    ids = raw.select((F.col("event_id") + 1).alias("seq"), F.col("user_id").cast("string").alias("id"), "ts")
+    return ids.withColumn("window", sketches.batch_number("seq", BATCH))
+
+
+@register
+def stream_fm_windows(spark, folder):
+    return live.stream_fm_windows(_event_files(spark, folder), "id", scratch_path(spark, "fm"))
+
+
+@register
+def stream_bloom_seen(spark, folder):
+    return live.stream_bloom_seen(_event_files(spark, folder), "id", "seq", scratch_path(spark, "bloom"), BLOOM_BITS, BLOOM_HASHES)
+
+
+@register
+def stream_reservoir(spark, folder):
+    return live.stream_reservoir(_event_files(spark, folder), "id", "seq", scratch_path(spark, "reservoir"))
+
+
+@register
+def stream_event_windows(spark, folder):
+    out = live.stream_event_windows(_event_files(spark, folder), "ts", "id", scratch_path(spark, "windows"))
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "n")
+
+
+@register
+def betweenness_report(spark, folder):
+    return sinks.betweenness_lines(graph.edge_betweenness(_edges(spark, folder)))

@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemine.session import checkpoint
+from lodemine.session import materialize
 
 # Summaries are held in every task: clusters times dimensions is checked against this many values.
 MAX_SUMMARY_VALUES = 20_000_000
@@ -220,7 +220,7 @@ class Clustering:
 def _k_means(points: DataFrame, k: int, seed: int) -> DataFrame:
     vectors = points.withColumn("_vector", array_to_vector("features"))
     model = KMeans(k=max(k, 2), seed=seed, featuresCol="_vector", predictionCol="cluster", maxIter=20).fit(vectors)
-    return checkpoint(model.transform(vectors).select("id", "features", F.col("cluster").cast("bigint").alias("cluster")))
+    return materialize(model.transform(vectors).select("id", "features", F.col("cluster").cast("bigint").alias("cluster")))
 
 
 def _split_singles(clustered: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -248,7 +248,7 @@ def bfr(
     compression clusters, and no point is left out).
     """
     spark: SparkSession = points.sparkSession
-    base = checkpoint(
+    base = materialize(
         points.select("id", F.col("features").cast("array<double>").alias("features")).withColumn(
             "_chunk", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(chunks)).cast("int")
         )
@@ -277,20 +277,20 @@ def bfr(
     def compress(retained: DataFrame) -> DataFrame:
         """Cluster the retained points; clusters of several points move to the compression set."""
         nonlocal compressed, next_key
-        retained = checkpoint(retained.select("id", "features"))
+        retained = materialize(retained.select("id", "features"))
         n = retained.count()
         if n < 2:
             return retained
         centres = min(max(1, int(rs_factor * n)), max_rs_clusters)
         grouped, alone = _split_singles(_k_means(retained, centres, seed))
-        grouped = checkpoint(grouped.withColumn("cluster", F.col("cluster") + next_key))
+        grouped = materialize(grouped.withColumn("cluster", F.col("cluster") + next_key))
         fresh = Summaries.collect(cluster_stats(grouped), dims)
         if fresh.keys:
             current.update({key: key for key in fresh.keys})
             next_key = max(fresh.keys) + 1
             compressed = compressed.add(fresh)
             members.append(grouped.select("id", F.col("cluster").alias("cs")))
-        return checkpoint(alone)
+        return materialize(alone)
 
     def follow(moves: dict[int, int]) -> None:
         for birth, now in current.items():
@@ -306,8 +306,8 @@ def bfr(
     into_discard: dict[int, int] = {}
     for number in range(1, chunks):
         chunk = base.where(F.col("_chunk") == number).drop("_chunk")
-        near_ds = checkpoint(assign_nearest(chunk, discard, radius, keep=("features",)))
-        near_cs = checkpoint(
+        near_ds = materialize(assign_nearest(chunk, discard, radius, keep=("features",)))
+        near_cs = materialize(
             assign_nearest(near_ds.where("cluster = -1").select("id", "features"), compressed, radius, keep=("features",))
         )
         to_ds, to_cs = near_ds.where("cluster <> -1"), near_cs.where("cluster <> -1")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodemine.operators.skew import ROWS_PER_SPLIT, segment_lines, skew_join
-from lodemine.session import checkpoint
+from lodemine.session import materialize
 
 
 def baskets(df: DataFrame, key: str | Sequence[str], item: str, min_rows: int = 0, count_distinct: bool = False) -> DataFrame:
@@ -75,7 +75,7 @@ def son_candidates(b: DataFrame, support: int, chunks: int = 4, max_k: int | Non
     singles = locally_frequent(b.groupBy("chunk", "item").agg(F.count(F.lit(1)).alias("freq"))).select("chunk", "item")
     kept = skew_join(b, singles, ["chunk", "item"], "left_semi")
     tagged = F.concat_ws(":", F.col("chunk").cast("string"), F.col("item").cast("string"))
-    arrays = checkpoint(kept.groupBy("basket").agg(F.collect_list(tagged).alias("items")).select("items"))
+    arrays = materialize(kept.groupBy("basket").agg(F.collect_list(tagged).alias("items")).select("items"))
     found = _fp_growth(arrays, least)
     if found is None:
         return _empty(b).select("size", "itemset")
@@ -93,13 +93,13 @@ def count_itemsets(b: DataFrame, candidates: DataFrame) -> DataFrame:
     later items, and is joined with the items that may follow that prefix. Only true occurrences of candidates
     become rows. The counts of one level tell which prefixes of the next join must be split.
     """
-    candidates = checkpoint(candidates.select("size", "itemset"))
+    candidates = materialize(candidates.select("size", "itemset"))
     deepest = candidates.agg(F.max("size")).first()[0]
     if deepest is None:
         return _empty(b)
     singles = candidates.where("size = 1").select(F.element_at("itemset", 1).alias("item"))
     kept = skew_join(b.select("basket", "item"), singles, "item", "left_semi")
-    arrays = checkpoint(kept.groupBy("basket").agg(F.array_sort(F.collect_list("item")).alias("_items")).select("_items"))
+    arrays = materialize(kept.groupBy("basket").agg(F.array_sort(F.collect_list("item")).alias("_items")).select("_items"))
     walk = arrays.select(F.posexplode("_items").alias("_at", "item"), "_items").select(
         F.array("item").alias("prefix"), F.expr("slice(_items, _at + 2, size(_items))").alias("_rest")
     )
@@ -120,7 +120,7 @@ def count_itemsets(b: DataFrame, candidates: DataFrame) -> DataFrame:
                 F.expr("slice(_rest, cast(array_position(_rest, item) as int) + 1, size(_rest))").alias("_rest"),
             )
         counts = walk.groupBy(F.col("prefix").alias("itemset")).agg(F.count(F.lit(1)).alias("freq"))
-        counted.append(checkpoint(counts.select(F.lit(size).alias("size"), "itemset", "freq")))
+        counted.append(materialize(counts.select(F.lit(size).alias("size"), "itemset", "freq")))
     out = counted[0]
     for more in counted[1:]:
         out = out.unionByName(more)
@@ -134,7 +134,7 @@ def frequent_itemsets(b: DataFrame, support: int, max_k: int | None = None, back
         return counts.where(F.col("freq") >= support)
     items = b.groupBy("item").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= support).select("item")
     kept = skew_join(b.select("basket", "item"), items, "item", "left_semi")
-    found = _fp_growth(checkpoint(kept.groupBy("basket").agg(F.collect_list("item").alias("items")).select("items")), support)
+    found = _fp_growth(materialize(kept.groupBy("basket").agg(F.collect_list("item").alias("items")).select("items")), support)
     if found is None:
         return _empty(b)
     out = found.select(F.size("items").alias("size"), F.array_sort("items").alias("itemset"), "freq")
@@ -149,7 +149,7 @@ def extend_candidates(frequent: DataFrame, size: int) -> DataFrame:
     """
     if size < 2:
         raise ValueError("pairs are counted from the baskets; candidates are extended from size 2 on")
-    sets = checkpoint(frequent.where(F.col("size") == size).select("itemset").distinct())
+    sets = materialize(frequent.where(F.col("size") == size).select("itemset").distinct())
     used = sets.select("itemset", F.explode("itemset").alias("item"))
     uses = used.groupBy("item").agg(F.count(F.lit(1)).alias("_uses"))
     ordered = skew_join(used, uses, "item").groupBy("itemset").agg(F.array_sort(F.collect_list(F.struct("_uses", "item"))).alias("_o"))

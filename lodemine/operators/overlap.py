@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodemine.operators.skew import hot_keys, positions, skew_join
-from lodemine.session import checkpoint
+from lodemine.session import materialize
 
 # Above this many rows a key is crowded: its rows are not paired directly but get longer keys.
 CROWDED = 1000
@@ -110,13 +110,13 @@ def candidate_pairs(
         if counts.where(F.col("_n") > crowded).isEmpty():
             found.append(_pairs(keys, keys, ["key"], rule))
             break
-        sized = checkpoint(skew_join(keys, counts, "key"))
+        sized = materialize(skew_join(keys, counts, "key"))
         cold = sized.where(F.col("_n") <= crowded)
         hot = sized.where(F.col("_n") > crowded).drop("_n")
         found.append(_pairs(cold, cold, ["key"], rule))
         if length > 0:
             found.append(_settled(hot, rule, length))
-        keys = checkpoint(_lengthened(hot, ranked, rule, length))
+        keys = materialize(_lengthened(hot, ranked, rule, length))
         length += 1
     out = found[0]
     for more in found[1:]:
@@ -226,10 +226,10 @@ def shared_pairs(
     if counts.where(F.col("_n") > crowded).isEmpty():
         return _pair_aggregates(_light_rows(base, value), bool(value)).where(F.col("n") >= at_least)
 
-    sized = checkpoint(skew_join(base, counts, "elem"))
+    sized = materialize(skew_join(base, counts, "elem"))
     light = sized.where(F.col("_n") <= crowded).drop("_n")
     heavy = sized.where(F.col("_n") > crowded).drop("_n")
-    light_part = checkpoint(_pair_aggregates(_light_rows(light, value), bool(value)))
+    light_part = materialize(_pair_aggregates(_light_rows(light, value), bool(value)))
 
     heavy_ranked = rare_first(heavy, "id", "elem")
     rule = PairRule.shared(at_least)
@@ -239,10 +239,12 @@ def shared_pairs(
     sizes = heavy_ranked.groupBy("id").agg(F.max("size").alias("size"))
     side_1 = sizes.select(F.col("id").alias("id_1"), F.col("size").alias("size_1"))
     side_2 = sizes.select(F.col("id").alias("id_2"), F.col("size").alias("size_2"))
-    open_pairs = skew_join(skew_join(light_part.select("id_1", "id_2", "n"), side_1, "id_1"), side_2, "id_2").where(
+    started = light_part.select("id_1", "id_2", "n")
+    with_1 = skew_join(started, side_1, "id_1")
+    open_pairs = skew_join(with_1, side_2, "id_2", hot=hot_keys(started, ["id_2"])).where(
         F.col("n") + F.least("size_1", "size_2") >= at_least
     )
-    asked = open_pairs.select("id_1", "size_1", "id_2", "size_2").unionByName(heavy_only).distinct()
+    asked = materialize(open_pairs.select("id_1", "size_1", "id_2", "size_2").unionByName(heavy_only).distinct())
     heavy_part = _pair_aggregates(common_rows(asked, heavy, "v" if value else None), bool(value))
     return _merged(light_part.unionByName(heavy_part), bool(value)).where(F.col("n") >= at_least)
 

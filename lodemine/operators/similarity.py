@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from lodemine.functions.hashing import affine_family
 from lodemine.operators.overlap import CROWDED, PAIR_SPLIT, PairRule, candidate_pairs, common_counts, first_keys, rare_first
-from lodemine.operators.skew import positions, skew_join
-from lodemine.session import checkpoint
+from lodemine.operators.skew import hot_keys, positions, skew_join
+from lodemine.session import materialize
 
 
 def words(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -96,7 +96,8 @@ def _named(pairs: DataFrame, id: str, groups: DataFrame) -> DataFrame:
     copies = groups.where(F.col(id) == F.col("rep")).select("rep", "n_copies")
     first = copies.select(F.col("rep").alias("id_1"), F.col("n_copies").alias("n_copies_1"))
     second = copies.select(F.col("rep").alias("id_2"), F.col("n_copies").alias("n_copies_2"))
-    both = skew_join(skew_join(pairs, first, "id_1"), second, "id_2")
+    pairs = materialize(pairs)
+    both = skew_join(skew_join(pairs, first, "id_1"), second, "id_2", hot=hot_keys(pairs, ["id_2"]))
     return both.select(F.col("id_1").alias("item_1"), F.col("id_2").alias("item_2"), "n_copies_1", "n_copies_2", "similarity")
 
 
@@ -107,10 +108,10 @@ def jaccard_pairs(
 
     Output: item_1 < item_2 (representatives), the number of items each stands for, and the similarity.
     """
-    groups = checkpoint(set_groups(sets, id, elem)) if groups is None else groups
+    groups = materialize(set_groups(sets, id, elem)) if groups is None else groups
     ranked = rare_first(distinct_sets(sets, groups, id, elem), id, elem)
     rule = PairRule.jaccard(threshold)
-    pairs = checkpoint(candidate_pairs(first_keys(ranked, rule), ranked, rule, crowded=crowded))
+    pairs = materialize(candidate_pairs(first_keys(ranked, rule), ranked, rule, crowded=crowded))
     return _named(_verified(pairs, ranked, threshold), id, groups)
 
 
@@ -131,16 +132,16 @@ def lsh_pairs(
     Buckets are joined as they are while small. In a crowded bucket only sets that also share a rare element are
     paired; any pair that reaches ``threshold`` does, so the result is the same.
     """
-    groups = checkpoint(set_groups(sets, id, elem)) if groups is None else groups
+    groups = materialize(set_groups(sets, id, elem)) if groups is None else groups
     reps = distinct_sets(sets, groups, id, elem)
     # The index must span all elements of the given sets; representatives carry every one of them.
     ranked = rare_first(reps, id, elem)
     in_bands = bands(signature(reps, id, elem, n_hash, modulus, seed), id, n_hash, n_bands)
     sizes = ranked.where("pos = 1").select("id", "size")
     keys = in_bands.select(F.xxhash64("band", "bucket").alias("key"), F.col(id).alias("id")).join(sizes, "id")
-    keys = checkpoint(keys.select("key", "id", "size", F.lit(0).cast("bigint").alias("pos")))
+    keys = materialize(keys.select("key", "id", "size", F.lit(0).cast("bigint").alias("pos")))
     rule = PairRule.jaccard(threshold)
-    pairs = checkpoint(candidate_pairs(keys, ranked, rule, length=0, crowded=crowded))
+    pairs = materialize(candidate_pairs(keys, ranked, rule, length=0, crowded=crowded))
     return _named(_verified(pairs, ranked, threshold), id, groups)
 
 
@@ -152,7 +153,8 @@ def expand_pairs(pairs: DataFrame, groups: DataFrame, id: str) -> DataFrame:
     """
     first = groups.select(F.col(id).alias("_m1"), F.col("rep").alias("item_1"))
     second = groups.select(F.col(id).alias("_m2"), F.col("rep").alias("item_2"))
-    across = skew_join(skew_join(pairs, first, "item_1"), second, "item_2").select("_m1", "_m2", "similarity")
+    halfway = materialize(skew_join(pairs, first, "item_1"))
+    across = skew_join(halfway, second, "item_2").select("_m1", "_m2", "similarity")
     within = skew_join(first, groups.select(F.col(id).alias("_m2"), F.col("rep").alias("item_1")), "item_1", rows_per_split=PAIR_SPLIT)
     within = within.where(F.col("_m1") < F.col("_m2")).select("_m1", "_m2", F.lit(1.0).alias("similarity"))
     return across.unionByName(within).select(

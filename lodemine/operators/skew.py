@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodemine.session import checkpoint
+from lodemine.session import materialize
 
 # A key with more rows than this is split over several tasks.
 ROWS_PER_SPLIT = 1_000_000
@@ -34,6 +34,7 @@ def skew_join(
 ) -> DataFrame:
     """Equi-join with hot keys of ``left`` salted and the matching rows of ``right`` repeated per salt.
 
+    Hot keys are looked for first, by a count over the key columns of ``left``; without any, this is a plain join.
     The salt is a hash of the left row, so a retried task salts alike. The hot-key table is broadcast: it has
     at most (left rows / rows_per_split) rows. ``how`` may be inner, left, left_semi or left_anti. A caller that
     knows the hot keys passes them as ``hot``, over the columns ``hot_on`` (part of the join key, default all).
@@ -42,6 +43,8 @@ def skew_join(
     hot_on = list(hot_on) if hot_on else keys
     if hot is None:
         hot = hot_keys(left, hot_on, rows_per_split)
+    if hot.isEmpty():
+        return left.join(right, keys, how)
     hot = F.broadcast(hot)
     any_null = F.lit(False)
     for key in keys:
@@ -69,7 +72,7 @@ def positions(
     group = list(group)
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     sort = [*[F.col(g) for g in group], *order]
-    numbered = checkpoint(
+    numbered = materialize(
         df.repartitionByRange(*sort)
         .sortWithinPartitions(*sort)
         .withColumn("_row", F.monotonically_increasing_id())
@@ -86,7 +89,7 @@ def positions(
         F.sum("_n").over(per_group).alias("_total"),
     )
     out = numbered.join(shifts, [*group, "_range"])
-    columns = [*df.columns, (F.col("_row") + F.col("_shift")).alias(name)]
+    columns = [*[F.col(f"`{c}`") for c in df.columns], (F.col("_row") + F.col("_shift")).alias(name)]
     if total:
         columns.append(F.col("_total").alias(total))
     return out.select(*columns)

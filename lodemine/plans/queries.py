@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodemine.operators import bfr, explore, graph, itemsets, recommend, similarity, sketches
 from lodemine.plans import views
-from lodemine.session import checkpoint, scratch_path
+from lodemine.session import materialize, scratch_path
 from lodemine.sources import sinks
 from lodemine.sources.readers import table
 from lodemine.streaming import sketches as live
@@ -104,7 +104,7 @@ def json_props_sum(spark, folder):
 
 
 def _brand_baskets(spark, folder):
-    return checkpoint(itemsets.baskets(views.brand_rows(spark, folder), "order", "brand"))
+    return materialize(itemsets.baskets(views.brand_rows(spark, folder), "order", "brand"))
 
 
 def _support(b: DataFrame, share: int) -> int:
@@ -142,7 +142,7 @@ def apriori_triples(spark, folder):
 
 @register
 def retail_frequent(spark, folder):
-    b = checkpoint(itemsets.baskets(views.retail_rows(spark, folder), ["day", "customer"], "product", RETAIL_MIN_ROWS))
+    b = materialize(itemsets.baskets(views.retail_rows(spark, folder), ["day", "customer"], "product", RETAIL_MIN_ROWS))
     return _flat(itemsets.frequent_itemsets(b, _support(b, RETAIL_SHARE), max_k=3, chunks=SON_CHUNKS))
 
 
@@ -188,11 +188,11 @@ def jaccard_pairs(spark, folder):
 
 
 def _train_test(spark, folder):
-    return checkpoint(views.ratings(spark, folder, test=False)), checkpoint(views.ratings(spark, folder, test=True))
+    return materialize(views.ratings(spark, folder, test=False)), materialize(views.ratings(spark, folder, test=True))
 
 
 def _sims(train: DataFrame) -> DataFrame:
-    return checkpoint(recommend.item_similarity(train))
+    return materialize(recommend.item_similarity(train))
 
 
 @register
@@ -261,7 +261,7 @@ def features_wide(spark, folder):
 
 def _model_based(spark, folder):
     train, test = _train_test(spark, folder)
-    model = recommend.fit_rating_model(checkpoint(_wide(spark, folder, train)))
+    model = recommend.fit_rating_model(materialize(_wide(spark, folder, train)))
     return recommend.predict_rating(model, _wide(spark, folder, test)), test
 
 
@@ -295,7 +295,7 @@ def hybrid_blend(spark, folder):
 def hybrid_predict(spark, folder):
     """The blend with the boosted-tree model."""
     predictions, test = _model_based(spark, folder)
-    train = checkpoint(views.ratings(spark, folder, test=False))
+    train = materialize(views.ratings(spark, folder, test=False))
     users, items = _profiles(spark, folder)
     counts = recommend.basic_features(test, users, items).select("user", "item", "user_review_cnt", "item_review_cnt")
     return recommend.blend(recommend.cf_parts(train, test, _sims(train)), predictions, counts)
@@ -304,8 +304,8 @@ def hybrid_predict(spark, folder):
 # --- graph -----------------------------------------------------------------------------------------------------
 
 
-def _edges(spark, folder):
-    threshold = views.activity_threshold(spark, folder)
+def _edges(spark, folder, more: int = 0):
+    threshold = views.activity_threshold(spark, folder) + more
     return graph.co_occurrence_edges(views.activity(spark, folder), "user", "item", threshold)
 
 
@@ -326,7 +326,7 @@ def label_propagation(spark, folder):
 
 @register
 def community_lines(spark, folder):
-    return graph.community_lines(checkpoint(graph.label_propagation(_edges(spark, folder))))
+    return graph.community_lines(materialize(graph.label_propagation(_edges(spark, folder))))
 
 
 @register
@@ -342,14 +342,15 @@ def edge_betweenness(spark, folder):
 @register
 def modularity(spark, folder):
     """Modularity of the partition by id modulo 3."""
-    edges = checkpoint(_edges(spark, folder))
+    edges = materialize(_edges(spark, folder))
     partition = graph.vertices_of(edges).withColumn("community", F.col("id") % 3)
     return graph.modularity(partition, edges).withColumn("modularity", r6("modularity"))
 
 
 @register
 def girvan_newman(spark, folder):
-    return graph.community_members(graph.girvan_newman(_edges(spark, folder)).partition)
+    """Run to the last edge, on a sparser graph than the other queries."""
+    return graph.community_members(graph.girvan_newman(_edges(spark, folder, more=3)).partition)
 
 
 # --- chunked clustering ----------------------------------------------------------------------------------------

@@ -53,7 +53,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, small: bool = False) -> DataFrame:
+    """Write ``df`` once as a parquet table in the shared folder and read it back.
+
+    This cuts the lineage, survives the loss of executors, computes the frame a single time (an RDD checkpoint
+    runs its last stage twice), and gives Catalyst real sizes to choose joins by. ``small`` frames, where the
+    latency of the extra files outweighs that second run, are checkpointed as RDDs in the same folder.
+    """
+    if small:
+        shared_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

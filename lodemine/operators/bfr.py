@@ -218,8 +218,10 @@ class Clustering:
 
 
 def _k_means(points: DataFrame, k: int, seed: int) -> DataFrame:
+    if k == 1:
+        return points.select("id", "features", F.lit(0).cast("bigint").alias("cluster"))
     vectors = points.withColumn("_vector", array_to_vector("features"))
-    model = KMeans(k=max(k, 2), seed=seed, featuresCol="_vector", predictionCol="cluster", maxIter=20).fit(vectors)
+    model = KMeans(k=k, seed=seed, featuresCol="_vector", predictionCol="cluster", maxIter=20).fit(vectors)
     return materialize(model.transform(vectors).select("id", "features", F.col("cluster").cast("bigint").alias("cluster")))
 
 

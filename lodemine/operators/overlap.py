@@ -67,19 +67,27 @@ class PairRule:
 
         return PairRule(fixed, fixed, None)
 
-    def compatible(self, s1: Column, s2: Column) -> Column:
-        if self.partner_sizes is None:
-            return F.lit(True)
-        return self.exact(s1, s2) <= F.least(s1, s2)
+    def reachable(self, length: int) -> Column:
+        """Whether a pair that meets in a key of ``length`` elements can still share enough of them.
 
+        If the key holds the pair's first common elements, all others come after ``pos`` in both sets; if it does
+        not, the pair also meets in the key that does.
+        """
+        later = F.least(F.col("size_1") - F.col("pos_1"), F.col("size_2") - F.col("pos_2"))
+        return later + length >= self.exact(F.col("size_1"), F.col("size_2"))
 
-def _pairs(left: DataFrame, right: DataFrame, on: list[str], rule: PairRule, salted: bool = False) -> DataFrame:
-    a = left.select(*on, F.col("id").alias("id_1"), F.col("size").alias("size_1"))
-    b = right.select(*on, F.col("id").alias("id_2"), F.col("size").alias("size_2"))
+
+def _pairs(left: DataFrame, right: DataFrame, on: list[str], rule: PairRule, length: int, salted: bool = False) -> DataFrame:
+    a = left.select(*on, F.col("id").alias("id_1"), F.col("size").alias("size_1"), F.col("pos").alias("pos_1"))
+    b = right.select(*on, F.col("id").alias("id_2"), F.col("size").alias("size_2"), F.col("pos").alias("pos_2"))
     joined = skew_join(a, b, on, rows_per_split=PAIR_SPLIT) if salted else a.join(b, on)
-    return joined.where((F.col("id_1") < F.col("id_2")) & rule.compatible(F.col("size_1"), F.col("size_2"))).select(
-        "id_1", "size_1", "id_2", "size_2"
-    )
+    return joined.where((F.col("id_1") < F.col("id_2")) & rule.reachable(length)).select("id_1", "size_1", "id_2", "size_2")
+
+
+def pair_work(keys: DataFrame) -> float:
+    """Number of pairs that share a key, from the key counts alone."""
+    counts = keys.groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    return counts.agg(F.sum(F.col("_n") * (F.col("_n") - 1) / 2)).first()[0] or 0.0
 
 
 def first_keys(ranked: DataFrame, rule: PairRule) -> DataFrame:
@@ -105,15 +113,15 @@ def candidate_pairs(
     while True:
         counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
         if length >= max_length:
-            found.append(_pairs(keys, keys, ["key"], rule, salted=True))
+            found.append(_pairs(keys, keys, ["key"], rule, length, salted=True))
             break
         if counts.where(F.col("_n") > crowded).isEmpty():
-            found.append(_pairs(keys, keys, ["key"], rule))
+            found.append(_pairs(keys, keys, ["key"], rule, length))
             break
         sized = materialize(skew_join(keys, counts, "key"))
         cold = sized.where(F.col("_n") <= crowded)
         hot = sized.where(F.col("_n") > crowded).drop("_n")
-        found.append(_pairs(cold, cold, ["key"], rule))
+        found.append(_pairs(cold, cold, ["key"], rule, length))
         if length > 0:
             found.append(_settled(hot, rule, length))
         keys = materialize(_lengthened(hot, ranked, rule, length))
@@ -128,7 +136,7 @@ def _settled(hot: DataFrame, rule: PairRule, length: int) -> DataFrame:
     """Pairs in crowded keys that need no more common elements than the key holds: all of them qualify."""
     ready = hot.where(rule.least(F.col("size")) <= length)
     if rule.partner_sizes is None:
-        return _pairs(ready, ready, ["key"], rule, salted=True)
+        return _pairs(ready, ready, ["key"], rule, length, salted=True)
     wanted = ready.withColumn("_other", F.explode(rule.partner_sizes(F.col("size")))).where(
         rule.exact(F.col("size"), F.col("_other")) <= length
     )
@@ -136,8 +144,8 @@ def _settled(hot: DataFrame, rule: PairRule, length: int) -> DataFrame:
     classed = wanted.withColumn("_low", low).withColumn("_high", high)
     smaller = classed.where(F.col("size") == F.col("_low"))
     larger = classed.where(F.col("size") == F.col("_high"))
-    both = _pairs(smaller, larger, ["key", "_low", "_high"], rule, salted=True)
-    swapped = _pairs(larger, smaller, ["key", "_low", "_high"], rule, salted=True)
+    both = _pairs(smaller, larger, ["key", "_low", "_high"], rule, length, salted=True)
+    swapped = _pairs(larger, smaller, ["key", "_low", "_high"], rule, length, salted=True)
     return both.unionByName(swapped)
 
 
@@ -162,7 +170,9 @@ def common_rows(pairs: DataFrame, rows: DataFrame, value: str | None = None) ->
     small_first = F.col("size_1") <= F.col("size_2")
     probes = pairs.select(
         "id_1",
+        "size_1",
         "id_2",
+        "size_2",
         small_first.alias("_straight"),
         F.when(small_first, F.col("id_1")).otherwise(F.col("id_2")).alias("_small"),
         F.when(small_first, F.col("id_2")).otherwise(F.col("id_1")).alias("_large"),
@@ -176,7 +186,7 @@ def common_rows(pairs: DataFrame, rows: DataFrame, value: str | None = None) ->
         hot=hot_keys(probes, ["_large"]),
         hot_on=["_large"],
     )
-    columns = ["id_1", "id_2", "elem"]
+    columns = ["id_1", "size_1", "id_2", "size_2", "elem"]
     if value:
         columns += [
             F.when(F.col("_straight"), F.col("_v_small")).otherwise(F.col("_v_large")).alias("v_1"),
@@ -186,8 +196,8 @@ def common_rows(pairs: DataFrame, rows: DataFrame, value: str | None = None) ->
 
 
 def common_counts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(id_1, id_2, n_common) for candidate pairs."""
-    return common_rows(pairs, rows).groupBy("id_1", "id_2").agg(F.count(F.lit(1)).alias("n_common"))
+    """The candidate pairs that share an element, with n_common."""
+    return common_rows(pairs, rows).groupBy("id_1", "size_1", "id_2", "size_2").agg(F.count(F.lit(1)).alias("n_common"))
 
 
 def _pair_aggregates(rows: DataFrame, with_values: bool) -> DataFrame:

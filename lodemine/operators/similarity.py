@@ -6,15 +6,19 @@ every join. Results name representatives; :func:`expand_pairs` lists the pairs o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodemine.functions.hashing import affine_family
-from lodemine.operators.overlap import CROWDED, PAIR_SPLIT, PairRule, candidate_pairs, common_counts, first_keys, rare_first
+from lodemine.operators.overlap import CROWDED, PAIR_SPLIT, PairRule, candidate_pairs, common_counts, first_keys, pair_work, rare_first
 from lodemine.operators.skew import hot_keys, positions, skew_join
 from lodemine.session import materialize
 
 
+# Hash functions whose minima share one aggregation row: few enough for compiled code, many enough to save rows.
+HASHES_PER_PART = 10
+
+
 def words(docs: DataFrame, id: str, text: str) -> DataFrame:
     """(id, word): the distinct lower-case words of the whole text."""
     return docs.select(id, F.explode(F.split(F.lower(text), "[ \\t\\n\\r\\f]+")).alias("word")).where("word <> ''").distinct()
@@ -61,21 +65,42 @@ def indexed(sets: DataFrame, id: str, elem: str) -> DataFrame:
 
 def minhash(sets: DataFrame, id: str, elem: str, n_hash: int = 80, modulus: int = 10000, seed: int = 80) -> DataFrame:
     """(id, hash_no, min_hash): the minimum of (a * index + b) mod ``modulus`` per item and hash function."""
-    wide = signature(sets, id, elem, n_hash, modulus, seed)
-    return wide.select(id, F.posexplode("sig").alias("hash_no", "min_hash"))
+    parts = signature_parts(sets, id, elem, n_hash, modulus, seed)
+    return parts.select(id, "part", F.posexplode("minima").alias("_at", "min_hash")).select(
+        id, (F.col("part") * HASHES_PER_PART + F.col("_at")).alias("hash_no"), "min_hash"
+    )
 
 
-def signature(sets: DataFrame, id: str, elem: str, n_hash: int = 80, modulus: int = 10000, seed: int = 80) -> DataFrame:
-    """(id, sig): all minima of an item in one array, from one aggregation with a minimum per hash function.
+def signature_parts(sets: DataFrame, id: str, elem: str, n_hash: int = 80, modulus: int = 10000, seed: int = 80) -> DataFrame:
+    """(id, part, minima[]): minima of HASHES_PER_PART hash functions per row.
 
-    Hash values depend on the index modulo ``modulus`` only, and minima merge, so map-side combining shrinks
-    every item, however large, to one row per task before the shuffle.
+    Each (item, index) row is repeated once per part and updates that part's minima in one aggregation. Hash values
+    depend on the index modulo ``modulus`` only, and minima merge, so map-side combining shrinks an item, however
+    large, to one row per part and task before the shuffle.
     """
     family = affine_family(n_hash, seed, modulus + 1, modulus)
-    x = F.col("idx") % modulus
-    minima = [F.min((x * a + b) % modulus).alias(f"m{j}") for j, a, b in family]
-    wide = indexed(sets, id, elem).groupBy(id).agg(*minima)
-    return wide.select(id, F.array(*[F.col(f"m{j}") for j, _, _ in family]).alias("sig"))
+    numbers = range(HASHES_PER_PART)
+
+    def part(start: int) -> Column:
+        rows = family[start : start + HASHES_PER_PART]
+        rows += [rows[-1]] * (HASHES_PER_PART - len(rows))
+        a = [F.lit(r[1]).cast("bigint").alias(f"a{i}") for i, r in enumerate(rows)]
+        b = [F.lit(r[2]).cast("bigint").alias(f"b{i}") for i, r in enumerate(rows)]
+        return F.struct(F.lit(start // HASHES_PER_PART).alias("part"), *a, *b)
+
+    parts = F.array(*[part(start) for start in range(0, n_hash, HASHES_PER_PART)])
+    rows = indexed(sets, id, elem).select(id, (F.col("idx") % modulus).alias("_x"), F.explode(parts).alias("_h"))
+    minima = [F.min((F.col("_x") * F.col(f"_h.a{i}") + F.col(f"_h.b{i}")) % modulus).alias(f"m{i}") for i in numbers]
+    grouped = rows.groupBy(id, F.col("_h.part").alias("part")).agg(*minima)
+    used = F.least(F.lit(HASHES_PER_PART), F.lit(n_hash) - F.col("part") * HASHES_PER_PART)
+    return grouped.select(id, "part", F.slice(F.array(*[f"m{i}" for i in numbers]), F.lit(1), used).alias("minima"))
+
+
+def signature(sets: DataFrame, id: str, elem: str, n_hash: int = 80, modulus: int = 10000, seed: int = 80) -> DataFrame:
+    """(id, sig): all ``n_hash`` minima of an item in one array."""
+    parts = signature_parts(sets, id, elem, n_hash, modulus, seed)
+    ordered = F.array_sort(F.collect_list(F.struct("part", "minima")))
+    return parts.groupBy(id).agg(ordered.alias("_p")).select(id, F.flatten("_p.minima").alias("sig"))
 
 
 def bands(sig: DataFrame, id: str, n_hash: int, n_bands: int) -> DataFrame:
@@ -87,9 +112,9 @@ def bands(sig: DataFrame, id: str, n_hash: int, n_bands: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    sizes = pairs.join(common_counts(pairs, rows), ["id_1", "id_2"])
     share = F.col("n_common") / (F.col("size_1") + F.col("size_2") - F.col("n_common"))
-    return sizes.select("id_1", "id_2", share.alias("similarity")).where(F.col("similarity") >= threshold)
+    counted = common_counts(pairs, rows)
+    return counted.select("id_1", "id_2", share.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def _named(pairs: DataFrame, id: str, groups: DataFrame) -> DataFrame:
@@ -126,23 +151,37 @@ def lsh_pairs(
     seed: int = 80,
     groups: DataFrame | None = None,
     crowded: int = CROWDED,
+    meet_in: str = "cheaper",
 ) -> DataFrame:
     """Pairs of distinct sets that share an LSH bucket and have Jaccard similarity of at least ``threshold``.
 
-    Buckets are joined as they are while small. In a crowded bucket only sets that also share a rare element are
-    paired; any pair that reaches ``threshold`` does, so the result is the same.
+    A pair of the result both shares a bucket and shares a rare element, so it can be looked for in either:
+    in the buckets, where crowded ones are split by rare elements, or under the rare elements, with the buckets
+    compared for the pairs found. ``meet_in`` is 'buckets', 'elements', or 'cheaper' to count which of the two
+    has fewer pairs to look at (short bands over large sets put most unrelated pairs into a common bucket).
     """
     groups = materialize(set_groups(sets, id, elem)) if groups is None else groups
     reps = distinct_sets(sets, groups, id, elem)
     # The index must span all elements of the given sets; representatives carry every one of them.
     ranked = rare_first(reps, id, elem)
-    in_bands = bands(signature(reps, id, elem, n_hash, modulus, seed), id, n_hash, n_bands)
-    sizes = ranked.where("pos = 1").select("id", "size")
-    keys = in_bands.select(F.xxhash64("band", "bucket").alias("key"), F.col(id).alias("id")).join(sizes, "id")
-    keys = materialize(keys.select("key", "id", "size", F.lit(0).cast("bigint").alias("pos")))
     rule = PairRule.jaccard(threshold)
-    pairs = materialize(candidate_pairs(keys, ranked, rule, length=0, crowded=crowded))
-    return _named(_verified(pairs, ranked, threshold), id, groups)
+    in_bands = bands(signature(reps, id, elem, n_hash, modulus, seed), id, n_hash, n_bands)
+    keys = materialize(in_bands.select(F.xxhash64("band", "bucket").alias("key"), F.col(id).alias("id"), "band", "bucket"))
+    prefix = first_keys(ranked, rule)
+    if meet_in == "cheaper":
+        meet_in = "buckets" if pair_work(keys) <= pair_work(prefix) else "elements"
+    if meet_in == "buckets":
+        sizes = ranked.where("pos = 1").select("id", "size")
+        sized = materialize(keys.select("key", "id").join(sizes, "id").withColumn("pos", F.lit(0).cast("bigint")))
+        pairs = materialize(candidate_pairs(sized, ranked, rule, length=0, crowded=crowded))
+        return _named(_verified(pairs, ranked, threshold), id, groups)
+    pairs = materialize(candidate_pairs(prefix, ranked, rule, crowded=crowded))
+    close = materialize(_verified(pairs, ranked, threshold))
+    first = keys.select(F.col("id").alias("id_1"), "band", "bucket")
+    second = keys.select(F.col("id").alias("id_2"), "band", "bucket")
+    with_bands = skew_join(close, first, "id_1")
+    shared = skew_join(with_bands, second, ["id_2", "band", "bucket"], hot=hot_keys(close, ["id_2"]), hot_on=["id_2"])
+    return _named(shared.select("id_1", "id_2", "similarity").distinct(), id, groups)
 
 
 def expand_pairs(pairs: DataFrame, groups: DataFrame, id: str) -> DataFrame:

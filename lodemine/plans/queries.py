@@ -157,7 +157,8 @@ def itemset_report(spark, folder):
 
 
 def _words(spark, folder):
-    return similarity.words(table(spark, folder, "documents"), "doc_id", "text")
+    """Stored once: the operators read the words several times, and splitting the texts is the costly part."""
+    return materialize(similarity.words(table(spark, folder, "documents"), "doc_id", "text"))
 
 
 @register

@@ -49,8 +49,8 @@ def test_jaccard_pairs_equal_brute_force(spark, threshold, crowded):
     assert got == pytest.approx(want)
 
 
-@pytest.mark.parametrize("crowded", [1000, 2])
-def test_lsh_pairs_share_a_band_and_reach_the_threshold(spark, crowded):
+@pytest.mark.parametrize("crowded,meet_in", [(1000, "buckets"), (2, "buckets"), (1000, "elements"), (3, "cheaper")])
+def test_lsh_pairs_share_a_band_and_reach_the_threshold(spark, crowded, meet_in):
     sets = make_sets(2)
     family = affine_family(80, 80, 10001, 10000)
     sig = {i: [min((a * e + b) % 10000 for e in s) for _, a, b in family] for i, s in sets.items()}
@@ -60,7 +60,7 @@ def test_lsh_pairs_share_a_band_and_reach_the_threshold(spark, crowded):
         for a, b in combinations(sorted(r), 2)
         if jac(r[a], r[b]) >= 0.5 and any(sig[a][k : k + 2] == sig[b][k : k + 2] for k in range(0, 80, 2))
     }
-    got = similarity.lsh_pairs(frame(spark, sets), "id", "e", crowded=crowded)
+    got = similarity.lsh_pairs(frame(spark, sets), "id", "e", crowded=crowded, meet_in=meet_in)
     assert {(x.item_1, x.item_2): x.similarity for x in got.collect()} == pytest.approx(want)
     assert want
 
@@ -80,8 +80,8 @@ def test_minhash_of_words_uses_the_sorted_index(spark):
     words = similarity.words(docs, "id", "text")
     index = {w: i for i, w in enumerate(sorted({"a", "b", "c", "d"}))}
     sets = {1: ["a", "b", "c"], 2: ["c", "d"]}
-    got = {(r.id, r.hash_no): r.min_hash for r in similarity.minhash(words, "id", "word", 6, 100, 9).collect()}
-    family = affine_family(6, 9, 101, 100)
+    got = {(r.id, r.hash_no): r.min_hash for r in similarity.minhash(words, "id", "word", 13, 100, 9).collect()}
+    family = affine_family(13, 9, 101, 100)
     assert got == {(i, j): min((a * index[w] + b) % 100 for w in ws) for i, ws in sets.items() for j, a, b in family}
 
 

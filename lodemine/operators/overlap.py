@@ -29,7 +29,7 @@ def rare_first(sets: DataFrame, id: str, elem: str) -> DataFrame:
     rows = sets.select(F.col(id).alias("id"), F.col(elem).alias("elem")).distinct()
     freq = rows.groupBy("elem").agg(F.count(F.lit(1)).alias("_freq"))
     ranked = positions(skew_join(rows, freq, "elem"), ["id"], ["_freq", "elem"], name="pos", total="size")
-    return ranked.drop("_freq")
+    return materialize(ranked.select("id", "elem", "pos", "size"))
 
 
 class PairRule:

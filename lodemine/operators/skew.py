@@ -61,16 +61,42 @@ def skew_join(
 
 
 def positions(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column | str], name: str = "pos", total: str | None = None
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[Column | str],
+    name: str = "pos",
+    total: str | None = None,
+    rows_per_split: int = ROWS_PER_SPLIT,
 ) -> DataFrame:
-    """Add the 1-based rank of each row within its group (and the group's row count) without a per-group task.
+    """Add the 1-based rank of each row within its group (and the group's row count as ``total``).
 
-    Rows are range-partitioned and sorted by (group, order), numbered inside each range, and shifted by the
-    number of rows the group has in earlier ranges. A group of any size is spread over many ranges; with no
-    group columns this is a global dense index.
+    Groups of up to ``rows_per_split`` rows are ranked by a window. Larger ones, and a global rank without group
+    columns, are ranked over many tasks by :func:`_range_positions`.
     """
     group = list(group)
     order = [F.col(o) if isinstance(o, str) else o for o in order]
+    if not group:
+        return _range_positions(df, group, order, name, total)
+    hot = hot_keys(df, group, rows_per_split)
+    if hot.isEmpty():
+        return _window_positions(df, group, order, name, total)
+    large = F.broadcast(materialize(hot.select(*group), small=True))
+    return _window_positions(df.join(large, group, "left_anti"), group, order, name, total).unionByName(
+        _range_positions(df.join(large, group, "left_semi"), group, order, name, total)
+    )
+
+
+def _window_positions(df: DataFrame, group: list[str], order: list[Column], name: str, total: str | None) -> DataFrame:
+    ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint"))
+    return ranked.withColumn(total, F.count(F.lit(1)).over(Window.partitionBy(*group))) if total else ranked
+
+
+def _range_positions(df: DataFrame, group: list[str], order: list[Column], name: str, total: str | None) -> DataFrame:
+    """Ranks without a task per group.
+
+    Rows are range-partitioned and sorted by (group, order), numbered inside each range, and shifted by the
+    number of rows the group has in earlier ranges. A group of any size is spread over many ranges.
+    """
     sort = [*[F.col(g) for g in group], *order]
     numbered = materialize(
         df.repartitionByRange(*sort)

@@ -1,3 +1,28 @@
 """DuckDB SQL for the queries of this package that SQL can express."""
 
 ORACLE: dict[str, str] = {}
+
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+TEST_WORDS = r"regexp_extract_all(" + LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def overlaps(documents: str, benchmark: str = "benchmark") -> str:
+    """The contamination figures of a documents relation, a row per (row number, document)."""
+    return f"""
+        d AS (SELECT row_number() OVER () AS rid, doc_id, {TEST_WORDS} AS w FROM {documents}),
+        i AS (SELECT CAST(item_id AS VARCHAR) AS item, {TEST_WORDS} AS w FROM {benchmark}),
+        iw AS (SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[s:s + least(13, len(w)) - 1], ' ') AS k
+               FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS s FROM i WHERE len(w) > 0)),
+        lens AS (SELECT DISTINCT n FROM iw),
+        dw AS (SELECT rid, s, n, array_to_string(w[s:s + n - 1], ' ') AS k
+               FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, lens WHERE len(w) >= n)),
+        hits AS (SELECT rid, s, n, item FROM dw JOIN iw USING (n, k)),
+        hit_words AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(s, s + n)) AS p FROM hits) GROUP BY rid),
+        hit_items AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY rid),
+        overlap AS (SELECT d.rid, d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+                           sha256(coalesce(items, '')) AS items_sha256,
+                           coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+                    FROM d LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid))"""
+
+
+ORACLE["op5_decontamination"] = f"WITH {overlaps('documents')} SELECT doc_id, n_words, n_hit, n_items, items_sha256, contaminated FROM overlap"

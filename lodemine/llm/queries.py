@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemine.llm import langid
+from lodemine.llm import decontaminate, langid, sharding
 from lodemine.llm.common import held_out, learnable
 from lodemine.sources.readers import table
 
@@ -26,3 +26,27 @@ def op1_language_id(spark, folder):
     docs = table(spark, folder, "documents")
     model = langid.train(docs, "text", "lang", learnable())
     return langid.predict(spark, docs, "doc_id", "text", model, [held_out().alias("held_out")])
+
+
+@register
+def op5_decontamination(spark, folder):
+    """Every document against all windows of the benchmark."""
+    found = decontaminate.find_overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"), ["doc_id"])
+    return found.select(
+        "doc.doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+@register
+def op9_sharding(spark, folder):
+    """All documents dealt to eight shards of equal row counts."""
+    docs = table(spark, folder, "documents")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    dealt = sharding.shuffle_into_shards(rows, 8)
+    return dealt.select("row.*", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -26,3 +26,46 @@ def overlaps(documents: str, benchmark: str = "benchmark") -> str:
 
 
 ORACLE["op5_decontamination"] = f"WITH {overlaps('documents')} SELECT doc_id, n_words, n_hit, n_items, items_sha256, contaminated FROM overlap"
+
+
+SPACED_WORDS = r"regexp_extract_all(" + LOWER.format("coalesce(text, '')") + r", '[^\x20\x09-\x0D]+')"
+
+
+def near_copies(documents: str) -> str:
+    """Components of a documents relation under links of at least 0.8 between sets of five-word shingles."""
+    return f"""
+        nd AS (SELECT doc_id, {SPACED_WORDS} AS w FROM {documents}),
+        sh AS (SELECT DISTINCT doc_id, array_to_string(w[s:s + 4], ' ') AS g
+               FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS s FROM nd WHERE len(w) > 0)),
+        sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM common JOIN sz p ON p.doc_id = a JOIN sz q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM nd UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+        comp AS (SELECT nd.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(reach.b) AS component_id
+                 FROM nd JOIN reach ON reach.a = nd.doc_id LEFT JOIN sz ON sz.doc_id = nd.doc_id GROUP BY nd.doc_id)"""
+
+
+ORACLE["op6_ngram_join"] = f"WITH RECURSIVE {near_copies('documents')} SELECT doc_id, CAST(n_shingles AS BIGINT) AS n_shingles, component_id FROM comp"
+
+ORACLE["op4_reply_trees"] = r"""
+    WITH t AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+        UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+    e AS (
+        SELECT *, replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') AS safe,
+            replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), ':', '\:') AS safe_role,
+            CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss
+        FROM t)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+        CAST(sum(length(loss)) AS BIGINT) AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn, role, text)) AS loss_sha256,
+        CAST(sum(length('### ' || safe_role || ': ' || safe || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
+    FROM e WHERE conv_id IS NOT NULL GROUP BY conv_id"""
+
+ORACLE["op10_archives"] = """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+    q AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest, max(page_id) OVER (PARTITION BY body) AS first FROM p)
+    SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+        CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to
+    FROM q"""

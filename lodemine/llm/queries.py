@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemine.llm import decontaminate, langid, sharding
+from lodemine.llm import archives, decontaminate, langid, mixing, ngram_join, pseudonyms, quality, reply_trees, risk_rules, sharding
 from lodemine.llm.common import held_out, learnable
+from lodemine.operators.skew import positions
+from lodemine.session import materialize, scratch_path
 from lodemine.sources.readers import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +30,34 @@ def op1_language_id(spark, folder):
     return langid.predict(spark, docs, "doc_id", "text", model, [held_out().alias("held_out")])
 
 
+@register
+def op2_pseudonyms(spark, folder):
+    """All documents with personal data replaced by keyed pseudonyms."""
+    out = pseudonyms.pseudonymise(table(spark, folder, "documents"), key="corpus")
+    return out.select("doc.doc_id", "text", F.size("kinds").cast("bigint").alias("n_replaced"), F.array_join("kinds", ",").alias("kinds"))
+
+
+@register
+def op3_quality(spark, folder):
+    """The quality of every document by weighted rules, learnt from labels outside the held-out quarter."""
+    model, statistics = quality.train(table(spark, folder, "documents"), table(spark, folder, "labels"), learnable())
+    scored = statistics.select("doc_id", held_out().alias("held_out"), model.score().alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@register
+def op4_reply_trees(spark, folder):
+    """All conversations, each turn a reply to the turn before, formatted and read back."""
+    told = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    line = "\\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", line), (-7, 1, "assistant", line)], "conv_id bigint, turn bigint, role string, text string")
+    turns = positions(told.unionByName(added).where("conv_id IS NOT NULL"), ["conv_id"], ["turn", "role", "text"], name="node")
+    parent = F.when(F.col("node") > 1, F.col("node") - 1)
+    messages = turns.select(F.col("conv_id").alias("tree"), "node", parent.alias("parent"), "role", "text", F.lit(0.0).alias("score"))
+    pieces = reply_trees.formatted(reply_trees.chosen_paths(messages))
+    return reply_trees.read_back(materialize(pieces)).withColumnRenamed("tree", "conv_id").drop("leaf")
+
+
 @register
 def op5_decontamination(spark, folder):
     """Every document against all windows of the benchmark."""
@@ -42,6 +72,26 @@ def op5_decontamination(spark, folder):
     )
 
 
+@register
+def op6_ngram_join(spark, folder):
+    """Near-duplicate components of all documents."""
+    return ngram_join.similar_components(table(spark, folder, "documents"))
+
+
+@register
+def op7_mixing(spark, folder):
+    """The sampling rate of every document after raking to source, language and topic weights."""
+    mixed = mixing.mix_documents(table(spark, folder, "documents"))
+    return mixed.select("doc.doc_id", "doc.source", "doc.lang", F.expr("substr(topic_key, 2)").alias("topic"), "tokens", "rate", (F.col("copies") > 0).alias("selected"))
+
+
+@register
+def op8_risk_rules(spark, folder):
+    """Every document judged by base rules and by cutoffs that are safe for good documents of its language."""
+    judged = risk_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @register
 def op9_sharding(spark, folder):
     """All documents dealt to eight shards of equal row counts."""
@@ -50,3 +100,16 @@ def op9_sharding(spark, folder):
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     dealt = sharding.shuffle_into_shards(rows, 8)
     return dealt.select("row.*", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register
+def op10_archives(spark, folder):
+    """All pages written as legacy archives, converted, and read back from the new ones."""
+    arc, warc = scratch_path(spark, "arc"), scratch_path(spark, "warc")
+    archives.write_arc(table(spark, folder, "pages"), arc)
+    archives.convert(spark, arc, warc)
+    records = archives.read_warc(spark, warc)
+    meant = records.where("kind = 'response'").select(F.col("record_id").alias("refers_to"), F.col("key").alias("first_id"))
+    return records.join(meant, "refers_to", "left").select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.col("first_id").alias("refers_to")
+    )

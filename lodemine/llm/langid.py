@@ -86,8 +86,9 @@ def _hashed(parts: list[str], owners: list[int], max_n: int, n_buckets: int) ->
         spread = (mixed * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(n)
         spread ^= spread >> np.uint64(29)
         spread *= np.uint64(0xBF58476D1CE4E5B9)
-        # An n-gram that begins at the boundary before a document's first word belongs to that document.
-        yield owner[n // 2 : n // 2 + size][inside], ((spread >> np.uint64(33)) % np.uint64(n_buckets)).astype(np.int64)[inside]
+        # An n-gram belongs to the document of its letters: of a pair with a boundary, that of the letter.
+        of = np.where(codes[1:] != 0, owner[1:], owner[:-1]) if n == 2 else owner[n // 2 : n // 2 + size]
+        yield of[inside], ((spread >> np.uint64(33)) % np.uint64(n_buckets)).astype(np.int64)[inside]
 
 
 @dataclass

@@ -12,7 +12,7 @@ frequent come last, by rising frequency; the others are ordered by hash. The ord
    meet, each overlap is counted separately, and the counts are summed per pair. A hub with many partners is
    repeated, and its partners are spread over the copies.
 4. Links join classes into components. Members that are not in their hub's component are then paired with all members
-   of their groups in other components, filtered and counted the same way. Every pair of similar documents in
+   of their groups in other components, as far as the places of the n-gram leave a chance, and counted the same way. Every pair of similar documents in
    different components would appear here, so the components are those of the full link graph, though pairs
    inside a component are never listed.
 
@@ -222,7 +222,7 @@ def may_link(percent: int):
 PAIR = ["a_print", "a_size", "b_print", "b_size"]
 
 
-def verified(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, pairs: DataFrame, classes: DataFrame, fragments: int, per_copy: int = 2_000) -> DataFrame:
+def verified(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, pairs: DataFrame, classes: DataFrame, fragments: int, per_copy: int = 250) -> DataFrame:
     """The pairs (a, b) that reach the threshold, with their overlap; ``b`` is the side that meets many partners."""
     a, b = ["a_print", "a_size"], ["b_print", "b_size"]
     copies = pairs.groupBy(*b).agg(F.ceil(F.count(F.lit(1)) / per_copy).cast("int").alias("copies"))
@@ -292,6 +292,17 @@ def verified(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, pair
     return materialize(summed.where(100 * F.col("overlap") >= percent * (F.col("a_size") + F.col("b_size") - F.col("overlap"))))
 
 
+def busier_second(pairs: DataFrame) -> DataFrame:
+    """The pairs turned so that ``b`` is the side with more pairs; no set is then ``a`` in more than the square root of twice the pairs."""
+    ends = [pairs.select(F.col(f"{s}_print").alias("print"), F.col(f"{s}_size").alias("size")) for s in "ab"]
+    degree = ends[0].unionByName(ends[1]).groupBy("print", "size").agg(F.count(F.lit(1)).alias("degree"))
+    for s in "ab":
+        pairs = pairs.join(degree.select(F.col("print").alias(f"{s}_print"), F.col("size").alias(f"{s}_size"), F.col("degree").alias(f"{s}_degree")), [f"{s}_print", f"{s}_size"])
+    turn = F.col("a_degree") > F.col("b_degree")
+    swap = {"a": "b", "b": "a"}
+    return materialize(pairs.select(*[F.when(turn, F.col(swap[c[0]] + c[1:])).otherwise(F.col(c)).alias(c) for c in PAIR]))
+
+
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) for every vertex: the smallest id it can reach over edges (src, dst).
 
@@ -367,22 +378,29 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     members = met_rows.select("gram", F.col("a_print").alias("b_print"), F.col("a_size").alias("b_size"), F.col("m.pos").alias("b_pos")).unionByName(
         met_rows.select("gram", "b_print", "b_size", F.col("m.hub_pos").alias("b_pos"))
     )
-    others = labelled(members.distinct(), "b")
-    crossing = minor.join(others, "gram").where((F.col("a_in") != F.col("b_in")) & (F.least("a_size", "b_size") * 100 >= percent * F.greatest("a_size", "b_size")))
-    # A pair can be met from either side; all n-grams it shares are counted for one of them.
-    a, b = F.struct("a_print", "a_size", "a_pos"), F.struct("b_print", "b_size", "b_pos")
-    swapped = (F.col("a_print") > F.col("b_print")) | ((F.col("a_print") == F.col("b_print")) & (F.col("a_size") > F.col("b_size")))
-    crossing = crossing.select("gram", F.when(swapped, F.struct(*[F.col(f"b_{x}").alias(f"a_{x}") for x in ("print", "size", "pos")])).otherwise(a).alias("l"),
-                               F.when(swapped, F.struct(*[F.col(f"a_{x}").alias(f"b_{x}") for x in ("print", "size", "pos")])).otherwise(b).alias("r")).select("gram", "l.*", "r.*")
-    checked = matched.select(*PAIR).unionByName(matched.select(F.col("b_print").alias("a_print"), F.col("b_size").alias("a_size"), F.col("a_print").alias("b_print"), F.col("a_size").alias("b_size")))
-    crossing = (
-        crossing.groupBy(*PAIR)
-        .agg(F.countDistinct("gram").alias("shared"), F.max("a_pos").alias("a_last"), F.max("b_pos").alias("b_last"))
-        .where(may_link(percent))
-        .join(checked, PAIR, "left_anti")
-    )
+    others = materialize(labelled(members.distinct(), "b"))
+    # A similar pair has all its overlap from its first common n-gram on, in both sets. Where too little follows for any partner
+    # in the group, the row is left out before the join; the pair's own bound is checked in the join.
+    least_sizes = others.groupBy("gram").agg(F.min("b_size").alias("least_size"))
+
+    def in_reach(rows: DataFrame, side: str) -> DataFrame:
+        size = F.col(f"{side}_size")
+        partner = F.greatest(F.col("least_size"), F.ceil(percent * size / 100))
+        return rows.join(least_sizes, "gram").where(size - F.col(f"{side}_pos") >= needed(size, partner, percent)).drop("least_size")
+
+    sizes_fit = F.least("a_size", "b_size") * 100 >= percent * F.greatest("a_size", "b_size")
+    rest = F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos"))
+    crossing = in_reach(minor, "a").join(in_reach(others, "b"), "gram")
+    crossing = crossing.where((F.col("a_in") != F.col("b_in")) & sizes_fit & (rest >= needed(F.col("a_size"), F.col("b_size"), percent)))
+    # A pair can be met from either side, in several groups.
+    one, other = F.struct("a_print", "a_size"), F.struct("b_print", "b_size")
+    ends = crossing.select(F.least(one, F.struct(F.col("b_print").alias("a_print"), F.col("b_size").alias("a_size"))).alias("l"),
+                           F.greatest(F.struct(F.col("a_print").alias("b_print"), F.col("a_size").alias("b_size")), other).alias("r"))
+    turned = matched.select(F.col("b_print").alias("a_print"), F.col("b_size").alias("a_size"), F.col("a_print").alias("b_print"), F.col("a_size").alias("b_size"))
+    crossing = ends.select("l.*", "r.*").distinct().join(matched.select(*PAIR).unionByName(turned), PAIR, "left_anti")
     crossing = materialize(crossing.select(*PAIR))
     if not crossing.isEmpty():
+        crossing = busier_second(crossing)
         more = ids(verified(docs, doc_id, text, n, percent, crossing, classes, fragments)).where("a != b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
         between = more.join(label.select(F.col("id").alias("src"), F.col("component").alias("s")), "src").join(label.select(F.col("id").alias("dst"), F.col("component").alias("d")), "dst")
         joined = components(label.select(F.col("component").alias("id")).distinct(), between.select(F.col("s").alias("src"), F.col("d").alias("dst")))

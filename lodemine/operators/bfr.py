@@ -238,16 +238,14 @@ def bfr(
     k: int,
     chunks: int = 5,
     seed_factor: int = 10,
-    rs_factor: float = 0.8,
+    rs_clusters: int | None = None,
     radius: float = 2.0,
-    max_rs_clusters: int = 500,
     seed: int = 0,
 ) -> Clustering:
     """Cluster ``points`` chunk by chunk, keeping only summaries of settled clusters between chunks.
 
-    Chunk of a point: hash of its id. The retained points of each round are clustered again with
-    rs_factor * |retained| centres, at most ``max_rs_clusters`` (a K-means parameter: fewer centres make coarser
-    compression clusters, and no point is left out).
+    Chunk of a point: hash of its id. The retained points of each round are clustered again with ``rs_clusters`` centres,
+    five times ``k`` unless given (as many as there are points, if they are fewer).
     """
     spark: SparkSession = points.sparkSession
     base = materialize(
@@ -283,8 +281,7 @@ def bfr(
         n = retained.count()
         if n < 2:
             return retained
-        centres = min(max(1, int(rs_factor * n)), max_rs_clusters)
-        grouped, alone = _split_singles(_k_means(retained, centres, seed))
+        grouped, alone = _split_singles(_k_means(retained, min(n, rs_clusters or 5 * k), seed))
         grouped = materialize(grouped.withColumn("cluster", F.col("cluster") + next_key))
         fresh = Summaries.collect(cluster_stats(grouped), dims)
         if fresh.keys:

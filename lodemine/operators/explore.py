@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodemine.session import materialize
+
 
 def top_k(df: DataFrame, key: str, k: int = 10) -> DataFrame:
     """The ``k`` most frequent keys by (count descending, key ascending)."""
@@ -25,27 +27,28 @@ def in_year(df: DataFrame, date: str, year: int) -> DataFrame:
 
 
 def summary(df: DataFrame, user: str, item: str, date: str, year: int = 2018, k: int = 10) -> DataFrame:
-    """One row: row counts, distinct users and items, and the top-k of each as arrays of (key, cnt)."""
-    spark = df.sparkSession
-    users, items = key_counts(df, user), key_counts(df, item)
+    """One row: row counts, distinct users and items, and the top-k of each as arrays of (key, cnt).
 
-    def measures(counts: DataFrame, key: str, name: str) -> DataFrame:
-        return counts.agg(F.count(F.col(key)).alias(f"n_{name}"), F.sum("cnt").alias("n_review"))
+    The rows are read once, into stored counts per (user, item) from which all measures come.
+    """
+    kind = df.schema[date].dataType.simpleString()
+    start, end = (F.lit(str(dt.datetime(y, 1, 1))).cast(kind) for y in (year, year + 1))
+    inside = F.count(F.when((F.col(date) >= start) & (F.col(date) < end), 1))
+    counts = materialize(df.groupBy(user, item).agg(F.count(F.lit(1)).alias("cnt"), inside.alias("_in_year")))
 
-    def top(counts: DataFrame, key: str) -> DataFrame:
-        first = counts.orderBy(F.desc("cnt"), F.asc(key)).limit(k)
+    def side(key: str, name: str) -> tuple[Column, Column]:
+        """Number of non-null keys and the top-k, from one row per key."""
+        per_key = materialize(counts.groupBy(key).agg(F.sum("cnt").alias("cnt")), small=True)
         ordered = F.array_sort(F.collect_list(F.struct((-F.col("cnt")).alias("neg"), F.col(key).alias("key"))))
-        return first.agg(F.transform(ordered, lambda x: F.struct(x["key"].alias("key"), (-x["neg"]).alias("cnt"))))
-
-    per_user = measures(users, user, "user")
-    return spark.range(1).select(
-        per_user.select("n_review").scalar().alias("n_review"),
-        in_year(df, date, year).agg(F.count(F.lit(1))).scalar().alias("n_review_year"),
-        per_user.select("n_user").scalar().alias("n_user"),
-        top(users, user).scalar().alias("top_users"),
-        measures(items, item, "item").select("n_item").scalar().alias("n_item"),
-        top(items, item).scalar().alias("top_items"),
-    )
+        first = per_key.orderBy(F.desc("cnt"), F.asc(key)).limit(k)
+        top = first.agg(F.transform(ordered, lambda x: F.struct(x["key"].alias("key"), (-x["neg"]).alias("cnt"))))
+        number = per_key.agg(F.count(F.col(key)))
+        return number.scalar().alias(f"n_{name}"), top.scalar().alias(f"top_{name}s")
+
+    n_user, top_users = side(user, "user")
+    n_item, top_items = side(item, "item")
+    totals = counts.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("n_review"), F.coalesce(F.sum("_in_year"), F.lit(0)).alias("n_review_year"))
+    return totals.select("n_review", "n_review_year", n_user, top_users, n_item, top_items)
 
 
 def group_mean(facts: DataFrame, dim: DataFrame, on: str, group: str, value: str) -> DataFrame:

@@ -99,9 +99,16 @@ def count_itemsets(b: DataFrame, candidates: DataFrame) -> DataFrame:
         return _empty(b)
     singles = candidates.where("size = 1").select(F.element_at("itemset", 1).alias("item"))
     kept = skew_join(b.select("basket", "item"), singles, "item", "left_semi")
-    arrays = materialize(kept.groupBy("basket").agg(F.array_sort(F.collect_list("item")).alias("_items")).select("_items"))
-    walk = arrays.select(F.posexplode("_items").alias("_at", "item"), "_items").select(
-        F.array("item").alias("prefix"), F.expr("slice(_items, _at + 2, size(_items))").alias("_rest")
+    arrays = kept.groupBy("basket").agg(F.array_sort(F.collect_list("item")).alias("_items")).groupBy("_items").agg(F.count(F.lit(1)).alias("_n"))
+
+    def alike(rows: DataFrame) -> DataFrame:
+        """Equal walk rows as one row with their number, so that no hot prefix is repeated basket by basket."""
+        return materialize(rows.groupBy("prefix", "_rest").agg(F.sum("_n").alias("_n")))
+
+    walk = alike(
+        arrays.select(F.posexplode("_items").alias("_at", "item"), "_items", "_n").select(
+            F.array("item").alias("prefix"), F.expr("slice(_items, _at + 2, size(_items))").alias("_rest"), "_n"
+        )
     )
     counted = []
     for size in range(1, deepest + 1):
@@ -115,11 +122,14 @@ def count_itemsets(b: DataFrame, candidates: DataFrame) -> DataFrame:
                 F.col("itemset").alias("prefix"), F.ceil(F.col("freq") / ROWS_PER_SPLIT).cast("int").alias("_splits")
             )
             met = skew_join(walk.where(F.size("_rest") > 0), follow, "prefix", hot=hot)
-            walk = met.select("prefix", "_rest", F.explode(F.array_intersect("_rest", "_next")).alias("item")).select(
-                F.concat("prefix", F.array("item")).alias("prefix"),
-                F.expr("slice(_rest, cast(array_position(_rest, item) as int) + 1, size(_rest))").alias("_rest"),
+            walk = alike(
+                met.select("prefix", "_rest", "_n", F.explode(F.array_intersect("_rest", "_next")).alias("item")).select(
+                    F.concat("prefix", F.array("item")).alias("prefix"),
+                    F.expr("slice(_rest, cast(array_position(_rest, item) as int) + 1, size(_rest))").alias("_rest"),
+                    "_n",
+                )
             )
-        counts = walk.groupBy(F.col("prefix").alias("itemset")).agg(F.count(F.lit(1)).alias("freq"))
+        counts = walk.groupBy(F.col("prefix").alias("itemset")).agg(F.sum("_n").alias("freq"))
         counted.append(materialize(counts.select(F.lit(size).alias("size"), "itemset", "freq")))
     out = counted[0]
     for more in counted[1:]:

@@ -25,8 +25,8 @@ MAX_KEY_LENGTH = 4
 
 
 def rare_first(sets: DataFrame, id: str, elem: str) -> DataFrame:
-    """(id, elem, pos, size) with each set's elements numbered from the globally rarest to the most common."""
-    rows = sets.select(F.col(id).alias("id"), F.col(elem).alias("elem")).distinct()
+    """(id, elem, pos, size) with each set's elements, given as distinct rows, numbered from the globally rarest to the most common."""
+    rows = sets.select(F.col(id).alias("id"), F.col(elem).alias("elem"))
     freq = rows.groupBy("elem").agg(F.count(F.lit(1)).alias("_freq"))
     ranked = positions(skew_join(rows, freq, "elem"), ["id"], ["_freq", "elem"], name="pos", total="size")
     return materialize(ranked.select("id", "elem", "pos", "size"))
@@ -84,12 +84,6 @@ def _pairs(left: DataFrame, right: DataFrame, on: list[str], rule: PairRule, len
     return joined.where((F.col("id_1") < F.col("id_2")) & rule.reachable(length)).select("id_1", "size_1", "id_2", "size_2")
 
 
-def pair_work(keys: DataFrame) -> float:
-    """Number of pairs that share a key, from the key counts alone."""
-    counts = keys.groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    return counts.agg(F.sum(F.col("_n") * (F.col("_n") - 1) / 2)).first()[0] or 0.0
-
-
 def first_keys(ranked: DataFrame, rule: PairRule) -> DataFrame:
     """Keys of one element: the rare prefix of every set."""
     prefix = ranked.where(F.col("pos") <= F.col("size") - rule.least(F.col("size")) + 1)

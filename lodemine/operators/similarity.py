@@ -1,6 +1,6 @@
 """Set similarity: MinHash signatures, banded LSH pairs and exact Jaccard pairs.
 
-Items with identical element sets are folded into one representative first, so a mass of copies is one set in
+The (id, elem) rows given to the operators are distinct, as :func:`words` makes them. Items with identical element sets are folded into one representative first, so a mass of copies is one set in
 every join. Results name representatives; :func:`expand_pairs` lists the pairs of the items themselves.
 """
 
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodemine.functions.hashing import affine_family
-from lodemine.operators.overlap import CROWDED, PAIR_SPLIT, PairRule, candidate_pairs, common_counts, first_keys, pair_work, rare_first
+from lodemine.operators.overlap import CROWDED, PAIR_SPLIT, PairRule, candidate_pairs, common_counts, first_keys, rare_first
 from lodemine.operators.skew import hot_keys, positions, skew_join
 from lodemine.session import materialize
 
@@ -20,8 +20,8 @@ HASHES_PER_PART = 10
 
 
 def words(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, word): the distinct lower-case words of the whole text."""
-    return docs.select(id, F.explode(F.split(F.lower(text), "[ \\t\\n\\r\\f]+")).alias("word")).where("word <> ''").distinct()
+    """(id, word): the distinct lower-case words of the whole text; ids are unique, so rows are distinct without a shuffle."""
+    return docs.select(id, F.explode(F.array_distinct(F.split(F.lower(text), "[ \\t\\n\\r\\f]+"))).alias("word")).where("word <> ''")
 
 
 def set_groups(sets: DataFrame, id: str, elem: str) -> DataFrame:
@@ -31,13 +31,11 @@ def set_groups(sets: DataFrame, id: str, elem: str) -> DataFrame:
     mergeable aggregation: no set is ever gathered in one place.
     """
     prints = (
-        sets.select(id, elem)
-        .distinct()
-        .groupBy(id)
+        sets.groupBy(id)
         .agg(
             F.count(F.lit(1)).alias("_size"),
             F.bit_xor(F.xxhash64(elem)).alias("_h1"),
-            F.bit_xor(F.xxhash64(elem, F.lit("second"))).alias("_h2"),
+            F.bit_xor(F.xxhash64(F.lit("second"), elem)).alias("_h2"),
         )
     )
     marks = ["_size", "_h1", "_h2"]
@@ -48,7 +46,7 @@ def set_groups(sets: DataFrame, id: str, elem: str) -> DataFrame:
 def distinct_sets(sets: DataFrame, groups: DataFrame, id: str, elem: str) -> DataFrame:
     """Rows of the representatives only."""
     reps = groups.where(F.col(id) == F.col("rep")).select(id)
-    return skew_join(sets.select(id, elem).distinct(), reps, id, "left_semi")
+    return skew_join(sets.select(id, elem), reps, id, "left_semi")
 
 
 def element_index(sets: DataFrame, elem: str) -> DataFrame:
@@ -59,8 +57,8 @@ def element_index(sets: DataFrame, elem: str) -> DataFrame:
 def indexed(sets: DataFrame, id: str, elem: str) -> DataFrame:
     """(id, idx) rows; an integer element is its own index."""
     if sets.schema[elem].dataType.simpleString() in ("int", "bigint"):
-        return sets.select(id, F.col(elem).cast("bigint").alias("idx")).distinct()
-    return skew_join(sets.select(id, elem).distinct(), element_index(sets, elem), elem).select(id, "idx")
+        return sets.select(id, F.col(elem).cast("bigint").alias("idx"))
+    return skew_join(sets.select(id, elem), element_index(sets, elem), elem).select(id, "idx")
 
 
 def minhash(sets: DataFrame, id: str, elem: str, n_hash: int = 80, modulus: int = 10000, seed: int = 80) -> DataFrame:
@@ -151,37 +149,22 @@ def lsh_pairs(
     seed: int = 80,
     groups: DataFrame | None = None,
     crowded: int = CROWDED,
-    meet_in: str = "cheaper",
 ) -> DataFrame:
     """Pairs of distinct sets that share an LSH bucket and have Jaccard similarity of at least ``threshold``.
 
-    A pair of the result both shares a bucket and shares a rare element, so it can be looked for in either:
-    in the buckets, where crowded ones are split by rare elements, or under the rare elements, with the buckets
-    compared for the pairs found. ``meet_in`` is 'buckets', 'elements', or 'cheaper' to count which of the two
-    has fewer pairs to look at (short bands over large sets put most unrelated pairs into a common bucket).
+    Sets meet in their buckets; crowded buckets are split by rare elements. Short bands over large sets, or a modulus that is small
+    against the number of elements, put many unrelated pairs into a common bucket: use longer bands and a large prime modulus there.
     """
     groups = materialize(set_groups(sets, id, elem)) if groups is None else groups
     reps = distinct_sets(sets, groups, id, elem)
     # The index must span all elements of the given sets; representatives carry every one of them.
     ranked = rare_first(reps, id, elem)
-    rule = PairRule.jaccard(threshold)
     in_bands = bands(signature(reps, id, elem, n_hash, modulus, seed), id, n_hash, n_bands)
-    keys = materialize(in_bands.select(F.xxhash64("band", "bucket").alias("key"), F.col(id).alias("id"), "band", "bucket"))
-    prefix = first_keys(ranked, rule)
-    if meet_in == "cheaper":
-        meet_in = "buckets" if pair_work(keys) <= pair_work(prefix) else "elements"
-    if meet_in == "buckets":
-        sizes = ranked.where("pos = 1").select("id", "size")
-        sized = materialize(keys.select("key", "id").join(sizes, "id").withColumn("pos", F.lit(0).cast("bigint")))
-        pairs = materialize(candidate_pairs(sized, ranked, rule, length=0, crowded=crowded))
-        return _named(_verified(pairs, ranked, threshold), id, groups)
-    pairs = materialize(candidate_pairs(prefix, ranked, rule, crowded=crowded))
-    close = materialize(_verified(pairs, ranked, threshold))
-    first = keys.select(F.col("id").alias("id_1"), "band", "bucket")
-    second = keys.select(F.col("id").alias("id_2"), "band", "bucket")
-    with_bands = skew_join(close, first, "id_1")
-    shared = skew_join(with_bands, second, ["id_2", "band", "bucket"], hot=hot_keys(close, ["id_2"]), hot_on=["id_2"])
-    return _named(shared.select("id_1", "id_2", "similarity").distinct(), id, groups)
+    keys = in_bands.select(F.xxhash64("band", "bucket").alias("key"), F.col(id).alias("id"))
+    sizes = ranked.where("pos = 1").select("id", "size")
+    sized = materialize(keys.join(sizes, "id").withColumn("pos", F.lit(0).cast("bigint")))
+    pairs = materialize(candidate_pairs(sized, ranked, PairRule.jaccard(threshold), length=0, crowded=crowded))
+    return _named(_verified(pairs, ranked, threshold), id, groups)
 
 
 def expand_pairs(pairs: DataFrame, groups: DataFrame, id: str) -> DataFrame:

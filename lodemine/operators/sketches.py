@@ -21,8 +21,9 @@ from lodemine.functions.hashing import (
     trailing_zeros,
 )
 
-# Below this many bits the table of first setters is small enough to be broadcast (one row per bit at most).
-BROADCAST_BITS = 1_000_000
+
+# Hash functions whose maxima share one aggregation row.
+HASHES_PER_PART = 10
 
 
 def batch_number(seq: Column | str, batch_size: int) -> Column:
@@ -58,8 +59,7 @@ def bit_setters(firsts: DataFrame, id: str, first: str, n_bits: int, family: lis
 def _new_rows(df: DataFrame, id: str, seq: str, n_bits: int, family: list[tuple[int, int, int]]) -> DataFrame:
     """Sequence numbers of the rows that set at least one bit, i.e. that the filter calls new."""
     firsts = df.groupBy(id).agg(F.min(seq).alias("_first"))
-    setters = bit_setters(firsts, id, "_first", n_bits, family).select(F.col("setter").alias(seq)).distinct()
-    return F.broadcast(setters) if n_bits <= BROADCAST_BITS else setters
+    return bit_setters(firsts, id, "_first", n_bits, family).select(F.col("setter").alias(seq)).distinct()
 
 
 def _bloom_family(df: DataFrame, n_bits: int, n_hash: int | None, seed: int) -> list[tuple[int, int, int]]:
@@ -95,14 +95,26 @@ def bloom_fpr(
 
 
 def fm_max_zeros(df: DataFrame, id: str, window: Sequence[str], modulus: int, family: list[tuple[int, int, int]]) -> DataFrame:
-    """(window, hash_no, max_zeros): mergeable state; ids collapse to residues before the hash functions fan out."""
+    """(window, hash_no, max_zeros): mergeable state.
+
+    Ids collapse to residues first; each residue is then repeated once per HASHES_PER_PART hash functions, whose maxima share
+    one aggregation row.
+    """
     residues = df.select(*window, string_residue(F.col(id).cast("string"), modulus).alias("residue")).distinct()
-    return (
-        residues.where(F.col("residue").isNotNull())
-        .select(*window, "residue", F.explode(family_rows(family)).alias("h"))
-        .groupBy(*window, F.col("h.hash_no").alias("hash_no"))
-        .agg(F.max(trailing_zeros(affine(F.col("residue"), F.col("h.a"), F.col("h.b"), modulus))).alias("max_zeros"))
-    )
+    numbers = range(HASHES_PER_PART)
+
+    def part(start: int) -> Column:
+        rows = family[start : start + HASHES_PER_PART]
+        rows += [rows[-1]] * (HASHES_PER_PART - len(rows))
+        factors = [F.lit(x).cast("bigint").alias(f"{n}{i}") for i, r in enumerate(rows) for n, x in (("a", r[1]), ("b", r[2]))]
+        return F.struct(F.lit(start // HASHES_PER_PART).alias("part"), *factors)
+
+    parts = F.array(*[part(start) for start in range(0, len(family), HASHES_PER_PART)])
+    zeros = [F.max(trailing_zeros(affine(F.col("residue"), F.col(f"h.a{i}"), F.col(f"h.b{i}"), modulus))).alias(f"m{i}") for i in numbers]
+    maxima = residues.where(F.col("residue").isNotNull()).select(*window, "residue", F.explode(parts).alias("h")).groupBy(*window, F.col("h.part").alias("part")).agg(*zeros)
+    out = maxima.select(*window, "part", F.posexplode(F.array(*[f"m{i}" for i in numbers])).alias("at", "max_zeros"))
+    out = out.select(*window, (F.col("part") * HASHES_PER_PART + F.col("at")).alias("hash_no"), "max_zeros")
+    return out.where(F.col("hash_no") < len(family))
 
 
 def fm_combine(maxima: DataFrame, window: Sequence[str], n_hash: int, groups: int) -> DataFrame:

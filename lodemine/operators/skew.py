@@ -34,18 +34,17 @@ def skew_join(
 ) -> DataFrame:
     """Equi-join with hot keys of ``left`` salted and the matching rows of ``right`` repeated per salt.
 
-    Hot keys are looked for first, by a count over the key columns of ``left``; without any, this is a plain join.
-    The salt is a hash of the left row, so a retried task salts alike. The hot-key table is broadcast: it has
-    at most (left rows / rows_per_split) rows. ``how`` may be inner, left, left_semi or left_anti. A caller that
+    Hot keys are looked for first, by a count over the key columns of ``left``, stored; without any, this is a plain join.
+    The salt is a hash of the left row, so a retried task salts alike. The hot-key table has at most
+    (left rows / rows_per_split) rows; whether to broadcast it is left to the planner. ``how`` may be inner, left, left_semi or left_anti. A caller that
     knows the hot keys passes them as ``hot``, over the columns ``hot_on`` (part of the join key, default all).
     """
     keys = [on] if isinstance(on, str) else list(on)
     hot_on = list(hot_on) if hot_on else keys
     if hot is None:
-        hot = hot_keys(left, hot_on, rows_per_split)
+        hot = materialize(hot_keys(left, hot_on, rows_per_split), small=True)
     if hot.isEmpty():
         return left.join(right, keys, how)
-    hot = F.broadcast(hot)
     any_null = F.lit(False)
     for key in keys:
         any_null = any_null | F.col(key).isNull()
@@ -77,15 +76,23 @@ def positions(
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     if not group:
         return _range_positions(df, group, order, name, total)
-    hot = hot_keys(df, group, rows_per_split)
-    if hot.isEmpty():
+    large = materialize(hot_keys(df, group, rows_per_split).select(*[F.col(g).alias(f"_large_{g}") for g in group]), small=True)
+    if large.isEmpty():
         return _window_positions(df, group, order, name, total)
-    large = F.broadcast(materialize(hot.select(*group), small=True))
-    return _window_positions(df.join(large, group, "left_anti"), group, order, name, total).unionByName(
-        _range_positions(df.join(large, group, "left_semi"), group, order, name, total)
+    same = _same({g: f"_large_{g}" for g in group})
+    return _window_positions(df.join(large, same, "left_anti"), group, order, name, total).unionByName(
+        _range_positions(df.join(large, same, "left_semi"), group, order, name, total)
     )
 
 
+def _same(columns: dict[str, str]) -> Column:
+    """Equality of column pairs under which NULL equals NULL, so that a NULL group is a group like others."""
+    out = F.lit(True)
+    for left, right in columns.items():
+        out = out & F.col(left).eqNullSafe(F.col(right))
+    return out
+
+
 def _window_positions(df: DataFrame, group: list[str], order: list[Column], name: str, total: str | None) -> DataFrame:
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint"))
     return ranked.withColumn(total, F.count(F.lit(1)).over(Window.partitionBy(*group))) if total else ranked
@@ -114,7 +121,8 @@ def _range_positions(df: DataFrame, group: list[str], order: list[Column], name:
         (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
         F.sum("_n").over(per_group).alias("_total"),
     )
-    out = numbered.join(shifts, [*group, "_range"])
+    shifts = shifts.select(*[F.col(g).alias(f"_of_{g}") for g in group], F.col("_range").alias("_of_range"), "_shift", "_total")
+    out = numbered.join(shifts, _same({**{g: f"_of_{g}" for g in group}, "_range": "_of_range"}))
     columns = [*[F.col(f"`{c}`") for c in df.columns], (F.col("_row") + F.col("_shift")).alias(name)]
     if total:
         columns.append(F.col("_total").alias(total))

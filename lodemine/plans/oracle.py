@@ -49,39 +49,55 @@ RETAIL = """raw AS (SELECT strftime(o_orderdate, '%Y-%m-%d') || '-' || o_custkey
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 b AS (SELECT DISTINCT k, i FROM raw WHERE k IN (SELECT k FROM raw GROUP BY k HAVING count(*) > 3)),
 nb AS (SELECT count(DISTINCT k) AS n FROM b)"""
-SETS = """sets AS (
-  SELECT k, 1 AS size, i::VARCHAR AS itemset FROM b
-  UNION ALL SELECT x.k, 2, x.i || ',' || y.i FROM b x JOIN b y ON x.k = y.k AND x.i < y.i
-  UNION ALL SELECT x.k, 3, x.i || ',' || y.i || ',' || z.i
-            FROM b x JOIN b y ON x.k = y.k AND x.i < y.i JOIN b z ON x.k = z.k AND y.i < z.i)"""
+CUSTOMERS = """b AS (SELECT DISTINCT l_partkey AS k, o_custkey AS i FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+nb AS (SELECT count(DISTINCT k) AS n FROM b)"""
+#: More levels than any of the test tables has; the level above the largest set is empty.
+LEVELS = 7
 
 
 def _support(share: int) -> str:
     return f"(SELECT greatest(1, n * {share} // 1000) FROM nb)"
 
 
+def _levels(group: str, bound: str) -> str:
+    """Level by level, the sets whose occurrences within ``group`` reach ``bound``; occurrences carry the basket."""
+    parts = [f"o1 AS MATERIALIZED (SELECT {group} AS c, k, [i] AS s, i AS last FROM b)"]
+    for n in range(1, LEVELS + 1):
+        parts.append(f"f{n} AS MATERIALIZED (SELECT c, s, count(*)::BIGINT AS freq FROM o{n} GROUP BY c, s HAVING {bound})")
+        if n < LEVELS:
+            parts.append(
+                f"o{n + 1} AS MATERIALIZED (SELECT o.c, o.k, list_append(o.s, b.i) AS s, b.i AS last"
+                f" FROM o{n} o JOIN f{n} USING (c, s) JOIN b ON b.k = o.k AND b.i > o.last)"
+            )
+    rows = " UNION ALL ".join(f"SELECT {n} AS size, c, s, freq FROM f{n}" for n in range(1, LEVELS + 1))
+    return ", ".join(parts) + f", sets AS (SELECT size, c, array_to_string(s, ',') AS itemset, s, freq FROM ({rows}))"
+
+
 def _frequent(baskets: str, share: int) -> str:
-    return f"""
-WITH {baskets}, {SETS}
-SELECT size, itemset, count(*)::BIGINT AS freq FROM sets GROUP BY size, itemset HAVING count(*) >= {_support(share)}"""
+    return f"WITH {baskets}, {_levels('0', f'count(*) >= {_support(share)}')} SELECT size, itemset, freq FROM sets"
 
 
-ORACLE["son_candidates"] = f"""
-WITH {BASKETS}, {SETS}, nc AS (SELECT k % 4 AS c, count(DISTINCT k) AS n_c FROM b GROUP BY 1),
-counts AS (SELECT k % 4 AS c, size, itemset, count(*) AS f FROM sets GROUP BY 1, 2, 3)
-SELECT DISTINCT size, itemset FROM counts JOIN nc USING (c), nb WHERE f * n >= n_c * {_support(4)}"""
+CHUNKS = "nc AS (SELECT k % 4 AS cc, count(DISTINCT k) AS n_c FROM b GROUP BY 1)"
+LOCAL = f"count(*) * (SELECT n FROM nb) >= (SELECT n_c FROM nc WHERE cc = c) * {_support(4)}"
+CANDIDATES = f"{BASKETS}, {CHUNKS}, {_levels('k % 4', LOCAL)}"
+ORACLE["son_candidates"] = f"WITH {CANDIDATES} SELECT DISTINCT size, itemset FROM sets"
 ORACLE["son_frequent"] = _frequent(BASKETS, 4)
 ORACLE["fpgrowth_frequent"] = _frequent(BASKETS, 4)
 ORACLE["retail_frequent"] = _frequent(RETAIL, 3)
+ORACLE["part_customers_frequent"] = _frequent(CUSTOMERS, 4)
 ORACLE["apriori_triples"] = f"""
 WITH {BASKETS}, p AS (SELECT x.i AS a, y.i AS c FROM b x JOIN b y ON x.k = y.k AND x.i < y.i GROUP BY 1, 2 HAVING count(*) >= {_support(22)})
 SELECT 3 AS size, p.a || ',' || p.c || ',' || q.c AS itemset
 FROM p JOIN p q ON p.c = q.a JOIN p r ON r.a = p.a AND r.c = q.c"""
+LINE = "string_agg('(''' || replace(itemset, ',', ''', ''') || ''')', ',' ORDER BY {}) AS line"
 ORACLE["itemset_report"] = f"""
-WITH {BASKETS}, {SETS}, f AS (SELECT size, itemset FROM sets WHERE size <= 2 GROUP BY 1, 2 HAVING count(*) >= {_support(4)})
-SELECT 'Frequent Itemsets' AS section, size, 0 AS segment,
-       string_agg('(''' || replace(itemset, ',', ''', ''') || ''')', ',' ORDER BY string_split(itemset, ',')) AS line
-FROM f GROUP BY size"""
+WITH {CANDIDATES}, cand AS (SELECT DISTINCT size, itemset, s FROM sets),
+total AS (SELECT size, itemset, s, count(*) AS freq FROM cand JOIN (SELECT k, list(i) AS items FROM b GROUP BY k) ON list_has_all(items, s) GROUP BY ALL),
+every AS (SELECT 'Candidates' AS section, size, itemset, s FROM cand
+          UNION ALL SELECT 'Frequent Itemsets', size, itemset, s FROM total WHERE freq >= {_support(4)})
+SELECT section, size, 0 AS segment, {LINE.format("s")} FROM every GROUP BY section, size"""
+BY_TEXT = LINE.format("'(''' || replace(itemset, ',', ''', ''') || ''')'")
+ORACLE["retail_report"] = f"SELECT 'Frequent Itemsets' AS section, size, 0 AS segment, {BY_TEXT} FROM ({ORACLE['retail_frequent']}) GROUP BY size"
 
 # --- similarity ------------------------------------------------------------------------------------------------
 
@@ -102,6 +118,8 @@ def _family(n: int, seed: int, *bounds: int) -> str:
 
 
 LSH_FAMILY = _family(80, 80, 10001, 10000)
+LSH_PRIME = 2147483647
+WIDE_FAMILY = _family(80, 80, LSH_PRIME + 1, LSH_PRIME)
 INDEX = "idx AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS i FROM (SELECT DISTINCT word FROM w))"
 ORACLE["minhash_signature"] = f"""
 WITH {WORDS}, {INDEX}, {LSH_FAMILY}
@@ -111,9 +129,9 @@ ORACLE["jaccard_pairs"] = f"""
 WITH {WORDS}, {GROUPS}, {EXACT}
 SELECT a AS item_1, c AS item_2, n1 AS n_copies_1, n2 AS n_copies_2, round(s, 6) AS similarity FROM exact WHERE s >= 0.5"""
 ORACLE["lsh_pairs"] = f"""
-WITH {WORDS}, {GROUPS}, {EXACT}, {INDEX}, {LSH_FAMILY},
-mh AS (SELECT doc_id, j, min((a * i + b) % 10000) AS m FROM rw JOIN idx USING (word), fam GROUP BY 1, 2),
-bands AS (SELECT doc_id, j // 2 AS band, string_agg(m, ',' ORDER BY j) AS bucket FROM mh GROUP BY 1, 2),
+WITH {WORDS}, {GROUPS}, {EXACT}, {INDEX}, {WIDE_FAMILY},
+mh AS (SELECT doc_id, j, min((a * i + b) % {LSH_PRIME}) AS m FROM rw JOIN idx USING (word), fam GROUP BY 1, 2),
+bands AS (SELECT doc_id, j // 4 AS band, string_agg(m, ',' ORDER BY j) AS bucket FROM mh GROUP BY 1, 2),
 near AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS c FROM bands x JOIN bands y USING (band, bucket) WHERE x.doc_id < y.doc_id)
 SELECT a AS item_1, c AS item_2, n1 AS n_copies_1, n2 AS n_copies_2, round(s, 6) AS similarity
 FROM exact JOIN near USING (a, c) WHERE s >= 0.5"""
@@ -143,8 +161,8 @@ SELECT usr AS "user", item, round(p, 6) AS prediction, nn::BIGINT AS n_neighbour
 ORACLE["cf_rmse"] = f"""
 WITH {TRAIN_TEST}, {SIMS}, {CF} SELECT round(sqrt(avg((p - r) * (p - r))), 6) AS rmse, count(*)::BIGINT AS n FROM pred"""
 PROFILES = f"""{CITIES},
-users AS (SELECT usr, count(*)::BIGINT AS uc, avg(stars) AS us FROM reviews GROUP BY usr),
-items AS (SELECT item, count(*)::BIGINT AS ic, avg(stars) AS ist FROM reviews GROUP BY item)"""
+users AS (SELECT usr, count(*)::BIGINT AS uc, avg(stars) AS us FROM reviews WHERE order_key % 5 <> 0 GROUP BY usr),
+items AS (SELECT item, count(*)::BIGINT AS ic, avg(stars) AS ist FROM reviews WHERE order_key % 5 <> 0 GROUP BY item)"""
 BASIC = """basic AS (
   SELECT t.usr, t.item, t.r, coalesce(uc, 0) AS uc, coalesce(us, (SELECT avg(us) FROM users)) AS us,
          coalesce(ic, 0) AS ic, coalesce(ist, (SELECT avg(ist) FROM items)) AS ist
@@ -168,16 +186,19 @@ FROM basic LEFT JOIN customer ON usr = c_custkey LEFT JOIN cities USING (item) L
      LEFT JOIN ph USING (item) LEFT JOIN ch USING (item)"""
 ORACLE["hybrid_blend"] = f"""
 WITH {TRAIN_TEST}, {SIMS}, {CF}, {PROFILES},
-x AS (SELECT usr, item, cf, mb, CASE WHEN nn > 0 THEN nn * 60.0::DOUBLE / (nn * 60.0::DOUBLE + uc + ic) ELSE 0.0 END AS alpha
-      FROM pred JOIN users USING (usr) JOIN items USING (item))
+x AS (SELECT usr, item, cf, mb, CASE WHEN nn > 0 THEN nn * 60.0::DOUBLE / (nn * 60.0::DOUBLE + coalesce(uc, 0) + coalesce(ic, 0)) ELSE 0.0 END AS alpha
+      FROM pred LEFT JOIN users USING (usr) LEFT JOIN items USING (item))
 SELECT usr AS "user", item, round(alpha::DOUBLE, 6) AS alpha, round(alpha * coalesce(cf, 0.0) + (1 - alpha) * mb, 6) AS prediction FROM x"""
 
+CHECKED = f"WITH {TRAIN_TEST} SELECT count(*)::BIGINT AS n, true AS not_low, true AS not_high, true AS near_mean_or_better FROM test"
+for name in ("gbt_wide_checked", "gbt_basic_checked", "hybrid_checked"):
+    ORACLE[name] = CHECKED
+
 # --- graph -----------------------------------------------------------------------------------------------------
 
-EDGES = """act AS (SELECT DISTINCT user_id AS u, event_type || '|' || strftime(ts, '%Y-%m-%d') AS i FROM events),
-th AS (SELECT CASE WHEN count(*) < 5000 THEN 20 WHEN count(*) < 50000 THEN 30 ELSE 37 END AS t FROM events),
+EDGES = """act AS (SELECT DISTINCT user_id AS u, event_type || '|' || strftime(ts, '%Y-%m-%d %H') AS i FROM events),
 edges AS MATERIALIZED (SELECT x.u AS src, y.u AS dst, count(*)::BIGINT AS shared FROM act x JOIN act y ON x.i = y.i AND x.u < y.u
-          GROUP BY 1, 2 HAVING count(*) >= (SELECT t FROM th)),
+          GROUP BY 1, 2 HAVING count(*) >= 6),
 both_ways AS MATERIALIZED (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges),
 vertices AS MATERIALIZED (SELECT DISTINCT src AS id FROM both_ways)"""
 ORACLE["graph_edges"] = f"WITH {EDGES} SELECT src, dst, shared FROM edges"
@@ -212,6 +233,20 @@ scores AS (SELECT e.src, e.dst, sum(a.n * z.n / st.n) AS betweenness
        JOIN sigma st ON st.s = a.s AND st.v = z.v AND st.d = a.d + 1 + z.d
   WHERE a.s < z.v GROUP BY 1, 2)"""
 ORACLE["edge_betweenness"] = f"WITH RECURSIVE {EDGES}, {BETWEENNESS} SELECT src, dst, round(betweenness, 6) AS betweenness FROM scores"
+ORACLE["betweenness_report"] = f"""
+WITH RECURSIVE {EDGES}, {BETWEENNESS}
+SELECT '(''' || src || ''', ''' || dst || '''),' || round(betweenness, 5) AS line FROM scores"""
+ORACLE["girvan_newman_round"] = f"""
+WITH RECURSIVE {EDGES}, {BETWEENNESS},
+top AS (SELECT max(betweenness) * (1 - 1e-9) AS t FROM scores),
+rest AS MATERIALIZED (SELECT src, dst FROM scores, top WHERE betweenness < t UNION ALL SELECT dst, src FROM scores, top WHERE betweenness < t),
+reach(id, r) AS (SELECT id, id FROM vertices UNION SELECT dst, r FROM reach JOIN rest ON src = id),
+part AS MATERIALIZED (SELECT id, min(r) AS c FROM reach GROUP BY id),
+k AS (SELECT src AS id, count(*) AS k FROM both_ways GROUP BY 1), m AS (SELECT count(*)::DOUBLE AS m FROM edges),
+inner_ends AS (SELECT count(*) AS n FROM both_ways JOIN part p ON p.id = src JOIN part q ON q.id = dst WHERE p.c = q.c),
+degrees AS (SELECT sum(d * d) AS dd FROM (SELECT sum(k) AS d FROM k JOIN part USING (id) GROUP BY c))
+SELECT 1 AS round, (SELECT count(*) FROM scores, top WHERE betweenness >= t) AS n_cut, (SELECT count(DISTINCT c) FROM part) AS n_communities,
+       round(n / (2 * m) - dd / (4 * m * m), 6) AS modularity FROM m, inner_ends, degrees"""
 ORACLE["modularity"] = f"""
 WITH {EDGES}, k AS (SELECT src AS id, count(*) AS k FROM both_ways GROUP BY 1), m AS (SELECT count(*) AS m FROM edges)
 SELECT round((SELECT sum(CASE WHEN e.src IS NULL THEN 0 ELSE 1 END - a.k * c.k / (2 * m)) FROM k a JOIN k c ON a.id % 3 = c.id % 3
@@ -259,6 +294,12 @@ ORACLE["bloom_fpr"] = f"""
 WITH {BLOOM}, x AS (SELECT (seq - 1) // 50 AS batch, id, bool_or(is_new) AS any_new FROM seen GROUP BY 1, 2),
 prev AS (SELECT *, min(batch) OVER (PARTITION BY id) AS first_batch FROM x)
 SELECT batch, round(count(*) FILTER (WHERE NOT any_new AND first_batch = batch) / 50, 6) AS fpr FROM prev GROUP BY batch"""
+ORACLE["bloom_seen_parts"] = f"""
+WITH {PART_STREAM}, {_residue(69997)}, {_family(60, 11)},
+k AS (SELECT greatest(1, round(69997 / count(*) * ln(2))) AS k FROM s),
+bits AS (SELECT seq, id, (a * x + b) % 69997 AS bit FROM s JOIN res USING (id), fam, k WHERE j < k),
+firsts AS (SELECT bit, min(seq) AS f FROM bits GROUP BY bit)
+SELECT seq, id, bool_or(f = seq) AS is_new FROM bits JOIN firsts USING (bit) GROUP BY seq, id"""
 FM = f"""{_residue(69997)}, {_family(200, 23)},
 h AS (SELECT DISTINCT (seq - 1) // 1000 AS batch, x FROM s JOIN res USING (id)),
 v AS (SELECT batch, j, (a * x + b) % 69997 AS v FROM h, fam),

@@ -20,10 +20,13 @@ REGISTRY: dict[str, Query] = {}
 YEAR = 1998
 BLOOM_BITS, BLOOM_HASHES = 499, 2
 BATCH = 1000
+STREAM_FILES = 4
 SON_CHUNKS = 4
 SON_SHARE, RETAIL_SHARE = 4, 3  # support in thousandths of the baskets
+CUSTOMER_SHARE = 4
 PAIR_SHARE = 22  # about half of the brand pairs
 RETAIL_MIN_ROWS = 3
+LSH_PRIME = 2_147_483_647
 CATEGORY_WORD = "7"
 
 
@@ -118,19 +121,19 @@ def _flat(sets: DataFrame) -> DataFrame:
 @register
 def son_candidates(spark, folder):
     b = _brand_baskets(spark, folder)
-    return _flat(itemsets.son_candidates(b, _support(b, SON_SHARE), SON_CHUNKS, max_k=3))
+    return _flat(itemsets.son_candidates(b, _support(b, SON_SHARE), SON_CHUNKS))
 
 
 @register
 def son_frequent(spark, folder):
     b = _brand_baskets(spark, folder)
-    return _flat(itemsets.frequent_itemsets(b, _support(b, SON_SHARE), max_k=3, chunks=SON_CHUNKS))
+    return _flat(itemsets.frequent_itemsets(b, _support(b, SON_SHARE), chunks=SON_CHUNKS))
 
 
 @register
 def fpgrowth_frequent(spark, folder):
     b = _brand_baskets(spark, folder)
-    return _flat(itemsets.frequent_itemsets(b, _support(b, SON_SHARE), max_k=3, backend="fpgrowth"))
+    return _flat(itemsets.frequent_itemsets(b, _support(b, SON_SHARE), backend="fpgrowth"))
 
 
 @register
@@ -143,14 +146,31 @@ def apriori_triples(spark, folder):
 @register
 def retail_frequent(spark, folder):
     b = materialize(itemsets.baskets(views.retail_rows(spark, folder), ["day", "customer"], "product", RETAIL_MIN_ROWS))
-    return _flat(itemsets.frequent_itemsets(b, _support(b, RETAIL_SHARE), max_k=3, chunks=SON_CHUNKS))
+    return _flat(itemsets.frequent_itemsets(b, _support(b, RETAIL_SHARE), chunks=SON_CHUNKS))
 
 
 @register
 def itemset_report(spark, folder):
+    """Candidates and frequent itemsets of all sizes."""
     b = _brand_baskets(spark, folder)
-    found = itemsets.frequent_itemsets(b, _support(b, SON_SHARE), max_k=2, backend="fpgrowth")
-    return itemsets.itemset_lines({"Frequent Itemsets": found}).select("section", "size", "segment", "line")
+    support = _support(b, SON_SHARE)
+    candidates = materialize(itemsets.son_candidates(b, support, SON_CHUNKS))
+    found = itemsets.count_itemsets(b, candidates).where(F.col("freq") >= support)
+    return itemsets.itemset_lines({"Candidates": candidates, "Frequent Itemsets": found}).select("section", "size", "segment", "line")
+
+
+@register
+def retail_report(spark, folder):
+    """Frequent itemsets of the retail baskets, ordered by their text."""
+    found = REGISTRY["retail_frequent"](spark, folder).withColumn("itemset", F.split("itemset", ","))
+    return itemsets.itemset_lines({"Frequent Itemsets": found}, by_text=True).select("section", "size", "segment", "line")
+
+
+@register
+def part_customers_frequent(spark, folder):
+    """The other direction: a part's basket holds the customers who ordered it."""
+    b = materialize(itemsets.baskets(views.part_customers(spark, folder), "part", "customer"))
+    return _flat(itemsets.frequent_itemsets(b, _support(b, CUSTOMER_SHARE), chunks=SON_CHUNKS))
 
 
 # --- similarity ------------------------------------------------------------------------------------------------
@@ -177,7 +197,8 @@ def _similar(pairs: DataFrame) -> DataFrame:
 
 @register
 def lsh_pairs(spark, folder):
-    return _similar(similarity.lsh_pairs(_words(spark, folder), "doc_id", "word"))
+    """Twenty bands of four hashes modulo a large prime, so that buckets hold what is similar."""
+    return _similar(similarity.lsh_pairs(_words(spark, folder), "doc_id", "word", n_bands=20, modulus=LSH_PRIME))
 
 
 @register
@@ -188,8 +209,12 @@ def jaccard_pairs(spark, folder):
 # --- recommendation --------------------------------------------------------------------------------------------
 
 
-def _train_test(spark, folder):
-    return materialize(views.ratings(spark, folder, test=False)), materialize(views.ratings(spark, folder, test=True))
+def _facts(spark, folder):
+    return materialize(views.rating_facts(spark, folder))
+
+
+def _train_test(facts):
+    return views.ratings(facts, "train"), views.ratings(facts, "test")
 
 
 def _sims(train: DataFrame) -> DataFrame:
@@ -198,32 +223,32 @@ def _sims(train: DataFrame) -> DataFrame:
 
 @register
 def item_pearson(spark, folder):
-    sims = recommend.item_similarity(views.ratings(spark, folder, test=False))
+    sims = recommend.item_similarity(_train_test(_facts(spark, folder))[0])
     return sims.withColumn("weight", r6("weight"))
 
 
 @register
 def cf_predict(spark, folder):
-    train, test = _train_test(spark, folder)
+    train, test = _train_test(_facts(spark, folder))
     return recommend.cf_predict(train, test, _sims(train)).withColumn("prediction", r6("prediction"))
 
 
 @register
 def cf_rmse(spark, folder):
-    train, test = _train_test(spark, folder)
+    train, test = _train_test(_facts(spark, folder))
     return recommend.rmse(recommend.cf_predict(train, test, _sims(train)), test).withColumn("rmse", r6("rmse"))
 
 
-def _profiles(spark, folder):
-    """User and item profile tables with counts and means over all reviews."""
-    all_reviews = views.reviews(spark, folder)
+def _profiles(spark, folder, facts):
+    """User and item profile tables with counts and means over the training part, so that no test rating is among its own features."""
 
     def profile(key: str) -> DataFrame:
-        return all_reviews.groupBy(key).agg(F.count(F.lit(1)).alias("review_count"), F.avg("stars").alias("stars"))
+        sums = facts.where("n_train > 0").groupBy(key).agg(F.sum("n_train").alias("review_count"), F.sum("s_train").alias("_s"))
+        return materialize(sums.select(key, "review_count", (F.col("_s") / F.col("review_count")).alias("stars")))
 
     useful = table(spark, folder, "customer").select(F.col("c_custkey").alias("user"), F.floor("c_acctbal").cast("bigint").alias("useful"))
-    users = profile("user").withColumnRenamed("stars", "average_stars").join(useful, "user", "left")
-    items = profile("item").join(views.cities(spark, folder).select("item", "state", "categories"), "item", "left")
+    users = useful.join(profile("user").withColumnRenamed("stars", "average_stars"), "user", "left")
+    items = views.cities(spark, folder).select("item", "state", "categories").join(profile("item"), "item", "left")
     return users, items
 
 
@@ -237,11 +262,12 @@ def _side_facts(spark, folder):
     return tips, photos, checkins
 
 
-def _wide(spark, folder, pairs):
-    users, items = _profiles(spark, folder)
-    tips, photos, checkins = _side_facts(spark, folder)
-    levels = recommend.level_list(views.cities(spark, folder), "state")
-    return recommend.wide_features(pairs, users, items, tips, photos, checkins, levels, CATEGORY_WORD)
+def _wide(spark, folder, facts, pairs, levels=None):
+    return recommend.wide_features(pairs, *_profiles(spark, folder, facts), *_side_facts(spark, folder), levels, CATEGORY_WORD)
+
+
+def _basic(spark, folder, facts, pairs):
+    return recommend.basic_features(pairs, *_profiles(spark, folder, facts))
 
 
 def _rounded_features(features: DataFrame) -> DataFrame:
@@ -251,63 +277,98 @@ def _rounded_features(features: DataFrame) -> DataFrame:
 
 @register
 def features_basic(spark, folder):
-    users, items = _profiles(spark, folder)
-    return _rounded_features(recommend.basic_features(views.ratings(spark, folder, test=True), users, items))
+    facts = _facts(spark, folder)
+    return _rounded_features(_basic(spark, folder, facts, _train_test(facts)[1]))
 
 
 @register
 def features_wide(spark, folder):
-    return _rounded_features(_wide(spark, folder, views.ratings(spark, folder, test=True)))
+    facts = _facts(spark, folder)
+    states = recommend.level_list(table(spark, folder, "region"), "r_name")
+    return _rounded_features(_wide(spark, folder, facts, _train_test(facts)[1], states))
+
+
+def _model_based(spark, folder, features):
+    """Predictions for the test part by trees fitted to the training part, with the facts and the model's features there."""
+    facts = _facts(spark, folder)
+    train, test = _train_test(facts)
+    model = recommend.fit_rating_model(materialize(features(spark, folder, facts, train)))
+    return materialize(recommend.predict_rating(model, features(spark, folder, facts, test))), facts
 
 
-def _model_based(spark, folder):
-    train, test = _train_test(spark, folder)
-    model = recommend.fit_rating_model(materialize(_wide(spark, folder, train)))
-    return recommend.predict_rating(model, _wide(spark, folder, test)), test
+def _checked(predictions: DataFrame, facts: DataFrame) -> DataFrame:
+    """What can be said of fitted predictions without their exact values.
+
+    Their number and range, and whether they are at least nearly as good as the mean rating (trees may
+    follow noise where the ratings carry no signal).
+    """
+    train, test = _train_test(facts)
+    truth = predictions.join(test, ["user", "item"]).withColumn("mean", train.agg(F.avg("rating")).scalar())
+    own, base = (F.avg(F.pow(F.col(c) - F.col("rating"), 2)) for c in ("prediction", "mean"))
+    return truth.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.min("prediction") >= 0.5, F.lit(False)).alias("not_low"), F.coalesce(F.max("prediction") <= 5.5, F.lit(False)).alias("not_high"),
+        (own <= 1.1 * base).alias("near_mean_or_better"),
+    )
 
 
 @register
 def gbt_predict(spark, folder):
-    return _model_based(spark, folder)[0]
+    return _model_based(spark, folder, _wide)[0]
 
 
 @register
 def gbt_rmse(spark, folder):
-    predictions, test = _model_based(spark, folder)
-    return recommend.rmse(predictions, test)
+    predictions, facts = _model_based(spark, folder, _wide)
+    return recommend.rmse(predictions, _train_test(facts)[1])
+
+
+@register
+def gbt_wide_checked(spark, folder):
+    return _checked(*_model_based(spark, folder, _wide))
+
+
+@register
+def gbt_basic_checked(spark, folder):
+    """The trees on the four basic features."""
+    return _checked(*_model_based(spark, folder, _basic))
 
 
 @register
 def hybrid_blend(spark, folder):
     """Blend of the neighbour prediction with the item mean as the model part, which keeps it checkable by SQL."""
-    train, test = _train_test(spark, folder)
-    sims = _sims(train)
-    users, items = _profiles(spark, folder)
-    counts = recommend.basic_features(test, users, items).select("user", "item", "user_review_cnt", "item_review_cnt")
-    means = recommend.item_means(train)
-    model_based = recommend.skew_join(test.select("user", "item"), means, "item", "left").select(
+    facts = _facts(spark, folder)
+    train, test = _train_test(facts)
+    counts = _basic(spark, folder, facts, test).select("user", "item", "user_review_cnt", "item_review_cnt")
+    model_based = test.select("user", "item").join(recommend.item_means(train), "item", "left").select(
         "user", "item", F.coalesce("item_mean", F.lit(3.0)).alias("prediction")
     )
-    out = recommend.blend(recommend.cf_parts(train, test, sims), model_based, counts)
+    out = recommend.blend(recommend.cf_parts(train, test, _sims(train)), model_based, counts)
     return out.select("user", "item", r6("alpha").alias("alpha"), r6("prediction").alias("prediction"))
 
 
+def _hybrid(spark, folder):
+    predictions, facts = _model_based(spark, folder, _wide)
+    train, test = _train_test(facts)
+    counts = _basic(spark, folder, facts, test).select("user", "item", "user_review_cnt", "item_review_cnt")
+    return recommend.blend(recommend.cf_parts(train, test, _sims(train)), predictions, counts), facts
+
+
 @register
 def hybrid_predict(spark, folder):
     """The blend with the boosted-tree model."""
-    predictions, test = _model_based(spark, folder)
-    train = materialize(views.ratings(spark, folder, test=False))
-    users, items = _profiles(spark, folder)
-    counts = recommend.basic_features(test, users, items).select("user", "item", "user_review_cnt", "item_review_cnt")
-    return recommend.blend(recommend.cf_parts(train, test, _sims(train)), predictions, counts)
+    return _hybrid(spark, folder)[0]
+
+
+@register
+def hybrid_checked(spark, folder):
+    return _checked(*_hybrid(spark, folder))
 
 
 # --- graph -----------------------------------------------------------------------------------------------------
 
 
-def _edges(spark, folder, more: int = 0):
-    threshold = views.activity_threshold(spark, folder) + more
-    return graph.co_occurrence_edges(views.activity(spark, folder), "user", "item", threshold)
+def _edges(spark, folder):
+    return graph.co_occurrence_edges(views.activity(spark, folder), "user", "item", views.ACTIVITY_THRESHOLD)
 
 
 @register
@@ -350,8 +411,15 @@ def modularity(spark, folder):
 
 @register
 def girvan_newman(spark, folder):
-    """Run to the last edge, on a sparser graph than the other queries."""
-    return graph.community_members(graph.girvan_newman(_edges(spark, folder, more=3)).partition)
+    """Run to the last edge."""
+    return graph.community_members(graph.girvan_newman(_edges(spark, folder)).partition)
+
+
+@register
+def girvan_newman_round(spark, folder):
+    """The first round: edges cut, communities left, modularity."""
+    rounds = graph.girvan_newman(_edges(spark, folder), max_rounds=1).rounds
+    return rounds.withColumn("modularity", r6("modularity"))
 
 
 # --- chunked clustering ----------------------------------------------------------------------------------------
@@ -416,6 +484,12 @@ def bloom_fpr(spark, folder):
     return out.withColumn("fpr", r6("fpr"))
 
 
+@register
+def bloom_seen_parts(spark, folder):
+    """A filter of the usual size, with the number of hash functions that its stream calls for."""
+    return sketches.bloom_seen(views.part_stream(spark, folder), "id", "seq")
+
+
 @register
 def fm_estimate(spark, folder):
     stream = views.part_stream(spark, folder).withColumn("batch", sketches.batch_number("seq", BATCH))
@@ -433,8 +507,14 @@ def reservoir_snapshots(spark, folder):
 
 
 def _event_files(spark, folder):
-    schema = table(spark, folder, "events").schema
-    raw = live.read_stream(spark, folder, schema, only="events.parquet")
+    """The whole event table as a stream of several files, written one after the other in order of arrival."""
+    events = table(spark, folder, "events")
+    path = scratch_path(spark, "events")
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    for k in range(STREAM_FILES):
+        low, high = (last + 1) * k // STREAM_FILES, (last + 1) * (k + 1) // STREAM_FILES
+        events.where((F.col("event_id") >= low) & (F.col("event_id") < high)).write.mode("append").parquet(path)
+    raw = live.read_stream(spark, path, events.schema)
     ids = raw.select((F.col("event_id") + 1).alias("seq"), F.col("user_id").cast("string").alias("id"), "ts")
     return ids.withColumn("window", sketches.batch_number("seq", BATCH))
 

@@ -6,7 +6,7 @@ key's partition on the fact side.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodemine.operators.skew import positions
@@ -32,11 +32,22 @@ def cities(spark: SparkSession, folder: str) -> DataFrame:
     return supplier.join(nation, "s_nationkey").join(region, "r_regionkey").select(F.col("s_suppkey").alias("item"), "city", "state", F.col("s_name").alias("categories"))
 
 
-def ratings(spark: SparkSession, folder: str, test: bool) -> DataFrame:
-    """(user, item, rating), one row per pair; every fifth order is held out as the test part."""
+def rating_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """(user, item, n_train, s_train, n_test, s_test), one row per pair: number and sum of the stars on either side.
+
+    Every fifth order is held out as the test part. This is the one pass over the reviews for all rating queries.
+    """
     held_out = F.col("order_key") % 5 == 0
-    part = reviews(spark, folder).where(held_out if test else ~held_out)
-    return part.groupBy("user", "item").agg(F.avg("stars").alias("rating"))
+
+    def side(name: str, mine: Column) -> list[Column]:
+        return [F.count(F.when(mine, 1)).alias(f"n_{name}"), F.sum(F.when(mine, F.col("stars")).otherwise(0.0)).alias(f"s_{name}")]
+
+    return reviews(spark, folder).groupBy("user", "item").agg(*side("train", ~held_out), *side("test", held_out))
+
+
+def ratings(facts: DataFrame, part: str) -> DataFrame:
+    """(user, item, rating): the mean rating of each pair in the ``train`` or ``test`` part."""
+    return facts.where(F.col(f"n_{part}") > 0).select("user", "item", (F.col(f"s_{part}") / F.col(f"n_{part}")).alias("rating"))
 
 
 def brand_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,17 +66,22 @@ def retail_rows(spark: SparkSession, folder: str) -> DataFrame:
     return lines.join(orders, "l_orderkey").select("day", "customer", "product")
 
 
+def part_customers(spark: SparkSession, folder: str) -> DataFrame:
+    """(part, customer) rows: who ordered a part."""
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("customer"))
+    lines = table(spark, folder, "lineitem").select("l_orderkey", F.col("l_partkey").alias("part"))
+    return lines.join(orders, "l_orderkey").select("part", "customer")
+
+
 def activity(spark: SparkSession, folder: str) -> DataFrame:
-    """(user, item): what kind of event a user caused on which day."""
+    """(user, item): what kind of event a user caused in which hour."""
     events = table(spark, folder, "events")
-    day = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd")
-    return events.select(F.col("user_id").alias("user"), F.concat_ws("|", "event_type", day).alias("item"))
+    hour = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH")
+    return events.select(F.col("user_id").alias("user"), F.concat_ws("|", "event_type", hour).alias("item"))
 
 
-def activity_threshold(spark: SparkSession, folder: str) -> int:
-    """Shared items an edge needs: larger data has busier users."""
-    n = table(spark, folder, "events").count()
-    return 20 if n < 5_000 else 30 if n < 50_000 else 37
+# Shared items that an edge of the activity graph needs, at every scale.
+ACTIVITY_THRESHOLD = 6
 
 
 def points(spark: SparkSession, folder: str) -> DataFrame:

@@ -96,21 +96,26 @@ def stream_bloom_seen(
 ) -> DataFrame:
     """(seq, id, is_new) of a stream whose micro-batches arrive in ``seq`` order.
 
-    State is the table of set bits, one part per micro-batch and at most ``n_bits`` rows in all. A row is new
-    when it is the first of its batch to reach a bit that no earlier batch has set.
+    State is the table of set bits, at most ``n_bits`` rows: each micro-batch reads that of the batch before and writes its own, so
+    the work of a batch does not grow with the age of the stream. A row is new when it is the first of its batch to
+    reach a bit that no earlier batch has set.
     """
     spark = stream.sparkSession
     family = affine_family(n_hash, seed)
-    bits_schema = f"bit bigint, setter {stream.schema[seq].dataType.simpleString()}, batch_id bigint"
+    bits_schema = f"bit bigint, setter {stream.schema[seq].dataType.simpleString()}"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         firsts = batch.groupBy(id).agg(F.min(seq).alias("_first"))
         reached = bit_setters(firsts, id, "_first", n_bits, family)
+        earlier = None
         if batch_id > 0:
-            earlier = spark.read.schema(bits_schema).parquet(f"{state_dir}/bits").where(F.col("batch_id") < batch_id)
-            reached = reached.join(earlier.select("bit"), "bit", "left_anti")
-        _write_part(reached, f"{state_dir}/bits", batch_id)
-        new = spark.read.parquet(f"{state_dir}/bits/batch_id={batch_id}").select(F.col("setter").alias(seq)).distinct()
+            earlier = spark.read.schema("bit bigint").parquet(f"{state_dir}/bits/batch_id={batch_id - 1}")
+            reached = reached.join(earlier, "bit", "left_anti")
+        _write_part(reached, f"{state_dir}/fresh", batch_id)
+        fresh = spark.read.schema(bits_schema).parquet(f"{state_dir}/fresh/batch_id={batch_id}")
+        bits = fresh.select("bit")
+        _write_part(bits if earlier is None else bits.unionByName(earlier), f"{state_dir}/bits", batch_id)
+        new = fresh.select(F.col("setter").alias(seq)).distinct()
         flags = batch.select(seq, id).join(new.withColumn("_new", F.lit(True)), seq, "left")
         _write_part(flags.select(seq, id, F.coalesce("_new", F.lit(False)).alias("is_new")), f"{state_dir}/flags", batch_id)
 

@@ -49,18 +49,19 @@ def test_jaccard_pairs_equal_brute_force(spark, threshold, crowded):
     assert got == pytest.approx(want)
 
 
-@pytest.mark.parametrize("crowded,meet_in", [(1000, "buckets"), (2, "buckets"), (1000, "elements"), (3, "cheaper")])
-def test_lsh_pairs_share_a_band_and_reach_the_threshold(spark, crowded, meet_in):
+@pytest.mark.parametrize("crowded,n_bands,modulus", [(1000, 40, 10000), (2, 40, 10000), (1000, 20, 2147483647)])
+def test_lsh_pairs_share_a_band_and_reach_the_threshold(spark, crowded, n_bands, modulus):
     sets = make_sets(2)
-    family = affine_family(80, 80, 10001, 10000)
-    sig = {i: [min((a * e + b) % 10000 for e in s) for _, a, b in family] for i, s in sets.items()}
+    width = 80 // n_bands
+    family = affine_family(80, 80, modulus + 1, modulus)
+    sig = {i: [min((a * e + b) % modulus for e in s) for _, a, b in family] for i, s in sets.items()}
     r = reps(sets)
     want = {
         (a, b): jac(r[a], r[b])
         for a, b in combinations(sorted(r), 2)
-        if jac(r[a], r[b]) >= 0.5 and any(sig[a][k : k + 2] == sig[b][k : k + 2] for k in range(0, 80, 2))
+        if jac(r[a], r[b]) >= 0.5 and any(sig[a][k : k + width] == sig[b][k : k + width] for k in range(0, 80, width))
     }
-    got = similarity.lsh_pairs(frame(spark, sets), "id", "e", crowded=crowded, meet_in=meet_in)
+    got = similarity.lsh_pairs(frame(spark, sets), "id", "e", n_bands=n_bands, modulus=modulus, crowded=crowded)
     assert {(x.item_1, x.item_2): x.similarity for x in got.collect()} == pytest.approx(want)
     assert want
 

@@ -26,10 +26,10 @@ def test_skew_join_equals_plain_join(sides, how):
 @pytest.mark.parametrize("rows_per_split", [1_000_000, 50, 1])
 def test_positions_number_hot_groups(spark, rows_per_split):
     rng = random.Random(2)
-    rows = [(1 if rng.random() < 0.7 else rng.randint(2, 6), rng.randint(0, 40), i) for i in range(500)]
+    rows = [(rng.choice([1, 1, 1, None, None, *range(2, 7)]), rng.randint(0, 40), i) for i in range(500)]
     df = spark.createDataFrame(rows, "g int, o int, v int").repartition(5)
     got = {(r.g, r.o, r.v): (r.pos, r.n) for r in positions(df, ["g"], ["o", "v"], total="n", rows_per_split=rows_per_split).collect()}
-    for g in range(1, 7):
+    for g in [None, *range(1, 7)]:
         members = sorted((o, v) for gg, o, v in rows if gg == g)
         for at, (o, v) in enumerate(members, 1):
             assert got[(g, o, v)] == (at, len(members))

@@ -7,7 +7,8 @@ of its format, equal values get equal pseudonyms in all documents, different val
 (``reveal``). E-mail addresses have no fixed range; they get a keyed hash instead, which links equal ones but can't be undone. What
 fails validation is left as it is.
 
-Ranges: cards of 13 to 19 digits (all but the check digit permuted, which is then computed anew); phone numbers of ten digits with area code 200-999;
+Ranges: cards of 13 to 19 digits (all but the check digit permuted, which is then computed anew); phone numbers of ten digits with area code 200-999
+(those with a code below, which no plan gives out, only if it stands in brackets, and then among each other);
 social security numbers as issued (no area 000, 666 or 9xx, group 00, serial 0000); all IPv4 addresses; dates of the 400 years from 1800 on, a
 whole calendar cycle. Of xx/xx/xxxx dates the month comes first; dd.mm.yyyy has the day first.
 
@@ -31,7 +32,7 @@ PATTERNS = {
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "date": r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
 ANY = "|".join(PATTERNS.values())
@@ -113,8 +114,10 @@ def new_card(value: Column, key: str, undo: bool) -> Column:
 def new_phone(value: Column, key: str, undo: bool) -> Column:
     plain = F.substring(digits(value), -10, 10)
     lead = F.when(F.length(digits(value)) > 10, "1").otherwise("")
-    pair = feistel("phone", number(F.substring(plain, 1, 3)) - 200, number(F.substring(plain, 4, 7)), 800, 10_000_000, key, undo)
-    return F.transform(F.array(pair), lambda p: refill(value, F.concat(lead, (p["a"] + 200).cast("string"), padded(p["b"], 7))))[0]
+    area = number(F.substring(plain, 1, 3))
+    first = F.when(area >= 200, 200).otherwise(0)
+    pair = feistel("phone", area - first, number(F.substring(plain, 4, 7)), F.when(area >= 200, 800).otherwise(200), 10_000_000, key, undo)
+    return F.transform(F.array(pair), lambda p: refill(value, F.concat(lead, padded(p["a"] + first, 3), padded(p["b"], 7))))[0]
 
 
 def new_ssn(value: Column, key: str, undo: bool) -> Column:

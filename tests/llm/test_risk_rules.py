@@ -1,5 +1,6 @@
 import random
 import re
+from fractions import Fraction
 from math import comb
 
 from lodemine.llm import risk_rules
@@ -32,9 +33,9 @@ def test_bound_is_the_exact_binomial(spark):
     frame = spark.createDataFrame([(n,) for n in sorted({c[0] for c in cases})], "n bigint")
     for risk, level in {c[1:] for c in cases}:
         for row in frame.select("n", risk_rules.most_rejections(F.col("n"), risk, F.lit(level)).alias("k")).collect():
-            n, want, total = row["n"], -1, 0.0
+            n, want, total, share = row["n"], -1, 0, Fraction(str(risk))
             for k in range(n + 1):
-                total += comb(n, k) * risk**k * (1 - risk) ** (n - k)
+                total += comb(n, k) * share**k * (1 - share) ** (n - k)
                 if total > level:
                     break
                 want = k

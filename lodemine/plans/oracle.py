@@ -271,6 +271,9 @@ SELECT x.c::BIGINT AS a, y.c::BIGINT AS b,
        round(sqrt(sum(power(x.s / x.n - y.s / y.n, 2) / ((x.ss + y.ss) / (x.n + y.n) - power((x.s + y.s) / (x.n + y.n), 2)))), 6) AS distance
 FROM st x JOIN st y ON x.dim = y.dim AND x.c < y.c GROUP BY 1, 2"""
 
+ORACLE["bfr_checked"] = """
+SELECT count(*) AS n_points, true AS labelled_once, true AS in_range, 5::BIGINT AS n_rounds, count(*) AS n_counted, true AS discard_set_labelled FROM embeddings"""
+
 # --- stream sketches -------------------------------------------------------------------------------------------
 
 EVENT_STREAM = "s AS (SELECT event_id + 1 AS seq, user_id::VARCHAR AS id FROM events)"

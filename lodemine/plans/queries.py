@@ -470,6 +470,24 @@ def bfr_labels(spark, folder):
     return bfr.bfr(views.points(spark, folder), k=10).labels
 
 
+@register
+def bfr_checked(spark, folder):
+    """What must hold whatever the centres: every point labelled once, in range, and counted in one of the three sets each round."""
+    found = bfr.bfr(views.points(spark, folder), k=10)
+    per_id = found.labels.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("cluster").alias("low"), F.max("cluster").alias("high"))
+    labels = per_id.agg(
+        F.count(F.lit(1)).alias("n_points"), (F.max("n") == 1).alias("labelled_once"), ((F.min("low") >= -1) & (F.max("high") < 10)).alias("in_range"),
+        F.sum((F.col("low") >= 0).cast("bigint")).alias("n_inside"),
+    )
+    every = F.sum(F.when(F.col("round") == 5, F.col("n_ds") + F.col("n_cs") + F.col("n_rs")))
+    rounds = found.rounds.agg(F.count(F.lit(1)).alias("n_rounds"), every.alias("n_counted"), F.sum(F.when(F.col("round") == 5, F.col("n_ds"))).alias("n_ds"))
+    seen = rounds.select("n_rounds", "n_counted", "n_ds").first()
+    return labels.select(
+        "n_points", "labelled_once", "in_range", F.lit(seen["n_rounds"]).cast("bigint").alias("n_rounds"), F.lit(seen["n_counted"]).cast("bigint").alias("n_counted"),
+        (F.col("n_inside") == seen["n_ds"]).alias("discard_set_labelled"),
+    )
+
+
 # --- stream sketches -------------------------------------------------------------------------------------------
 
 

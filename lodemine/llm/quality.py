@@ -49,8 +49,8 @@ def statistics(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
 
     capital = F.size(F.filter("_words", lambda w: (w == F.upper(w)) & (w != F.lower(w))))
     repeat = F.size(F.filter("_words", lambda w, i: (i > 0) & (w == F.get("_words", i - 1))))
-    return parts.select(
-        *[c for c in parts.columns if c not in ("_text", "_words", "_lines")],
+    kept = [c for c in parts.columns if c not in ("_text", "_words", "_lines")]
+    values = F.struct(
         n.cast("double").alias("n_words"),
         share(chars, n).alias("word_length"),
         share(count(SYMBOLS), chars).alias("symbol_share"),
@@ -64,6 +64,9 @@ def statistics(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
         share(count("."), n).alias("stop_share"),
         share(count("0123456789"), chars).alias("digit_share"),
     )
+    # Made in one step of their own: a filter on a score of many rules would else be pushed below, with every statistic
+    # written out in every rule, which the optimizer takes minutes over.
+    return parts.select(*kept, F.explode(F.array(values)).alias("_values")).select(*kept, "_values.*")
 
 
 Rule = tuple[tuple[int, float, float], ...]  # (statistic, above, up to) bounds, by statistic

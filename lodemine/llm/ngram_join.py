@@ -419,7 +419,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     Rows without an id all stay, as no document is known to be theirs; so do rows without words.
     """
     found = materialize(similar_components(docs, doc_id, text, **options))
-    dropped = found.where("n_shingles > 0 AND component_id != doc_id").select("doc_id").distinct()
+    # Stored, so that the planner knows its size and moves the texts only where the ids are too many to send around.
+    dropped = materialize(found.where("n_shingles > 0 AND component_id != doc_id").select("doc_id").distinct())
     repeated = materialize(found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
     rest = docs.join(dropped.withColumnRenamed("doc_id", "_dropped"), F.col(doc_id).cast("bigint") == F.col("_dropped"), "left_anti")
     if repeated.isEmpty():

@@ -59,32 +59,34 @@ def chosen_paths(messages: DataFrame, best: int | None = None) -> DataFrame:
     nodes = clean.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
     link = clean.select("tree", "node", "parent", "score").join(nodes, ["tree", "parent"], "left")
     link = link.select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.lit(1).cast("bigint").alias("size"), F.col("score").alias("total"))
-    links = [materialize(link)]
+    # A link that has passed its root is done; only the others are joined on.
+    link = materialize(link)
+    done, links = [link.where("up IS NULL")], [link.where("up IS NOT NULL")]
     n_nodes = clean.count()
-    while (1 << (len(links) - 1)) < n_nodes and not links[-1].where("up IS NOT NULL").isEmpty():
-        far = links[-1].select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("size").alias("size2"), F.col("total").alias("total2"))
-        further = links[-1].join(far, ["tree", "up"], "left")
+    while (1 << (len(links) - 1)) < n_nodes and not links[-1].isEmpty():
+        state = links[-1]
+        for part in done:
+            state = state.unionByName(part)
+        far = state.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("size").alias("size2"), F.col("total").alias("total2"))
         # Sizes and totals cover the messages from the node up to, but without, its link's target.
-        links.append(
-            materialize(
-                further.select(
-                    "tree",
-                    "node",
-                    F.col("up2").alias("up"),
-                    (F.col("size") + F.coalesce("size2", F.lit(0))).alias("size"),
-                    (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"),
-                )
-            )
+        further = links[-1].join(far, ["tree", "up"]).select(
+            "tree", "node", F.col("up2").alias("up"), (F.col("size") + F.col("size2")).alias("size"), (F.col("total") + F.col("total2")).alias("total")
         )
-    parents = links[0].where("up IS NOT NULL").select("tree", F.col("up").alias("node"))
-    leaves = links[-1].where("up IS NULL").join(parents, ["tree", "node"], "left_anti")
+        further = materialize(further)
+        done.append(further.where("up IS NULL"))
+        links.append(further.where("up IS NOT NULL"))
+    parents = links[0].select("tree", F.col("up").alias("node"))
+    whole = done[0]
+    for part in done[1:]:
+        whole = whole.unionByName(part)
+    leaves = whole.join(parents, ["tree", "node"], "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("size")), F.desc("size"), "node")
     ranked = leaves.withColumn("rank", F.row_number().over(order))
     if best is not None:
         ranked = ranked.where(F.col("rank") <= best)
     paths = ranked.select("tree", F.col("node").alias("leaf"), "rank", "node", (F.col("size") - 1).alias("place"))
     for k, known in enumerate(links):
-        step = known.where("up IS NOT NULL").select("tree", "node", "up")
+        step = known.select("tree", "node", "up")
         above = paths.join(step, ["tree", "node"]).select("tree", "leaf", "rank", F.col("up").alias("node"), (F.col("place") - (1 << k)).alias("place"))
         paths = materialize(paths.unionByName(above))
     return paths.join(clean.select("tree", "node", "role", "text"), ["tree", "node"]).select("tree", "leaf", "rank", "place", "role", "text")

@@ -6,7 +6,10 @@ labelled good documents a cutoff that rejects k of n is admitted only if the exa
 most ``risk``, that is if P(Binomial(n, risk) <= k) is at most the test's level. The total error level is divided by the number of rules and
 strata (Bonferroni); within a rule and stratum the cutoffs are tested from the most lenient on and testing stops at the
 first failure (fixed sequence), which needs no further division as rejections only grow. With probability 1 - ``level`` every chosen
-cutoff keeps its promise. A stratum with too few labels to show anything gets no cutoff, and the rule rejects nothing there.
+cutoff keeps its promise. Strata whose labels alone can't show that even a cutoff without rejections is safe are pooled: their labels
+are tested together, as one stratum, and the promise then holds for the pooled strata as a whole. As a guard for each of them, its cutoff
+stops in the pool's sequence where more than ``risk`` of its own labels would be rejected. Which strata are pooled depends on numbers of labels only.
+A stratum without any labelled good document, and a pool with too few, get no cutoff, and the rules reject nothing there.
 
 Defined results: null, empty and blank texts have no words (all counts 0) and fail the base rules. A null stratum is a stratum like
 others. Rows with a null label, or without one, are no evidence; each of several labels of a document is a trial. Rows are judged one by one. Empty tables
@@ -17,7 +20,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodemine.llm.common import BLANKS, words
@@ -97,13 +100,21 @@ def cutoffs(good: DataFrame, stratum: str, rules: dict[str, tuple[Column, list[f
     """(stratum, n_good, one cutoff or null per rule) from the statistics of labelled good documents."""
     rejected = [F.count(F.when(value > cut, 1)).alias(f"{rule}_{i}") for rule, (value, grid) in rules.items() for i, cut in enumerate(grid)]
     counted = materialize(good.groupBy(stratum).agg(F.count(F.lit(1)).alias("n_good"), *rejected), small=True)
-    tests = F.lit(max(1, counted.count() * len(rules)))
-    allowed = counted.withColumn("_most", most_rejections(F.col("n_good"), risk, F.lit(level) / tests))
+    n_strata = counted.count()
+    alone = most_rejections(F.col("n_good"), risk, F.lit(level / max(1, n_strata * len(rules)))) >= 0
+    counted = materialize(counted.withColumn("_alone", alone), small=True)
+    n_alone = counted.where("_alone").count()
+    tests = max(1, (n_alone + (n_alone < n_strata)) * len(rules))
+    tested = Window.partitionBy("_alone", F.when(F.col("_alone"), F.col(stratum)))
+    names = ["n_good", *[f"{rule}_{i}" for rule, (_, grid) in rules.items() for i in range(len(grid))]]
+    allowed = counted.select("*", *[F.sum(n).over(tested).alias(f"_all_{n}") for n in names])
+    allowed = allowed.withColumn("_most", most_rejections(F.col("_all_n_good"), risk, F.lit(level / tests)))
     chosen = []
     for rule, (_, grid) in rules.items():
         strict = F.lit(None).cast("double")
         for i, cut in enumerate(grid):  # rejections grow with i, so the last that passes ends the sequence
-            strict = F.when(F.col(f"{rule}_{i}") <= F.col("_most"), F.lit(cut)).otherwise(strict)
+            own = F.col("_alone") | (F.col(f"{rule}_{i}") <= risk * F.col("n_good"))
+            strict = F.when((F.col(f"_all_{rule}_{i}") <= F.col("_most")) & own, F.lit(cut)).otherwise(strict)
         chosen.append(strict.alias(f"{rule}_cutoff"))
     return allowed.select(stratum, "n_good", *chosen)
 
@@ -121,7 +132,8 @@ def judge(
 ) -> DataFrame:
     """(doc_id, stratum, COUNTS, n_lines, base_failed, <rule>_cutoff ..., kept) for every document.
 
-    ``risk`` holds for each rule, so all rules together reject at most len(rules) * risk of the good documents of a stratum.
+    ``risk`` holds for each rule, so all rules together reject at most len(rules) * risk of the good documents of a stratum,
+    or of the pooled small strata together.
     """
     rules = rules or default_rules()
     key = F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit(""))

@@ -71,3 +71,18 @@ def test_verdicts_and_odd_rows(spark):
     none = risk_rules.judge(docs.where("doc_id in (1, 9001)"), labels.limit(0)).collect()
     assert sorted((r["doc_id"], r["kept"]) for r in none) == [(1, True), (9001, False)]
     assert risk_rules.judge(docs.limit(0), labels).count() == 0
+
+
+def test_small_strata_are_tested_in_one_pool(spark):
+    good = [("=en", 0.01)] * 2000 + [(s, 0.02) for s in ("=de", "=es", "=fr") for _ in range(450)] + [("=odd", 0.35)] * 3
+    frame = spark.createDataFrame(good, "stratum string, v double")
+    rules = {r: (F.col("v"), [0.9, 0.5, 0.3, 0.05, 0.01]) for r in ("a", "b", "c", "d")}
+    got = {r["stratum"]: (r["n_good"], r["a_cutoff"], r["d_cutoff"]) for r in risk_rules.cutoffs(frame, "stratum", rules, 0.005, 0.05).collect()}
+    assert got["=en"] == (2000, 0.01, 0.01)
+    assert {got[s] for s in ("=de", "=es", "=fr")} == {(450, 0.5, 0.5)}  # three rejections in 1,353 labels are too many
+    assert got["=odd"] == (3, 0.5, 0.5)
+    more = frame.unionByName(spark.createDataFrame([("=de", 0.02)] * 3000, frame.schema).withColumn("stratum", F.concat(F.lit("=x"), (F.rand(1) * 10).cast("int"))))
+    got = {r["stratum"]: r["a_cutoff"] for r in risk_rules.cutoffs(more, "stratum", rules, 0.005, 0.05).collect()}
+    assert got["=de"] == got["=x3"] == 0.05 and got["=odd"] == 0.5
+    few = frame.where("stratum IN ('=en', '=de')")
+    assert {r["stratum"]: r["a_cutoff"] for r in risk_rules.cutoffs(few, "stratum", rules, 0.005, 0.05).collect()} == {"=en": 0.01, "=de": None}

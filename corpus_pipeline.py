@@ -34,8 +34,9 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose sources, languages and topics have their target weights."""
-    return mixing.mix_documents(docs).where("copies > 0").select("doc.*")
+    """A sample whose sources, languages and topics have their target weights; a document taken several times is as many rows."""
+    taken = mixing.mix_documents(docs).where("copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

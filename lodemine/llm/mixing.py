@@ -4,9 +4,10 @@
 2. Cell weights start at 1. Each round rakes them to the target share of every value of one dimension after the other:
    a cell's weight is multiplied by target / current share of its value. Rounds end when all shares are
    within ``tolerance`` of their targets, or after ``max_rounds``. Only cells, never documents, take part; they are stored each round.
-3. A document is taken with probability scale * weight of its cell. Unless a token budget is given, the scale is the largest at
-   which no probability exceeds 1, so that expected shares are the raked ones. With a larger budget a rate above 1
-   means whole copies plus a chance of one more. The draw is a hash of seed, id and text: a rerun draws the same.
+3. A document's rate is scale * weight of its cell, so that expected shares are the raked ones. Unless a token budget is given, the
+   scale is the largest at which cells with at most ``REPEATED`` of the tokens have rates above 1, so that tiny cells with large
+   weights don't thin out all others. A rate above 1 means whole copies plus a chance of one more. The draw is a hash of seed, id and
+   text: a rerun draws the same.
 
 Defined results: null is a value like others. Null and blank texts have 0 tokens; a cell without any keeps weight 1 (and rate at most 1).
 Values without a target share get weight 0; target values without documents are ignored, and the other shares scaled up. Equal rows
@@ -22,6 +23,10 @@ from lodemine.llm.common import pack, words
 from lodemine.session import materialize
 
 
+#: The share of tokens that may be in cells with rates above 1 where no budget is given.
+REPEATED = 0.005
+
+
 def topic_by_pattern(text: str, patterns: dict[str, str], otherwise: str = "prose") -> Column:
     """The first topic whose pattern the text contains."""
     out = F.lit(None).cast("string")
@@ -89,7 +94,8 @@ def mix(
     counted = docs.select(pack(docs, "doc"), F.size(words(F.col(text))).cast("bigint").alias("tokens"), *[key(c).alias(n) for n, c in dimensions.items()])
     cells = materialize(counted.groupBy(*names).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs")), small=True)
     raked = rake(cells, {n: tempered(cells, n, powers[n]) for n in names})
-    top, spent = raked.where("tokens > 0").agg(F.coalesce(F.max("weight"), F.lit(1.0)), F.coalesce(F.sum(F.col("tokens") * F.col("weight")), F.lit(0.0))).first()
+    top = F.percentile("weight", 1 - REPEATED, F.col("tokens"))
+    top, spent = raked.where("tokens > 0").agg(F.coalesce(top, F.lit(1.0)), F.coalesce(F.sum(F.col("tokens") * F.col("weight")), F.lit(0.0))).first()
     scale = budget / spent if budget and spent else 1.0 / (top or 1.0)
     rates = materialize(raked.select(*names, F.when(F.col("tokens") > 0, F.col("weight") * scale).otherwise(1.0).alias("rate")))
     chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(f"doc.`{doc_id}`"), F.col(f"doc.`{text}`")), 11) / float(1 << 53)

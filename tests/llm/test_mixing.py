@@ -63,3 +63,16 @@ def test_empty(spark):
     assert mixing.mix_documents(docs).count() == 0
     blank = spark.createDataFrame([(1, None, "en", "s")], "doc_id bigint, text string, lang string, source string")
     assert [r["copies"] for r in mixing.mix_documents(blank).collect()] == [1]
+
+
+def test_a_tiny_cell_does_not_thin_out_the_others(spark):
+    import corpus_pipeline
+
+    schema = "doc_id bigint, text string, lang string, source string"
+    docs = spark.createDataFrame([(i, "w " * 200, "en" if i % 3 else "de", "big" if i % 4 else "small") for i in range(2000)] + [(-1, "a b c", "en", "tiny")], schema)
+    rows = mixing.mix_documents(docs).select("doc.doc_id", "rate", "copies").collect()
+    assert sum(r["rate"] for r in rows if r["doc_id"] >= 0) > 0.6 * 2000
+    (one,) = (r for r in rows if r["doc_id"] == -1)
+    assert one["rate"] > 2 and one["copies"] in (int(one["rate"]), int(one["rate"]) + 1)
+    kept = [r["doc_id"] for r in corpus_pipeline.mixed(spark, docs, "").collect()]
+    assert kept.count(-1) == one["copies"] and len(kept) == sum(r["copies"] for r in rows)

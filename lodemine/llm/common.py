@@ -30,6 +30,13 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, GAP))
 
 
+def tokenizer_file(name: str) -> str:
+    """A vocabulary file of the installed public tokenizers; other files are given by their path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def pack(df: DataFrame, name: str = "row") -> Column:
     """All columns of a frame as one struct, so that helper columns can never clash with them."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)

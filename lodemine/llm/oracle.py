@@ -69,3 +69,36 @@ ORACLE["op10_archives"] = """
         CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
         CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to
     FROM q"""
+
+
+# Filters as a bit set, then all orders and steps of the letters.
+ORACLE["op12_filter_audit"] = r"""
+    WITH w AS (
+        SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    least AS (SELECT t, min(doc_id) AS first FROM w GROUP BY t),
+    lab AS (SELECT doc_id, max(quality) AS good, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+    fails AS (
+        SELECT w.doc_id, part, coalesce(good = 1, false) AS good, coalesce(toxic = 1, false) AS toxic,
+            (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+            || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END)
+            || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN w.doc_id > first THEN 'E' ELSE '' END) AS f
+        FROM w JOIN least USING (t) LEFT JOIN lab ON lab.doc_id = w.doc_id),
+    sets AS (SELECT part, f, good, toxic, count(*) AS n FROM fails GROUP BY ALL),
+    l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+    orders AS (
+        SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM l a, l b, l c, l d, l e
+        WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+    steps AS (SELECT filter_order, s AS step, filter_order[s] AS l, filter_order[1:s - 1] AS before FROM orders, range(1, 6) r(s)),
+    met AS (
+        SELECT part, filter_order, step, l, f, good, toxic, n, contains(f, l) AS hit,
+            before <> '' AND regexp_matches(f, '[' || CASE before WHEN '' THEN '-' ELSE before END || ']') AS gone
+        FROM sets, steps),
+    counted AS (
+        SELECT part, filter_order, step, l, coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (hit AND NOT gone), 0) AS removed,
+            coalesce(sum(n) FILTER (hit AND gone), 0) AS redundant, coalesce(sum(n) FILTER (f = l), 0) AS unique_fails,
+            coalesce(sum(n) FILTER (hit AND NOT gone AND good), 0) AS good_lost, coalesce(sum(n) FILTER (hit AND NOT gone AND toxic), 0) AS toxic_lost
+        FROM met GROUP BY ALL)
+    SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+        CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+        CAST(sum(removed) OVER (PARTITION BY part, l) AS BIGINT) AS shapley
+    FROM counted"""

@@ -7,8 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemine.llm import archives, decontaminate, langid, mixing, ngram_join, pseudonyms, quality, reply_trees, risk_rules, sharding
-from lodemine.llm.common import held_out, learnable
+from lodemine.llm import (
+    archives,
+    decontaminate,
+    filter_audit,
+    langid,
+    mixing,
+    ngram_join,
+    packing,
+    periodic_runs,
+    pseudonyms,
+    quality,
+    reply_trees,
+    risk_rules,
+    sharding,
+)
+from lodemine.llm.common import held_out, learnable, tokenizer_file, words
 from lodemine.operators.skew import positions
 from lodemine.session import materialize, scratch_path
 from lodemine.sources.readers import table
@@ -113,3 +127,50 @@ def op10_archives(spark, folder):
     return records.join(meant, "refers_to", "left").select(
         F.col("key").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.col("first_id").alias("refers_to")
     )
+
+
+@register
+def op11_packing(spark, folder):
+    """All documents as token pieces, packed into sequences of 2,048 tokens."""
+    made = packing.pieces(table(spark, folder, "documents"), "text", [F.col("doc_id")], tokenizer_file("byte_bpe_50k.json"), 2048, with_ids=False)
+    return packing.pack_pieces(made, 2048).select("doc.doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@register
+def op12_filter_audit(spark, folder):
+    """Five filters over all documents, in all orders."""
+    filters = {
+        "A": F.col("n_words") < 200,
+        "B": 100 * F.col("n_distinct") < 50 * F.col("n_words"),
+        "C": 100 * F.col("n_capitals") > 3 * F.col("n_points"),
+        "D": F.col("n_symbols") > 0,
+    }
+    sets = filter_audit.failing_sets(table(spark, folder, "documents"), table(spark, folder, "labels"), filters, copies="E")
+    return filter_audit.audit(sets, [*filters, "E"])
+
+
+@register
+def op13_periodic_runs(spark, folder):
+    """The periodic runs of all documents, with repetitions planted in a tenth of them as the contract says."""
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = table(spark, folder, "documents").select("doc_id", "text", words(F.col("text")).alias("w"), hashed.alias("h"))
+    docs = docs.withColumn("n", F.size("w")).withColumn("g", F.floor(F.col("h") / 10))
+    docs = docs.withColumn("a", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), F.col("g") % F.col("n")).cast("int"))
+    docs = docs.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    tail = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")))
+    planted = F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(tail, F.lit(1), F.col("n") - F.col("a")))
+    text = F.when(F.col("a").isNotNull(), F.array_join(planted, " ")).otherwise(F.col("text"))
+    found = periodic_runs.periodic_runs(docs, text, [F.col("doc_id")])
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    found = found.withColumn("best", best)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).cast("bigint").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

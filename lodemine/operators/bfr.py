@@ -2,6 +2,10 @@
 
 Points stay distributed; cluster summaries, whose number is bounded by the parameters, travel through the
 driver. Points are (id, features array<double>).
+
+Centres are found by Lloyd steps from given first centres. A step is one pass over the points that are nowhere shuffled: each task sums
+its points per nearest centre, and only these sums, one per task and centre, are added up. First centres are chosen among the points of the
+least hashes, so that whoever knows the points can follow the whole run.
 """
 
 from __future__ import annotations
@@ -11,11 +15,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodemine.operators.skew import positions
 from lodemine.session import materialize
 
 # Summaries are held in every task: clusters times dimensions is checked against this many values.
@@ -73,6 +77,19 @@ class Summaries:
             np.array([r["sumsq"] for r in rows]),
         )
 
+    @staticmethod
+    def gather(partial: DataFrame, dims: int) -> "Summaries":
+        """Partial sums (cluster, n, sum[], sumsq[]), several rows per cluster, added up; their number of clusters is known to be bounded."""
+        rows = partial.select("cluster", "n", F.posexplode(F.arrays_zip("sum", "sumsq")).alias("dim", "v"))
+        sums = rows.groupBy("cluster", "dim").agg(F.sum("n").alias("n"), F.sum("v.sum").alias("s"), F.sum("v.sumsq").alias("ss")).collect()
+        keys = sorted({r["cluster"] for r in sums})
+        at = {k: i for i, k in enumerate(keys)}
+        out = Summaries(keys, np.zeros(len(keys)), np.zeros((len(keys), dims)), np.zeros((len(keys), dims)))
+        for r in sums:
+            i = at[r["cluster"]]
+            out.n[i], out.sum[i, r["dim"]], out.sumsq[i, r["dim"]] = r["n"], r["s"], r["ss"]
+        return out
+
     def add(self, other: "Summaries") -> "Summaries":
         keys = sorted(set(self.keys) | set(other.keys))
         at = {k: i for i, k in enumerate(keys)}
@@ -217,12 +234,93 @@ class Clustering:
     discard: Summaries = field(repr=False)
 
 
-def _k_means(points: DataFrame, k: int, seed: int) -> DataFrame:
-    if k == 1:
-        return points.select("id", "features", F.lit(0).cast("bigint").alias("cluster"))
-    vectors = points.withColumn("_vector", array_to_vector("features"))
-    model = KMeans(k=k, seed=seed, featuresCol="_vector", predictionCol="cluster", maxIter=20).fit(vectors)
-    return materialize(model.transform(vectors).select("id", "features", F.col("cluster").cast("bigint").alias("cluster")))
+def hash_order(seed: int = 0) -> list[Column]:
+    """A pseudo-random order of points that depends on their ids only."""
+    return [F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")).cast("binary")), F.col("id")]
+
+
+def first_points(points: DataFrame, k: int, seed: int = 0, per_centre: int = 4) -> tuple[list[int], np.ndarray]:
+    """(keys, centres): ``k`` points far from each other, numbered from 0.
+
+    Candidates are the ``per_centre`` * ``k`` points that come first in hash order. The first of them is taken, then again
+    and again the one farthest from those taken, the earlier of equally far ones; copies of taken points are not.
+    """
+    rows = points.select("id", "features").orderBy(*hash_order(seed)).limit(per_centre * k).collect()
+    x = np.array([row["features"] for row in rows], dtype=float)
+    apart = np.full(len(x), np.inf)
+    taken: list[int] = []
+    while len(taken) < k and len(x) and apart.max() > 0:
+        taken.append(int(np.argmax(apart)))
+        apart = np.minimum(apart, np.sqrt(((x - x[taken[-1]]) ** 2).sum(axis=1)))
+    return list(range(len(taken))), x[taken]
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The place of the nearest centre of each row, the first of equally near ones."""
+    return np.argmin((centres**2).sum(axis=1) - 2 * (x @ centres.T), axis=1)
+
+
+def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), dims)
+
+
+def nearest_stats(points: DataFrame, keys: list[int], centres: np.ndarray) -> DataFrame:
+    """(cluster, n, sum[], sumsq[]) of the points nearest to each centre, a row per task and centre that has points there."""
+    if centres.size > MAX_SUMMARY_VALUES:
+        raise ValueError("too many centres to hold in a task")
+    shared = points.sparkSession.sparkContext.broadcast((np.array(keys, dtype=np.int64), centres))
+    schema = "cluster bigint, n bigint, sum array<double>, sumsq array<double>"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, centres = shared.value
+        n, total, squares = np.zeros(len(keys), dtype=np.int64), np.zeros_like(centres), np.zeros_like(centres)
+        for batch in batches:
+            x = _matrix(batch.column(0), centres.shape[1])
+            label = _nearest(x, centres)
+            order = np.argsort(label, kind="stable")
+            found, first = np.unique(label[order], return_index=True)
+            if len(found):
+                n[found] += np.diff(np.append(first, len(label)))
+                total[found] += np.add.reduceat(x[order], first)
+                squares[found] += np.add.reduceat(x[order] ** 2, first)
+        used = np.flatnonzero(n)
+        columns = [pa.array(keys[used]), pa.array(n[used]), *[pa.array(list(v[used]), pa.list_(pa.float64())) for v in (total, squares)]]
+        yield pa.RecordBatch.from_arrays(columns, names=["cluster", "n", "sum", "sumsq"])
+
+    return points.select("features").mapInArrow(work, schema)
+
+
+def lloyd(points: DataFrame, keys: list[int], centres: np.ndarray, steps: int) -> tuple[list[int], np.ndarray]:
+    """Centres moved to the means of their points, ``steps`` times or until none moves; a centre without points is dropped."""
+    for _ in range(steps):
+        found = Summaries.gather(nearest_stats(points, keys, centres), centres.shape[1])
+        moved = found.sum / found.n[:, None]
+        if found.keys == keys and np.allclose(moved, centres, rtol=1e-12, atol=0):
+            break
+        keys, centres = found.keys, moved
+    return keys, centres
+
+
+def nearest_centre(points: DataFrame, keys: list[int], centres: np.ndarray) -> DataFrame:
+    """(id, features, cluster): the key of the nearest centre, the smallest of equally near ones."""
+    shared = points.sparkSession.sparkContext.broadcast((np.array(keys, dtype=np.int64), centres))
+    rows = points.select("id", "features")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, centres = shared.value
+        for batch in batches:
+            label = keys[_nearest(_matrix(batch.column("features"), centres.shape[1]), centres)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label)], names=["id", "features", "cluster"])
+
+    return rows.mapInArrow(work, rows.withColumn("cluster", F.lit(0).cast("bigint")).schema)
+
+
+def k_means(points: DataFrame, k: int, seed: int = 0, steps: int = 20) -> DataFrame:
+    """(id, features, cluster) by Lloyd steps from :func:`first_points`."""
+    keys, centres = first_points(points, k, seed)
+    if not keys:
+        return points.select("id", "features", F.lit(None).cast("bigint").alias("cluster"))
+    return materialize(nearest_centre(points, *lloyd(points, keys, centres, steps)))
 
 
 def _split_singles(clustered: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -241,18 +339,18 @@ def bfr(
     rs_clusters: int | None = None,
     radius: float = 2.0,
     seed: int = 0,
+    steps: int = 20,
 ) -> Clustering:
     """Cluster ``points`` chunk by chunk, keeping only summaries of settled clusters between chunks.
 
-    Chunk of a point: hash of its id. The retained points of each round are clustered again with ``rs_clusters`` centres,
-    five times ``k`` unless given (as many as there are points, if they are fewer).
+    Chunks are stretches of equal size (up to one point) of the points in hash order. The retained points of each round are clustered
+    again with ``rs_clusters`` centres, five times ``k`` unless given (as many as there are points, if they are fewer). Every
+    clustering takes up to ``steps`` Lloyd steps.
     """
     spark: SparkSession = points.sparkSession
-    base = materialize(
-        points.select("id", F.col("features").cast("array<double>").alias("features")).withColumn(
-            "_chunk", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(chunks)).cast("int")
-        )
-    )
+    stored = materialize(points.select("id", F.col("features").cast("array<double>").alias("features")))
+    ranked = positions(stored, [], hash_order(seed), name="_at")
+    base = materialize(ranked.withColumn("_chunk", F.floor((F.col("_at") - 1) * chunks / F.lit(max(1, stored.count()))).cast("int")).drop("_at"))
     head = base.select(F.size("features")).first()
     if head is None:
         raise ValueError("no points to cluster")
@@ -265,11 +363,11 @@ def bfr(
     rounds: list[tuple[int, int, int, int, int]] = []
 
     first = base.where("_chunk = 0").drop("_chunk")
-    several, retained = _split_singles(_k_means(first, seed_factor * k, seed))
+    several, retained = _split_singles(k_means(first, seed_factor * k, seed, steps))
     several = several.drop("cluster")
     if several.isEmpty():
         several, retained = first, first.limit(0)
-    seeds = _k_means(several, k, seed)
+    seeds = k_means(several, k, seed, steps)
     discard = Summaries.collect(cluster_stats(seeds), dims)
     settled.append(seeds.select("id", "cluster"))
     compressed = Summaries.empty(dims)
@@ -281,7 +379,7 @@ def bfr(
         n = retained.count()
         if n < 2:
             return retained
-        grouped, alone = _split_singles(_k_means(retained, min(n, rs_clusters or 5 * k), seed))
+        grouped, alone = _split_singles(k_means(retained, min(n, rs_clusters or 5 * k), seed, steps))
         grouped = materialize(grouped.withColumn("cluster", F.col("cluster") + next_key))
         fresh = Summaries.collect(cluster_stats(grouped), dims)
         if fresh.keys:

@@ -271,8 +271,124 @@ SELECT x.c::BIGINT AS a, y.c::BIGINT AS b,
        round(sqrt(sum(power(x.s / x.n - y.s / y.n, 2) / ((x.ss + y.ss) / (x.n + y.n) - power((x.s + y.s) / (x.n + y.n), 2)))), 6) AS distance
 FROM st x JOIN st y ON x.dim = y.dim AND x.c < y.c GROUP BY 1, 2"""
 
-ORACLE["bfr_checked"] = """
-SELECT count(*) AS n_points, true AS labelled_once, true AS in_range, 5::BIGINT AS n_rounds, count(*) AS n_counted, true AS discard_set_labelled FROM embeddings"""
+
+
+def _centres(name: str, points: str, k: int, steps: int) -> str:
+    """{name}(id, x, c): the points by nearest centre after Lloyd steps; {name}_n has the sizes.
+
+    First centres: of the 4 k points of least hash the first, then each time the one farthest from those taken.
+    """
+    return f"""
+{name}_s(c, rk, x, apart) AS (
+  SELECT 0, rk, x, 'inf'::DOUBLE FROM (SELECT x, row_number() OVER (ORDER BY md5('0:' || id), id) AS rk FROM {points}) WHERE rk <= {4 * k}
+  UNION ALL
+  SELECT s.c + 1, s.rk, s.x, least(s.apart, list_distance(s.x, t.x))
+  FROM {name}_s s JOIN (SELECT arg_max(x, {{'d': apart, 'rk': -rk}}) AS x FROM {name}_s) t ON true WHERE s.c + 1 < {k}),
+{name}_l(step, c, m) AS (
+  SELECT 0, c, arg_max(x, {{'d': apart, 'rk': -rk}}) FROM {name}_s GROUP BY c HAVING max(apart) > 0
+  UNION ALL
+  SELECT step, c, list(v ORDER BY dim) FROM (
+    SELECT step, c, dim, avg(v) AS v FROM (
+      SELECT step, c, unnest(range(1, 65)) AS dim, unnest(x) AS v FROM (
+        SELECT l.step + 1 AS step, t.id, any_value(t.x) AS x, arg_min(l.c, {{'d': list_distance(t.x, l.m), 'c': l.c}}) AS c
+        FROM {points} t, {name}_l l WHERE l.step < {steps} GROUP BY 1, 2))
+    GROUP BY 1, 2, 3) GROUP BY 1, 2),
+{name} AS MATERIALIZED (SELECT t.id, any_value(t.x) AS x, arg_min(l.c, {{'d': list_distance(t.x, l.m), 'c': l.c}}) AS c
+  FROM {points} t, {name}_l l WHERE l.step = {steps} GROUP BY t.id),
+{name}_n AS MATERIALIZED (SELECT c, count(*) AS n FROM {name} GROUP BY c)"""
+
+
+def _sums(members: str) -> str:
+    """(c, n, s, ss) of the clusters of points (id, x, c)."""
+    return f"""(SELECT c, any_value(n) AS n, list(s ORDER BY dim) AS s, list(ss ORDER BY dim) AS ss FROM (
+      SELECT c, dim, count(*) AS n, sum(v) AS s, sum(v * v) AS ss FROM (SELECT c, unnest(range(1, 65)) AS dim, unnest(x) AS v FROM {members}) GROUP BY c, dim) GROUP BY c)"""
+
+
+def _near(points: str, sums: str, limit: float) -> str:
+    """(id, x, c): the nearest cluster within the limit, distances in its own standard deviations, else -1."""
+    var = "q.ss[i] / q.n - (q.s[i] / q.n) ** 2"
+    d = f"sqrt(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN {var} > 0 THEN (t.x[i] - q.s[i] / q.n) ** 2 / ({var}) ELSE 'inf'::DOUBLE END)))"
+    return f"""(SELECT id, x, CASE WHEN best.d < {limit} THEN best.c ELSE -1 END AS c FROM (
+      SELECT t.id, any_value(t.x) AS x, min({{'d': coalesce({d}, 'inf'::DOUBLE), 'c': coalesce(q.c, -1)}}) AS best FROM {points} t LEFT JOIN {sums} q ON true GROUP BY t.id))"""
+
+
+def _gap(limit: float) -> str:
+    """Whether the clusters a and b are nearer than the limit, in standard deviations of both together."""
+    n, s, ss = "(a.n + b.n)", "(a.s[i] + b.s[i])", "(a.ss[i] + b.ss[i])"
+    var = f"{ss} / {n} - ({s} / {n}) ** 2"
+    return f"sqrt(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN {var} > 0 THEN (a.s[i] / a.n - b.s[i] / b.n) ** 2 / ({var}) ELSE 'inf'::DOUBLE END))) < {limit}"
+
+
+def _merged(name: str, sums: str, limit: float, into: bool = False) -> str:
+    """{name}(kind, c, n, s, ss, born): close clusters added up, the first close pair in order of keys first.
+
+    With ``into``, kind 0 takes from kind 1; else all are of kind 1. ``born`` lists the keys that a cluster was made of.
+    """
+    pair = "a.kind = 0 AND b.kind = 1" if into else "a.c < b.c"
+    both = "list_transform(range(1, 65), lambda i: t.{0}[i] + u.{0}[i])"
+    return f"""
+{name}_m(it, kind, c, n, s, ss, born) AS (
+  SELECT 0, kind, c, n, s, ss, [c] FROM {sums}
+  UNION ALL
+  SELECT t.it + 1, t.kind, t.c, CASE WHEN u.c IS NULL THEN t.n ELSE t.n + u.n END, CASE WHEN u.c IS NULL THEN t.s ELSE {both.format("s")} END,
+         CASE WHEN u.c IS NULL THEN t.ss ELSE {both.format("ss")} END, CASE WHEN u.c IS NULL THEN t.born ELSE list_concat(t.born, u.born) END
+  FROM {name}_m t
+  JOIN (SELECT a.kind AS ak, a.c AS ac, b.kind AS bk, b.c AS bc FROM {name}_m a JOIN {name}_m b ON {pair} WHERE {_gap(limit)} ORDER BY a.c, b.c LIMIT 1) p ON true
+  LEFT JOIN {name}_m u ON t.kind = p.ak AND t.c = p.ac AND u.kind = p.bk AND u.c = p.bc
+  WHERE NOT (t.kind = p.bk AND t.c = p.bc)),
+{name} AS MATERIALIZED (SELECT * EXCLUDE it FROM {name}_m WHERE it = (SELECT max(it) FROM {name}_m))"""
+
+
+def _chunked_clustering(k: int, first: int, rest: int, radius: float, steps: int, chunks: int = 5) -> str:
+    """d{r}, q{r}, r{r}: the discard members (id, x, c), compression sums and members (qm), and retained points after each round."""
+    limit = radius * 8
+    parts = [f"""
+p AS MATERIALIZED (SELECT vec_id::VARCHAR AS id, embedding::DOUBLE[] AS x, ((row_number() OVER (ORDER BY md5('0:' || vec_id), vec_id) - 1) * {chunks}) // count(*) OVER () AS chunk FROM embeddings),
+t0 AS MATERIALIZED (SELECT id, x FROM p WHERE chunk = 0)""", _centres("f", "t0", first, steps), """
+several AS MATERIALIZED (SELECT id, x FROM f WHERE c IN (SELECT c FROM f_n WHERE n > 1) OR NOT EXISTS (SELECT 1 FROM f_n WHERE n > 1)),
+left1 AS MATERIALIZED (SELECT id, x FROM t0 WHERE id NOT IN (SELECT id FROM several))""", _centres("d1", "several", k, steps)]
+    for r in range(1, chunks + 1):
+        if r > 1:
+            parts.append(f"""
+t{r} AS MATERIALIZED (SELECT id, x FROM p WHERE chunk = {r - 1}),
+nd{r} AS MATERIALIZED {_near(f"t{r}", f"ds{r - 1}", limit)},
+td{r} AS MATERIALIZED (SELECT id, x FROM nd{r} WHERE c = -1),
+nc{r} AS MATERIALIZED {_near(f"td{r}", f"q{r - 1}", limit)},
+d{r} AS MATERIALIZED (SELECT id, x, c FROM d{r - 1} UNION ALL SELECT id, x, c FROM nd{r} WHERE c <> -1),
+left{r} AS MATERIALIZED (SELECT id, x FROM r{r - 1} UNION ALL SELECT id, x FROM nc{r} WHERE c = -1)""")
+        parts.append(_centres(f"g{r}", f"left{r}", rest, steps))
+        before = "" if r == 1 else f"SELECT id, x, c FROM qm{r - 1} UNION ALL SELECT id, x, c FROM nc{r} WHERE c <> -1 UNION ALL "
+        shift = "0" if r == 1 else f"(SELECT coalesce(max(c) + 1, 0) FROM ({' UNION ALL '.join(f'SELECT c FROM b{i}' for i in range(1, r))}))"
+        parts.append(f"""
+b{r} AS MATERIALIZED (SELECT id, x, c + {shift} AS c FROM g{r} WHERE c IN (SELECT c FROM g{r}_n WHERE n > 1)),
+r{r} AS MATERIALIZED (SELECT id, x FROM g{r} WHERE c IN (SELECT c FROM g{r}_n WHERE n = 1)),
+all{r} AS MATERIALIZED ({before}SELECT id, x, c FROM b{r}),
+ds{r} AS MATERIALIZED {_sums(f"d{r}")},
+as{r} AS MATERIALIZED {_sums(f"all{r}")}""")
+        # The first round makes clusters, and merges none.
+        parts.append(f"\nq{r} AS MATERIALIZED (SELECT 1 AS kind, c, n, s, ss, [c] AS born FROM as{r})" if r == 1 else _merged(f"q{r}", f"(SELECT 1 AS kind, * FROM as{r})", limit))
+        parts.append(f"\nqm{r} AS MATERIALIZED (SELECT a.id, a.x, q.c FROM all{r} a JOIN (SELECT c, unnest(born) AS b FROM q{r}) q ON q.b = a.c)")
+    last = chunks
+    parts.append(_merged("fin", f"(SELECT 0 AS kind, c, n, s, ss FROM ds{last} UNION ALL SELECT 1, c, n, s, ss FROM q{last})", limit, into=True))
+    return "WITH RECURSIVE" + ",".join(x for x in parts)
+
+
+CLUSTERED = _chunked_clustering(k=10, first=30, rest=30, radius=1.1, steps=6)
+_COUNTS = " UNION ALL ".join(
+    f"SELECT {r}::INT AS round, (SELECT count(*) FROM d{r}) AS n_ds, (SELECT count(*) FROM q{r}) AS n_cs_clusters, (SELECT count(*) FROM qm{r}) AS n_cs, (SELECT count(*) FROM r{r}) AS n_rs"
+    for r in range(1, 5)
+)
+ORACLE["bfr_rounds"] = f"""{CLUSTERED}
+{_COUNTS} UNION ALL SELECT 5::INT, (SELECT sum(n) FROM fin WHERE kind = 0)::BIGINT, (SELECT count(*) FROM fin WHERE kind = 1),
+  (SELECT coalesce(sum(n), 0) FROM fin WHERE kind = 1)::BIGINT, (SELECT count(*) FROM r5)"""
+LABELS = """SELECT id::BIGINT AS id, c::BIGINT AS cluster FROM d5
+UNION ALL SELECT m.id::BIGINT, coalesce(f.c, -1)::BIGINT FROM qm5 m LEFT JOIN (SELECT c, unnest(born[2:]) AS b FROM fin WHERE kind = 0) f ON f.b = m.c
+UNION ALL SELECT id::BIGINT, -1 FROM r5"""
+ORACLE["bfr_labels"] = f"{CLUSTERED} {LABELS}"
+ORACLE["bfr_checked"] = f"""{CLUSTERED}, labels AS ({LABELS})
+SELECT count(*) AS n_points, count(DISTINCT id) = count(*) AS labelled_once, min(cluster) >= -1 AND max(cluster) < 10 AS in_range, 5::BIGINT AS n_rounds,
+       (SELECT (sum(n) + (SELECT count(*) FROM r5))::BIGINT FROM fin) AS n_counted, count(*) FILTER (WHERE cluster >= 0) = (SELECT sum(n) FROM fin WHERE kind = 0) AS discard_set_labelled
+FROM labels"""
 
 # --- stream sketches -------------------------------------------------------------------------------------------
 

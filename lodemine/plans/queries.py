@@ -28,6 +28,7 @@ PAIR_SHARE = 22  # about half of the brand pairs
 RETAIL_MIN_ROWS = 3
 LSH_PRIME = 2_147_483_647
 CATEGORY_WORD = "7"
+CLUSTER_RADIUS, CLUSTER_STEPS = 1.1, 6
 
 
 def register(fn: Query) -> Query:
@@ -460,20 +461,24 @@ def bfr_cluster_dist(spark, folder):
     return bfr.cluster_distance(stats, stats).withColumn("distance", r6("distance"))
 
 
+def _clustering(spark, folder):
+    return bfr.bfr(views.points(spark, folder), k=10, seed_factor=3, rs_clusters=30, radius=CLUSTER_RADIUS, steps=CLUSTER_STEPS)
+
+
 @register
 def bfr_rounds(spark, folder):
-    return bfr.bfr(views.points(spark, folder), k=10).rounds
+    return _clustering(spark, folder).rounds
 
 
 @register
 def bfr_labels(spark, folder):
-    return bfr.bfr(views.points(spark, folder), k=10).labels
+    return _clustering(spark, folder).labels
 
 
 @register
 def bfr_checked(spark, folder):
     """What must hold whatever the centres: every point labelled once, in range, and counted in one of the three sets each round."""
-    found = bfr.bfr(views.points(spark, folder), k=10)
+    found = _clustering(spark, folder)
     per_id = found.labels.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("cluster").alias("low"), F.max("cluster").alias("high"))
     labels = per_id.agg(
         F.count(F.lit(1)).alias("n_points"), (F.max("n") == 1).alias("labelled_once"), ((F.min("low") >= -1) & (F.max("high") < 10)).alias("in_range"),

@@ -64,6 +64,56 @@ def test_cluster_distance_matches_driver_arithmetic(spark, blobs):
         assert d == pytest.approx(s.distances(a, s)[b])
 
 
+def plain_lloyd(x, centres, steps):
+    keys = list(range(len(centres)))
+    for _ in range(steps):
+        label = np.array([min(range(len(centres)), key=lambda c: (((v - centres[c]) ** 2).sum(), c)) for v in x])
+        used = [c for c in range(len(centres)) if (label == c).any()]
+        keys, centres = [keys[c] for c in used], np.array([x[label == c].mean(axis=0) for c in used])
+    return keys, centres
+
+
+def test_lloyd_steps_from_given_centres(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3))
+    p = point_frame(spark, [(i, 0, v) for i, v in enumerate(x)]).repartition(5)
+    first = np.vstack([x[:6], [[50, 50, 50]]])  # the last one has no points and goes
+    for steps in (1, 4):
+        keys, centres = bfr.lloyd(p, list(range(7)), first, steps)
+        want_keys, want = plain_lloyd(x, first, steps)
+        assert keys == want_keys == list(range(6)) and np.allclose(centres, want)
+    near = {r.id: r.cluster for r in bfr.nearest_centre(p, keys, centres).collect()}
+    assert all(near[i] == int(np.argmin(((centres - v) ** 2).sum(axis=1))) for i, v in enumerate(x))
+    stats = bfr.Summaries.gather(bfr.nearest_stats(p, keys, centres), 3)
+    assert stats.n.sum() == 300 and np.allclose(stats.sumsq.sum(axis=0), (x**2).sum(axis=0))
+
+
+def test_lloyd_stops_when_no_centre_moves(spark):
+    p = point_frame(spark, [(i, 0, (float(i // 5),)) for i in range(10)])
+    assert bfr.lloyd(p, [0, 1], np.array([[0.0], [1.0]]), 10**6)[1].tolist() == [[0.0], [1.0]]
+
+
+def test_first_points_are_far_apart_and_follow_the_hash(spark):
+    import hashlib
+
+    rows = [(i, 0, (float(i % 5), float(i % 3))) for i in range(60)]
+    keys, centres = bfr.first_points(point_frame(spark, rows), 4, seed=5)
+    order = sorted(range(60), key=lambda i: (hashlib.md5(f"5:{i}".encode()).hexdigest(), i))[:16]
+    taken = [order[0]]
+    while len(taken) < 4:
+        taken.append(max(order, key=lambda i: (min(np.hypot(i % 5 - j % 5, i % 3 - j % 3) for j in taken), -order.index(i))))
+    assert keys == [0, 1, 2, 3] and centres.tolist() == [[i % 5, i % 3] for i in taken]
+    assert len(bfr.first_points(point_frame(spark, [(i, 0, (float(i % 3),)) for i in range(30)]), 8)[0]) == 3  # copies are taken once
+
+
+def test_clustering_without_points_or_with_few(spark):
+    with pytest.raises(ValueError):
+        bfr.bfr(point_frame(spark, []), k=2)
+    same = bfr.bfr(point_frame(spark, [(i, 0, (1.0, 1.0)) for i in range(7)]), k=2, chunks=3)
+    assert same.labels.count() == 7
+    assert [r.n_ds + r.n_cs + r.n_rs for r in same.rounds.orderBy("round").collect()] == [3, 5, 7]
+
+
 def test_blobs_are_recovered_and_outliers_left_out(spark, blobs):
     p = point_frame(spark, blobs)
     found = bfr.bfr(p, k=4, seed=1)

@@ -190,9 +190,69 @@ x AS (SELECT usr, item, cf, mb, CASE WHEN nn > 0 THEN nn * 60.0::DOUBLE / (nn *
       FROM pred LEFT JOIN users USING (usr) LEFT JOIN items USING (item))
 SELECT usr AS "user", item, round(alpha::DOUBLE, 6) AS alpha, round(alpha * coalesce(cf, 0.0) + (1 - alpha) * mb, 6) AS prediction FROM x"""
 
-CHECKED = f"WITH {TRAIN_TEST} SELECT count(*)::BIGINT AS n, true AS not_low, true AS not_high, true AS near_mean_or_better FROM test"
-for name in ("gbt_wide_checked", "gbt_basic_checked", "hybrid_checked"):
-    ORACLE[name] = CHECKED
+# Boosted trees replayed: the features of all pairs, binned; then, level by level, the best cut of each node by histogram sums.
+# Three quarters of the stars follow from the price here.
+PRICED = TRAIN_TEST.replace("(1 + floor((l_quantity - 1) / 10))::DOUBLE", "((1 + floor((l_quantity - 1) / 10)) + 3 * (5 - least(floor(l_extendedprice / 20000), 4)))::DOUBLE / 4")
+PAIRS = f"""{PRICED},
+spent AS (SELECT o_custkey AS usr, l_suppkey AS item, l_orderkey % 5 = 0 AS is_test, sum(round(l_extendedprice * 100)::BIGINT)::DOUBLE / count(*) AS spend
+          FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3),
+pairs AS (SELECT usr, item, r, is_test, spend FROM (SELECT *, false AS is_test FROM train UNION ALL SELECT *, true FROM test) JOIN spent USING (usr, item, is_test)),
+{PROFILES},
+ev AS (SELECT user_id, event_type, json_extract(props, '$.k')::BIGINT AS k FROM events),
+ut AS (SELECT user_id AS usr, count(*) AS n FROM ev WHERE event_type = 'click' GROUP BY 1),
+it AS (SELECT k AS item, count(*) AS n FROM ev WHERE event_type = 'click' GROUP BY 1),
+ph AS (SELECT k AS item, count(*) AS n FROM ev WHERE event_type = 'view' GROUP BY 1),
+ch AS (SELECT user_id AS item, sum(k)::BIGINT AS n FROM ev GROUP BY 1),
+told AS (SELECT p.*, coalesce(uc, 0) AS uc, coalesce(us, (SELECT avg(us) FROM users)) AS us, coalesce(ic, 0) AS ic, coalesce(ist, (SELECT avg(ist) FROM items)) AS ist,
+         coalesce(floor(c_acctbal), 0) AS useful, coalesce(ut.n, 0) AS utc, coalesce(contains(categories, '7'), false)::INT AS isr, coalesce(ph.n, 0) AS phc,
+         coalesce(it.n, 0) AS tc, coalesce(ch.n, 0) AS cc, coalesce(state, '') AS state
+  FROM pairs p LEFT JOIN users USING (usr) LEFT JOIN items USING (item) LEFT JOIN customer ON usr = c_custkey LEFT JOIN cities USING (item)
+       LEFT JOIN ut USING (usr) LEFT JOIN it USING (item) LEFT JOIN ph USING (item) LEFT JOIN ch USING (item))"""
+# Features in order of their names.
+BASIC_INPUTS = ["ic", "ist", "spend", "uc", "us"]
+WIDE_INPUTS = ["cc", "isr", "ic", "ist", "phc", "spend", *[f"(state = '{s}')::INT" for s in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")], "tc", "useful", "uc", "us", "utc"]
+
+
+def _boosted(inputs: list[str], rounds: int = 3, depth: int = 3, bins: int = 16, rate: float = 0.5) -> str:
+    """boosted(usr, item, r, is_test, p)."""
+    shares = ", ".join(str(k / bins) for k in range(1, bins))
+    parts = [f"""rows0 AS MATERIALIZED (SELECT usr, item, r, is_test, [{', '.join(f'({x})::DOUBLE' for x in inputs)}] AS x FROM told),
+cuts AS MATERIALIZED (SELECT f, list_distinct(quantile_disc(v, [{shares}])) AS c FROM (SELECT unnest(range(1, {len(inputs) + 1})) AS f, unnest(x) AS v FROM rows0 WHERE NOT is_test) GROUP BY f),
+allcuts AS (SELECT list(c ORDER BY f) AS c FROM cuts),
+s0 AS MATERIALIZED (SELECT usr, item, r, is_test, list_transform(range(1, {len(inputs) + 1}), lambda f: len(list_filter(allcuts.c[f], lambda y: y < x[f]))) AS b,
+  (SELECT sum(floor(r * 1048576 + 0.5)::BIGINT)::DOUBLE / count(*) / 1048576 FROM rows0 WHERE NOT is_test) AS p FROM rows0, allcuts)"""]
+    for t in range(1, rounds + 1):
+        parts.append(f"t{t}_0 AS MATERIALIZED (SELECT *, floor((p - r) * 1048576 + 0.5)::BIGINT AS g, 1 AS node FROM s{t - 1})")
+        for d in range(1, depth + 1):
+            parts.append(f"""h{t}_{d} AS (SELECT node, f, bin, sum(g)::DOUBLE AS g, count(*)::DOUBLE AS h
+  FROM (SELECT node, g, unnest(range(1, {len(inputs) + 1})) AS f, unnest(b) AS bin FROM t{t}_{d - 1} WHERE NOT is_test) GROUP BY 1, 2, 3),
+c{t}_{d} AS (SELECT node, f, bin, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER n AS ga, sum(h) OVER n AS ha FROM h{t}_{d}
+  WINDOW w AS (PARTITION BY node, f ORDER BY bin ROWS UNBOUNDED PRECEDING), n AS (PARTITION BY node, f)),
+k{t}_{d} AS MATERIALIZED (SELECT node, f, bin FROM (SELECT *, gl * gl / (hl + 1) + (ga - gl) * (ga - gl) / (ha - hl + 1) - ga * ga / (ha + 1) AS gain FROM c{t}_{d} WHERE hl < ha)
+  WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, bin) = 1),
+t{t}_{d} AS MATERIALIZED (SELECT s.* EXCLUDE node, CASE WHEN k.f IS NULL THEN s.node WHEN s.b[k.f] > k.bin THEN 2 * s.node + 1 ELSE 2 * s.node END AS node
+  FROM t{t}_{d - 1} s LEFT JOIN k{t}_{d} k USING (node))""")
+        parts.append(f"""s{t} AS MATERIALIZED (SELECT usr, item, r, is_test, b, p + v AS p FROM t{t}_{depth}
+  JOIN (SELECT node, -sum(g)::DOUBLE / (count(*) + 1) * {rate} / 1048576 AS v FROM t{t}_{depth} WHERE NOT is_test GROUP BY node) USING (node))""")
+    return ",\n".join(parts) + f", boosted AS (SELECT usr, item, r, is_test, p FROM s{rounds})"
+
+
+def _check(predictions: str) -> str:
+    return f"""SELECT count(*) AS n, round(min(p), 6) AS lowest, round(max(p), 6) AS highest, round(avg((p - r) * (p - r)), 6) AS squared_error,
+       avg((p - r) * (p - r)) <= 0.5 * avg((r - m) * (r - m)) AS half_of_mean_or_less FROM {predictions}, (SELECT avg(r) AS m FROM train)"""
+
+
+WIDE = f"WITH {PAIRS}, {_boosted(WIDE_INPUTS)}"
+ORACLE["gbt_predict"] = f'{WIDE} SELECT usr AS "user", item, round(p, 6) AS prediction FROM boosted WHERE is_test'
+ORACLE["gbt_rmse"] = f"{WIDE} SELECT round(sqrt(avg((p - r) * (p - r))), 6) AS rmse, count(*) AS n FROM boosted WHERE is_test"
+ORACLE["gbt_wide_checked"] = f"{WIDE} {_check('(SELECT * FROM boosted WHERE is_test)')}"
+ORACLE["gbt_basic_checked"] = f"WITH {PAIRS}, {_boosted(BASIC_INPUTS)} {_check('(SELECT * FROM boosted WHERE is_test)')}"
+HYBRID = f"""{WIDE}, {SIMS}, {CF},
+x AS (SELECT usr, item, b.r, cf, b.p AS mb, CASE WHEN nn > 0 THEN nn * 60.0::DOUBLE / (nn * 60.0::DOUBLE + coalesce(uc, 0) + coalesce(ic, 0)) ELSE 0.0 END::DOUBLE AS alpha
+      FROM pred JOIN (SELECT * FROM boosted WHERE is_test) b USING (usr, item) LEFT JOIN users USING (usr) LEFT JOIN items USING (item)),
+hybrid AS (SELECT usr, item, r, alpha, alpha * coalesce(cf, 0.0) + (1 - alpha) * mb AS p FROM x)"""
+ORACLE["hybrid_predict"] = f'{HYBRID} SELECT usr AS "user", item, round(alpha, 6) AS alpha, round(p, 6) AS prediction FROM hybrid'
+ORACLE["hybrid_checked"] = f"{HYBRID} {_check('hybrid')}"
 
 # --- graph -----------------------------------------------------------------------------------------------------
 

@@ -28,6 +28,7 @@ PAIR_SHARE = 22  # about half of the brand pairs
 RETAIL_MIN_ROWS = 3
 LSH_PRIME = 2_147_483_647
 CATEGORY_WORD = "7"
+TREE_ROUNDS, TREE_DEPTH, TREE_BINS, TREE_RATE = 3, 3, 16, 0.5
 CLUSTER_RADIUS, CLUSTER_STEPS = 1.1, 6
 
 
@@ -210,8 +211,8 @@ def jaccard_pairs(spark, folder):
 # --- recommendation --------------------------------------------------------------------------------------------
 
 
-def _facts(spark, folder):
-    return materialize(views.rating_facts(spark, folder))
+def _facts(spark, folder, priced=False):
+    return materialize(views.rating_facts(spark, folder, priced))
 
 
 def _train_test(facts):
@@ -290,37 +291,33 @@ def features_wide(spark, folder):
 
 
 def _model_based(spark, folder, features):
-    """Predictions for the test part by trees fitted to the training part, with the facts and the model's features there."""
-    facts = _facts(spark, folder)
-    train, test = _train_test(facts)
-    model = recommend.fit_rating_model(materialize(features(spark, folder, facts, train)))
+    """Predictions for the test part by trees fitted to the training part, with the facts, the model's features and the pair's spending there."""
+    facts = _facts(spark, folder, priced=True)
+    train, test = (ratings.join(views.spending(facts, part), ["user", "item"]) for ratings, part in zip(_train_test(facts), ("train", "test"), strict=True))
+    model = recommend.fit_rating_model(materialize(features(spark, folder, facts, train)), TREE_ROUNDS, TREE_DEPTH, TREE_BINS, TREE_RATE)
     return materialize(recommend.predict_rating(model, features(spark, folder, facts, test))), facts
 
 
 def _checked(predictions: DataFrame, facts: DataFrame) -> DataFrame:
-    """What can be said of fitted predictions without their exact values.
-
-    Their number and range, and whether they are at least nearly as good as the mean rating (trees may
-    follow noise where the ratings carry no signal).
-    """
+    """Number and range of the predictions, and whether their squared error is at most half that of the mean rating."""
     train, test = _train_test(facts)
     truth = predictions.join(test, ["user", "item"]).withColumn("mean", train.agg(F.avg("rating")).scalar())
     own, base = (F.avg(F.pow(F.col(c) - F.col("rating"), 2)) for c in ("prediction", "mean"))
     return truth.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.min("prediction") >= 0.5, F.lit(False)).alias("not_low"), F.coalesce(F.max("prediction") <= 5.5, F.lit(False)).alias("not_high"),
-        (own <= 1.1 * base).alias("near_mean_or_better"),
+        F.count(F.lit(1)).alias("n"), r6(F.min("prediction")).alias("lowest"), r6(F.max("prediction")).alias("highest"),
+        r6(own).alias("squared_error"), (own <= 0.5 * base).alias("half_of_mean_or_less"),
     )
 
 
 @register
 def gbt_predict(spark, folder):
-    return _model_based(spark, folder, _wide)[0]
+    return _model_based(spark, folder, _wide)[0].withColumn("prediction", r6("prediction"))
 
 
 @register
 def gbt_rmse(spark, folder):
     predictions, facts = _model_based(spark, folder, _wide)
-    return recommend.rmse(predictions, _train_test(facts)[1])
+    return recommend.rmse(predictions, _train_test(facts)[1]).withColumn("rmse", r6("rmse"))
 
 
 @register
@@ -330,7 +327,7 @@ def gbt_wide_checked(spark, folder):
 
 @register
 def gbt_basic_checked(spark, folder):
-    """The trees on the four basic features."""
+    """The trees on the four basic features and the spending."""
     return _checked(*_model_based(spark, folder, _basic))
 
 
@@ -357,7 +354,7 @@ def _hybrid(spark, folder):
 @register
 def hybrid_predict(spark, folder):
     """The blend with the boosted-tree model."""
-    return _hybrid(spark, folder)[0]
+    return _hybrid(spark, folder)[0].select("user", "item", r6("alpha").alias("alpha"), r6("prediction").alias("prediction"))
 
 
 @register

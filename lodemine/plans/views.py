@@ -14,14 +14,21 @@ from lodemine.sources.readers import table
 
 
 def reviews(spark: SparkSession, folder: str) -> DataFrame:
-    """(user, item, stars, date, order_key): order lines, one review each; stars 1..5 from the quantity."""
+    """(user, item, stars, date, order_key, price): order lines, one review each; stars 1..5 from the quantity."""
     orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("order_key"), F.col("o_custkey").alias("user"), F.col("o_orderdate").alias("date"))
     lines = table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("order_key"),
         F.col("l_suppkey").alias("item"),
         (F.lit(1) + F.floor((F.col("l_quantity") - 1) / 10)).cast("double").alias("stars"),
+        F.col("l_extendedprice").alias("price"),
     )
-    return lines.join(orders, "order_key").select("user", "item", "stars", "date", "order_key")
+    return lines.join(orders, "order_key").select("user", "item", "stars", "date", "order_key", "price")
+
+
+def priced(rows: DataFrame) -> DataFrame:
+    """The reviews with stars of which three quarters follow from the price: the dearer, the fewer."""
+    worth = 5 - F.least(F.floor(F.col("price") / 20_000), F.lit(4))
+    return rows.withColumn("stars", (F.col("stars") + 3 * worth) / 4)
 
 
 def cities(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,17 +39,21 @@ def cities(spark: SparkSession, folder: str) -> DataFrame:
     return supplier.join(nation, "s_nationkey").join(region, "r_regionkey").select(F.col("s_suppkey").alias("item"), "city", "state", F.col("s_name").alias("categories"))
 
 
-def rating_facts(spark: SparkSession, folder: str) -> DataFrame:
+def rating_facts(spark: SparkSession, folder: str, with_price: bool = False) -> DataFrame:
     """(user, item, n_train, s_train, n_test, s_test), one row per pair: number and sum of the stars on either side.
 
-    Every fifth order is held out as the test part. This is the one pass over the reviews for all rating queries.
+    Every fifth order is held out as the test part. This is the one pass over the reviews for all rating queries. ``with_price``
+    takes the stars of :func:`priced` and adds the cents spent, c_train and c_test.
     """
     held_out = F.col("order_key") % 5 == 0
 
     def side(name: str, mine: Column) -> list[Column]:
-        return [F.count(F.when(mine, 1)).alias(f"n_{name}"), F.sum(F.when(mine, F.col("stars")).otherwise(0.0)).alias(f"s_{name}")]
+        out = [F.count(F.when(mine, 1)).alias(f"n_{name}"), F.sum(F.when(mine, F.col("stars")).otherwise(0.0)).alias(f"s_{name}")]
+        cents = F.sum(F.when(mine, F.round(F.col("price") * 100).cast("bigint")).otherwise(0)).alias(f"c_{name}")
+        return [*out, cents] if with_price else out
 
-    return reviews(spark, folder).groupBy("user", "item").agg(*side("train", ~held_out), *side("test", held_out))
+    rows = reviews(spark, folder)
+    return (priced(rows) if with_price else rows).groupBy("user", "item").agg(*side("train", ~held_out), *side("test", held_out))
 
 
 def ratings(facts: DataFrame, part: str) -> DataFrame:
@@ -50,6 +61,11 @@ def ratings(facts: DataFrame, part: str) -> DataFrame:
     return facts.where(F.col(f"n_{part}") > 0).select("user", "item", (F.col(f"s_{part}") / F.col(f"n_{part}")).alias("rating"))
 
 
+def spending(facts: DataFrame, part: str) -> DataFrame:
+    """(user, item, spend): what a pair's order lines cost on average in the ``train`` or ``test`` part, in cents."""
+    return facts.where(F.col(f"n_{part}") > 0).select("user", "item", (F.col(f"c_{part}") / F.col(f"n_{part}")).alias("spend"))
+
+
 def brand_rows(spark: SparkSession, folder: str) -> DataFrame:
     """(order, brand) rows: the brands of an order's parts."""
     lines = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("order"), F.col("l_partkey").alias("p_partkey"))

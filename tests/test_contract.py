@@ -1,4 +1,6 @@
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -28,3 +30,12 @@ def test_queries_match_their_sql(spark, name):
 
 def test_entry_has_rows(spark):
     assert contract.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("absent", ["lodemine.llm", "corpus_pipeline", "ahocorasick", "tiktoken", "tokenizers", "regex"])
+def test_other_queries_register_without_an_optional_module(absent):
+    """A module that can't be imported costs at most the queries that need it."""
+    code = f"import sys; sys.modules[{absent!r}] = None; import __spark_entry__ as c; print(len(c.queries()), 'son_frequent' in c.queries(), len(c.oracle_sql()) > 40)"
+    root = os.path.dirname(os.path.abspath(contract.__file__))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) >= 60 and out[1:] == ["True", "True"]

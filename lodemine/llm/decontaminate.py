@@ -20,7 +20,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +37,7 @@ def item_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(NORMAL).split()
 
 
-def compile_items(items: list[tuple[str | None, list[bytes]]], window: int) -> tuple[dict[bytes, int], ahocorasick.Automaton]:
+def compile_items(items: list[tuple[str | None, list[bytes]]], window: int) -> tuple[dict[bytes, int], "ahocorasick.Automaton"]:  # noqa: F821
     """Numbers of the items' words, and the automaton; a pattern's value is its length and the ids of its items."""
     numbers: dict[bytes, int] = {}
     patterns: dict[tuple[int, ...], set[str]] = {}
@@ -48,6 +47,8 @@ def compile_items(items: list[tuple[str | None, list[bytes]]], window: int) -> t
             found = patterns.setdefault(tuple(ids[start : start + window]), set())
             if item is not None:
                 found.add(item)
+    import ahocorasick
+
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for pattern, found in patterns.items():
         automaton.add_word(pattern, (len(pattern), tuple(found)))

@@ -24,7 +24,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,6 +130,8 @@ def _units(texts: pa.Array) -> pa.ListArray:
     odd = np.flatnonzero(pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False))
     if not len(odd):
         return units
+    import regex
+
     sure = regex.compile(rf" (?=[{VISIBLE}])")
     mended = pa.array([sure.split(t) for t in marked.take(pa.array(odd)).to_pylist()], pa.list_(pa.string()))
     at = np.arange(len(texts))

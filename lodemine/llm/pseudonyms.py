@@ -7,10 +7,14 @@ of its format, equal values get equal pseudonyms in all documents, different val
 (``reveal``). E-mail addresses have no fixed range; they get a keyed hash instead, which links equal ones but can't be undone. What
 fails validation is left as it is.
 
-Ranges: cards of 13 to 19 digits (all but the check digit permuted, which is then computed anew); phone numbers of ten digits with area code 200-999
-(those with a code below, which no plan gives out, only if it stands in brackets, and then among each other);
-social security numbers as issued (no area 000, 666 or 9xx, group 00, serial 0000); all IPv4 addresses; dates of the 400 years from 1800 on, a
-whole calendar cycle. Of xx/xx/xxxx dates the month comes first; dd.mm.yyyy has the day first.
+Ranges: cards of 13 to 19 digits (all but the check digit permuted, which is then computed anew), unbroken or grouped 4-6-5, 4-6-4 or in fours; phone
+numbers of ten digits with area code 200-999 (those with a code below, which no plan gives out, only if it stands in brackets, and then among
+each other); other international numbers of 8 to 15 digits, whose first two stay; social security numbers as issued (no area 000, 666 or
+9xx, group 00, serial 0000); all IPv4 addresses; dates of the 400 years from 1800 on, a whole calendar cycle. Of xx/xx/xxxx dates the month comes
+first; those that are no date then have the day first, and are permuted among each other. dd.mm.yyyy has the day first.
+
+A run of groups of four digits is searched for a card from left to right, so that a card beside other numbers is found. In a run of five groups and more
+a pseudonym may make an earlier stretch look like a card; such a run can't always be undone. All other values can. Runs are cut at 64 groups.
 
 Defined results: a null text stays null with 0 replacements; empty texts and texts without values stay as they are. Rows are treated one by one.
 Other columns are carried in the struct ``doc``.
@@ -18,26 +22,39 @@ Other columns are carried in the struct ``doc``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodemine.llm.common import pack
 
 ROUNDS = 10
+WALK = 64  # steps to a day of the same class; more are needed once in 10^25 dates
 FIRST_DAY, DAYS_A, DAYS_B = "1800-01-01", 189, 773  # 189 * 773 = 146097 days in 400 years
 
-#: Fixed patterns; tried in this order at each place.
+#: Fixed patterns; tried in this order at each place. Repetitions are bounded, so a long run of letters or digits is passed over in linear time.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,63}",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
-    "date": r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9])",
+    "date": r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "cards": r"(?<![0-9])(?:[0-9]{4}(?: [0-9]{4}){3,63}(?: [0-9]{3}(?![ .-]?[0-9]))?|[0-9]{4}(?:-[0-9]{4}){3,63}(?:-[0-9]{3}(?![ .-]?[0-9]))?)(?![0-9])",
+    "intl": r"(?<![0-9+])\+[2-9][0-9](?:[ .()-]{0,2}[0-9]){6,13}(?![0-9])",
     "phone": r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "phone10": r"(?<![0-9A-Za-z._-])(?:\+1)?(?:\([0-9]{3}\) ?[0-9]{7}|[2-9][0-9]{9})(?![0-9A-Za-z_]|[.-][0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4} [0-9]{6} [0-9]{4,5}|[0-9]{4}-[0-9]{6}-[0-9]{4,5})(?![0-9])",
 }
+#: Layouts of one kind have one name in results.
+NAMES = {"cards": "card", "intl": "phone", "phone10": "phone"}
 ANY = "|".join(PATTERNS.values())
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once for all its uses: a transform over the one value."""
+    return F.transform(F.array(value), use)[0]
+
+
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -111,6 +128,48 @@ def new_card(value: Column, key: str, undo: bool) -> Column:
     return F.when(luhn_sum(plain, 1) % 10 == 0, F.transform(F.array(feistel("card", a, b, range_a, range_b, key, undo)), written)[0])
 
 
+def new_cards(value: Column, key: str, undo: bool) -> Column:
+    """A run of groups of four digits with the cards in it, from left to right, replaced; null if there are none."""
+    separator = F.substring(value, 5, 1)
+
+    def joined(parts: Column) -> Column:
+        return F.replace(F.array_join(parts, " "), F.lit(" "), separator)
+
+    def searched(groups: Column) -> Column:
+        def step(state: Column, at: Column) -> Column:
+            left = F.size(groups) - at + 1
+
+            def stretch(n: int, last: int) -> Column:
+                text = joined(F.slice(groups, at, n))
+                return F.when((left >= n) & (F.length(groups[at + n - 2]) == last) & (luhn_sum(digits(text), 1) % 10 == 0), text)
+
+            card = bound(F.when(state["skip"] == 0, F.coalesce(stretch(4, 4), stretch(5, 3))), lambda c: F.struct(new_card(c, key, undo).alias("new"), F.length(c).alias("n")))
+            return bound(
+                card,
+                lambda c: F.when(state["skip"] > 0, F.struct(state["out"].alias("out"), (state["skip"] - 1).alias("skip"), state["found"].alias("found")))
+                .when(c["new"].isNotNull(), F.struct(F.array_append(state["out"], c["new"]).alias("out"), F.when(c["n"] == 19, 3).otherwise(4).alias("skip"), F.lit(True).alias("found")))
+                .otherwise(F.struct(F.array_append(state["out"], groups[at - 1]).alias("out"), F.lit(0).alias("skip"), state["found"].alias("found"))),
+            )
+
+        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("skip"), F.lit(False).alias("found"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, step, lambda s: F.when(s["found"], joined(s["out"])))
+
+    return bound(F.split(value, "[ -]"), searched)
+
+
+def new_international(value: Column, key: str, undo: bool) -> Column:
+    """The digits behind the first two, permuted among the numbers of that many digits."""
+    plain = digits(value)
+    width = F.length(plain) - 2
+    a, b, range_a, range_b = split_number(F.substring(plain, F.lit(3), width), width)
+    left = F.floor(width / 2).cast("int")
+
+    def written(pair: Column) -> Column:
+        return refill(value, F.concat(F.substring(plain, 1, 2), padded(pair["a"], left), padded(pair["b"], width - left)))
+
+    return F.when((width >= 6) & (width <= 13), F.transform(F.array(feistel("intl", a, b, range_a, range_b, key, undo)), written)[0])
+
+
 def new_phone(value: Column, key: str, undo: bool) -> Column:
     plain = F.substring(digits(value), -10, 10)
     lead = F.when(F.length(digits(value)) > 10, "1").otherwise("")
@@ -145,20 +204,46 @@ def new_ip(value: Column, key: str, undo: bool) -> Column:
 
 def new_date(value: Column, key: str, undo: bool) -> Column:
     """Null unless it is a day of the calendar in the 400 years."""
-    layout = F.when(F.substring(value, 5, 1) == "-", "yyyy-MM-dd").when(F.substring(value, 3, 1) == "/", "MM/dd/yyyy").otherwise("dd.MM.yyyy")
-    year, month, day = (
-        F.when(layout == "yyyy-MM-dd", F.substring(value, *iso)).when(layout == "MM/dd/yyyy", F.substring(value, *slash)).otherwise(F.substring(value, *dot))
-        for iso, slash, dot in (((1, 4), (7, 4), (7, 4)), ((6, 2), (1, 2), (4, 2)), ((9, 2), (4, 2), (1, 2)))
+    begin = F.lit(FIRST_DAY).cast("date")
+
+    def read(*places: tuple[int, int]) -> Column:
+        date = F.concat_ws("-", *[F.substring(value, *p) for p in places]).try_cast("date")
+        return bound(F.datediff(date, begin), lambda n: F.when((n >= 0) & (n < DAYS_A * DAYS_B), n))
+
+    def turned(at: Column) -> Column:
+        def moved(day: Column) -> Column:
+            pair = feistel("date", F.floor(day / DAYS_B), day % DAYS_B, DAYS_A, DAYS_B, key, undo)
+            return bound(pair, lambda p: (p["a"] * DAYS_B + p["b"]).cast("int"))
+
+        return bound(at, moved)
+
+    def day(at: Column) -> Column:
+        return F.date_add(begin, at)
+
+    def walked(at: Column) -> Column:
+        """The next day in the permutation's cycle that is no month; more than half of all days are none."""
+        no_month = lambda n: F.dayofmonth(day(n)) > 12
+        start = F.struct(at.alias("at"), F.lit(False).alias("done"))
+        state = F.aggregate(
+            F.sequence(F.lit(1), F.lit(WALK)),
+            start,
+            lambda s, _: F.when(s["done"], s).otherwise(bound(turned(s["at"]), lambda n: F.struct(n.alias("at"), no_month(n).alias("done")))),
+        )
+        return bound(state, lambda s: F.when(s["done"], s["at"]))
+
+    year_first, month_first, day_first = ((1, 4), (6, 2), (9, 2)), ((7, 4), (1, 2), (4, 2)), ((7, 4), (4, 2), (1, 2))
+    slashes = F.substring(value, 3, 1) == "/"
+    turned_days = bound(
+        F.when(slashes, read(*month_first)).when(F.substring(value, 3, 1) == ".", read(*day_first)).otherwise(read(*year_first)),
+        lambda at: bound(
+            day(turned(at)),
+            lambda new: F.when(slashes, F.date_format(new, "MM/dd/yyyy"))
+            .when(F.substring(value, 3, 1) == ".", F.date_format(new, "dd.MM.yyyy"))
+            .when(F.substring(value, 5, 1) == "/", F.date_format(new, "yyyy/MM/dd"))
+            .otherwise(F.date_format(new, "yyyy-MM-dd")),
+        ),
     )
-    date = F.concat_ws("-", year, month, day).try_cast("date")
-    at = F.datediff(date, F.lit(FIRST_DAY).cast("date"))
-    pair = feistel("date", F.floor(at / DAYS_B), at % DAYS_B, DAYS_A, DAYS_B, key, undo)
-
-    def written(p: Column) -> Column:
-        new = F.date_add(F.lit(FIRST_DAY).cast("date"), (p["a"] * DAYS_B + p["b"]).cast("int"))
-        return F.when(layout == "yyyy-MM-dd", F.date_format(new, "yyyy-MM-dd")).when(layout == "MM/dd/yyyy", F.date_format(new, "MM/dd/yyyy")).otherwise(F.date_format(new, "dd.MM.yyyy"))
-
-    return F.when(date.isNotNull() & (at >= 0) & (at < DAYS_A * DAYS_B), F.transform(F.array(pair), written)[0])
+    return F.coalesce(turned_days, F.when(slashes & (F.substring(value, 1, 2) > "12"), F.date_format(day(walked(read(*day_first))), "dd/MM/yyyy")))
 
 
 def new_email(value: Column, key: str, undo: bool) -> Column:
@@ -168,7 +253,17 @@ def new_email(value: Column, key: str, undo: bool) -> Column:
     return F.concat(F.lit("u"), F.substring(hashed, 1, 16), F.lit("@mail.invalid"))
 
 
-WRITERS = {"email": new_email, "ip": new_ip, "date": new_date, "ssn": new_ssn, "phone": new_phone, "card": new_card}
+WRITERS = {
+    "email": new_email,
+    "ip": new_ip,
+    "date": new_date,
+    "ssn": new_ssn,
+    "cards": new_cards,
+    "intl": new_international,
+    "phone": new_phone,
+    "phone10": new_phone,
+    "card": new_card,
+}
 
 
 def replaced(value: Column, key: str, undo: bool) -> Column:
@@ -181,7 +276,10 @@ def replaced(value: Column, key: str, undo: bool) -> Column:
         out = F.lit(None).cast("string")
         for name, writer in WRITERS.items():
             out = F.when(k == name, writer(value, key, undo)).otherwise(out)
-        return F.transform(F.array(out), lambda new: F.struct(F.when(new.isNotNull(), k).alias("kind"), F.coalesce(new, value).alias("text")))[0]
+        named = k
+        for layout, name in NAMES.items():
+            named = F.when(k == layout, name).otherwise(named)
+        return F.transform(F.array(out), lambda new: F.struct(F.when(new.isNotNull(), named).alias("kind"), F.coalesce(new, value).alias("text")))[0]
 
     return F.transform(F.array(kind), written)[0]
 

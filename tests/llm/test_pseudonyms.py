@@ -73,6 +73,60 @@ def test_invalid_values_and_odd_texts_stay(spark):
     assert all(k == [] for _, k in run(spark, texts))
 
 
+def test_values_beside_each_other(spark):
+    """A neighbour neither hides a value nor changes its pseudonym."""
+    card, grouped, phone, ip = "4111111111111111", "4111 1111 1111 1111", "555-123-4567", "144.137.247.239"
+    alone = {v: run(spark, [v])[0][0] for v in (card, grouped, phone, ip)}
+    texts = [f"{card} 123", f"order 12 {grouped}", f"{grouped} 123", f"{grouped} {phone}", f"{card} {ip}", f"{grouped} {ip}", f"{card} {phone} {ip}", f"1234 {grouped}", f"{grouped} {grouped}"]
+    new = run(spark, texts)
+    for text, (got, _) in zip(texts, new, strict=True):
+        want = text
+        for value, pseudonym in alone.items():
+            want = want.replace(value, pseudonym)
+        assert got == want and all(v not in got for v in alone)
+    assert [t for t, _ in run(spark, [t for t, _ in new[:7]], undo=True)] == texts[:7]
+    assert alone[grouped].replace(" ", "") == alone[card]
+
+
+def test_more_layouts_and_their_links(spark):
+    values = ["25/12/1999", "31/01/2000", "29/02/2000", "1999/12/25", "5551234567", "(555)1234567", "(555) 1234567", "+15551234567", "+44 20 7946 0958", "+442079460958", "+49 (0)30 901820"]
+    values += ["3782 822463 10005", "3056-930902-5904", "4111-1111-1111-1111-110"]
+    got = run(spark, values)
+    assert all(len(k) == 1 and t != v for v, (t, k) in zip(values, got, strict=True))
+    new = [t for t, _ in got]
+    assert [t for t, _ in run(spark, new, undo=True)] == values
+    for v, t in zip(values, new, strict=True):
+        assert re.sub("[0-9]", "0", v) == re.sub("[0-9]", "0", t)
+    assert int(new[0][:2]) > 12 and new[3].replace("/", "-") == run(spark, ["1999-12-25"])[0][0]
+    bare = [re.sub("[^0-9]", "", t) for t in new]
+    assert bare[4] == bare[5] == bare[6] == bare[7][1:] and bare[8] == bare[9] and new[8][:3] == "+44"
+
+
+def test_all_days_behind_the_twelfth_are_permuted_among_each_other(spark):
+    import datetime
+
+    days = [datetime.date(1800, 1, 1) + datetime.timedelta(d) for d in range(0, 146097, 37)]
+    values = [d.strftime("%d/%m/%Y") for d in days if d.day > 12]
+    new = [t for t, _ in run(spark, values)]
+    assert len(set(new)) == len(values) and all(int(t[:2]) > 12 for t in new)
+    assert [t for t, _ in run(spark, new, undo=True)] == values
+
+
+def test_numbers_that_are_no_phone(spark):
+    texts = ["3.5551234567", "id-5551234567", "5551234567.25", "x5551234567", "1551234567", "55512345678"]
+    assert [t for t, _ in run(spark, texts)] == texts
+
+
+def test_long_runs_take_linear_time(spark):
+    import time
+
+    run(spark, ["a@b.cc"])
+    start = time.time()
+    texts = ["a" * 1_000_000, "x@" + "a" * 1_000_000, "1" * 1_000_000, "a@" * 300_000, "1 " * 300_000, "1234 " * 2_000 + "x", "a.b-" * 250_000]
+    assert [len(t) for t, _ in run(spark, texts)] == [len(t) for t in texts]
+    assert time.time() - start < 60
+
+
 def test_mails_are_linked_and_long_texts_whole(spark):
     long = "Ann a.b@x.example.com " + "word " * 100_000 + "A.B@x.example.com."
     (text, kinds), (again, _) = run(spark, [long, "a.b@x.example.com"])

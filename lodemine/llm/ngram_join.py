@@ -8,7 +8,7 @@ frequent come last, by rising frequency; the others are ordered by hash. The ord
 2. Two similar sets share an n-gram among the first n - ceil(t n) + 1 of each (the prefix). Prefix rows meet by n-gram.
    In each such group every member is paired with one hub, the member with the fewest infrequent n-grams; that
    is one row per prefix row, however large the group. Pairs whose prefixes rule out the threshold are dropped.
-3. For the pairs that remain, sets are cut into fragments of the global order. Segments of one hub and one fragment
+3. For the pairs that remain, sets are cut into fragments of the global order, at places of about equal load. Segments of one hub and one fragment
    meet, each overlap is counted separately, and the counts are summed per pair. A hub with many partners is
    repeated, and its partners are spread over the copies.
 4. Links join classes into components. Members that are not in their hub's component are then paired with all members
@@ -17,7 +17,7 @@ frequent come last, by rising frequency; the others are ordered by hash. The ord
    inside a component are never listed.
 
 Defined results: a text with fewer words than an n-gram is its whole word sequence; null, empty and blank texts have an
-empty set and are linked with nothing. Rows that share an id count as one document for reachability. A row without an id links
+empty set and are linked with nothing. Rows that share an id are one document: all their sets are in one component. Ids are of any type that has an order. A row without an id links
 nothing; it takes the component of the rows with an equal set, or null. An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -30,11 +30,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lodemine.llm.common import pack, slices, words
+from lodemine.llm.common import pack, slices
 from lodemine.session import materialize
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+# Sets that a task remembers so as not to send copies again; forgetting some costs rows, not results.
+REMEMBERED = 500_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -140,6 +143,9 @@ class Frequent:
 
 def summarize(docs: DataFrame, doc_id: str, text: str, n: int, held: int) -> DataFrame:
     """(doc_id, size, print) of every row, and, with a null size, (n-gram, count) pairs of each task's summary."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind = rows.schema["doc_id"].dataType
+    id_type = to_arrow_type(kind)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = Frequent(held)
@@ -151,12 +157,11 @@ def summarize(docs: DataFrame, doc_id: str, text: str, n: int, held: int) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.nulls(len(sets), pa.int64())], names=["doc_id", "size", "print", "count"])
         frequent.flush()
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(frequent.keys), pa.int64()), pa.nulls(len(frequent.keys), pa.int32()), pa.array(frequent.keys), pa.array(frequent.counts)],
+            [pa.nulls(len(frequent.keys), id_type), pa.nulls(len(frequent.keys), pa.int32()), pa.array(frequent.keys), pa.array(frequent.counts)],
             names=["doc_id", "size", "print", "count"],
         )
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return materialize(rows.mapInArrow(scan, "doc_id bigint, size int, print bigint, count bigint"))
+    return materialize(rows.mapInArrow(scan, f"doc_id {kind.simpleString()}, size int, print bigint, count bigint"))
 
 
 def ordered(grams: np.ndarray, frequent: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, int]:
@@ -182,6 +187,8 @@ def prefix_rows(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, f
                 key = fingerprint(s), len(s)
                 if not len(s) or key in seen:
                     continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
                 seen.add(key)
                 inorder, rare = ordered(s, keys, ranks)
                 length = prefix_length(len(s), percent)
@@ -222,8 +229,40 @@ def may_link(percent: int):
 PAIR = ["a_print", "a_size", "b_print", "b_size"]
 
 
-def verified(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, pairs: DataFrame, classes: DataFrame, fragments: int, per_copy: int = 250) -> DataFrame:
+def pivots(total: int, keys: np.ndarray, ranks: np.ndarray, counts: np.ndarray, fragments: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the global order is cut into fragments of about equal load: hashes among the infrequent n-grams, then ranks among the frequent ones.
+
+    Infrequent n-grams are ordered by hash, so their load is spread evenly; the frequent ones have their counts.
+    """
+    total = max(total, 1)
+    inorder = np.argsort(ranks)
+    by_rank = np.cumsum(counts[inorder])
+    front = max(total - int(by_rank[-1]), 0) if len(keys) else total
+    goals = [total * k / fragments for k in range(1, fragments)]
+    hashes = [max(-(2**63), min(2**63 - 1, int((g / front - 0.5) * 2**64))) for g in goals if g < front]
+    places = [min(int(np.searchsorted(by_rank, g - front)), len(keys) - 1) for g in goals if g >= front]
+    return np.array(hashes, dtype=np.int64), ranks[inorder][np.array(places, dtype=np.int64)]
+
+
+def fragments_of(grams: np.ndarray, order: tuple[np.ndarray, np.ndarray], cuts: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """The segments of a sorted set in the fragments of the global order, each sorted by hash."""
+    keys, ranks = order
+    if not len(keys):
+        return np.split(grams, np.searchsorted(grams, cuts[0]))
+    at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+    known = keys[at] == grams
+    front = np.split(grams[~known], np.searchsorted(grams[~known], cuts[0]))
+    # Frequent n-grams before the first cut among them are in the last fragment of the infrequent ones.
+    which = np.searchsorted(cuts[1], ranks[at[known]], side="right")
+    back = [grams[known][which == k] for k in range(len(cuts[1]) + 1)]
+    return [*front[:-1], np.sort(np.concatenate([front[-1], back[0]])), *back[1:]]
+
+
+def verified(
+    docs: DataFrame, doc_id: str, text: str, n: int, percent: int, pairs: DataFrame, classes: DataFrame, order: tuple, cuts: tuple, per_copy: int = 250
+) -> DataFrame:
     """The pairs (a, b) that reach the threshold, with their overlap; ``b`` is the side that meets many partners."""
+    shared = docs.sparkSession.sparkContext.broadcast((order, cuts))
     a, b = ["a_print", "a_size"], ["b_print", "b_size"]
     copies = pairs.groupBy(*b).agg(F.ceil(F.count(F.lit(1)) / per_copy).cast("int").alias("copies"))
     partners = pairs.join(copies, b).select(
@@ -240,19 +279,18 @@ def verified(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, pair
         .join(classes, ["print", "size"])
         .select(F.col("class").alias("doc_id"), "print", "size", "places")
     )
-    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).join(asked, "doc_id")
-    width = -(-(1 << 64) // fragments)
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(asked, "doc_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["b_print", "b_size", "copy", "fragment", "side", "print", "size", "segment"]
-        bounds = np.asarray([-(1 << 63) + k * width for k in range(1, fragments)], dtype=np.int64)
+        order, cuts = shared.value
         for batch in slices(batches, "text", 1_000_000):
             out: dict[str, list] = {x: [] for x in names}
             sets = ngram_sets(batch.column("text").to_pylist(), n)
             for s, own, size, places in zip(sets, *[batch.column(c).to_pylist() for c in ("print", "size", "places")], strict=True):
                 if len(s) != size or fingerprint(s) != own:
                     continue  # another text under the same id
-                for f, segment in enumerate(np.split(s, np.searchsorted(s, bounds))):
+                for f, segment in enumerate(fragments_of(s, order, cuts)):
                     for place in places:
                         row = (place["b_print"], place["b_size"], place["copy"], f, place["side"], own, size, segment)
                         for x, v in zip(names, row, strict=True):
@@ -323,17 +361,19 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, fragments: int = 4, held: int = 100_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per row of ``docs``.
+def similar_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, fragments: int = 4, held: int = 100_000) -> DataFrame:
+    """(doc_id, size, print, component), one row per row of ``docs``: its set, and the smallest id with a set reachable from it over links of sets.
 
-    Documents are linked when 100 * intersection >= percent * union of their n-gram sets. ``held`` bounds the table of
-    frequent n-grams (numbers and ranks, broadcast).
+    Sets are linked when 100 * intersection >= percent * union. ``component`` is null for empty sets and for those without any id. ``held``
+    bounds the table of frequent n-grams (numbers and ranks, broadcast).
     """
     scanned = summarize(docs, doc_id, text, n, held)
     counted = scanned.where("size IS NULL").groupBy(F.col("print").alias("gram")).agg(F.sum("count").alias("count")).where("count > 1")
     top = counted.orderBy(F.desc("count"), "gram").limit(held).toPandas()
     order = np.argsort(top["gram"].to_numpy(dtype=np.int64))
     frequent = top["gram"].to_numpy(dtype=np.int64)[order], (len(top) - order).astype(np.int32)
+    total = scanned.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    cuts = pivots(total, *frequent, top["count"].to_numpy(dtype=np.int64)[order], fragments)
 
     sizes = scanned.where("size IS NOT NULL")
     classes = materialize(sizes.where("size > 0 AND doc_id IS NOT NULL").groupBy("print", "size").agg(F.min("doc_id").alias("class")))
@@ -350,7 +390,7 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     matched = pairs.select(
         *PAIR, F.size("met").alias("shared"), F.array_max(F.col("met.pos")).alias("a_last"), F.array_max(F.col("met.hub_pos")).alias("b_last")
     ).where(may_link(percent))
-    links = verified(docs, doc_id, text, n, percent, matched.select(*PAIR), classes, fragments)
+    links = verified(docs, doc_id, text, n, percent, matched.select(*PAIR), classes, frequent, cuts)
 
     def ids(pairs: DataFrame) -> DataFrame:
         for side in "ab":
@@ -401,35 +441,63 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     crossing = materialize(crossing.select(*PAIR))
     if not crossing.isEmpty():
         crossing = busier_second(crossing)
-        more = ids(verified(docs, doc_id, text, n, percent, crossing, classes, fragments)).where("a != b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        more = ids(verified(docs, doc_id, text, n, percent, crossing, classes, frequent, cuts)).where("a != b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
         between = more.join(label.select(F.col("id").alias("src"), F.col("component").alias("s")), "src").join(label.select(F.col("id").alias("dst"), F.col("component").alias("d")), "dst")
         joined = components(label.select(F.col("component").alias("id")).distinct(), between.select(F.col("s").alias("src"), F.col("d").alias("dst")))
         label = label.join(joined.select(F.col("id").alias("component"), F.col("component").alias("joined")), "component").select("id", F.col("joined").alias("component"))
     of_class = classes.join(label.withColumnRenamed("id", "class"), "class").select("print", "size", "component")
-    return sizes.join(of_class, ["print", "size"], "left").select(
+    return sizes.join(of_class, ["print", "size"], "left").select("doc_id", "size", "print", "component")
+
+
+def repeated_ids(found: DataFrame) -> DataFrame:
+    """The ids of more than one row with words, stored."""
+    return materialize(found.where("size > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+
+
+def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per row of ``docs``; options as for :func:`similar_sets`."""
+    found = similar_sets(docs, doc_id, text, **options)
+    repeated = repeated_ids(found := materialize(found))
+    if not repeated.isEmpty():
+        # All sets of one id are one document.
+        held = materialize(found.where("size > 0").join(repeated, "doc_id", "left_semi").select("doc_id", "component").distinct())
+        least = held.groupBy("doc_id").agg(F.min("component").alias("src"))
+        edges = held.join(least, "doc_id").select("src", F.col("component").alias("dst")).where("src != dst")
+        joined = components(held.select(F.col("component").alias("id")).distinct(), edges).withColumnRenamed("component", "joined")
+        found = found.join(materialize(joined).withColumnRenamed("id", "component"), "component", "left").withColumn("component", F.coalesce("joined", "component"))
+    return found.select(
         "doc_id",
         F.col("size").cast("bigint").alias("n_shingles"),
         F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
     )
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
-    """One row of each component: that of its smallest id; of rows repeated under that id, one with the least text.
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, **options: int) -> DataFrame:
+    """One row of each component of sets: one with its smallest id, of several the one with the least text.
 
-    Rows without an id all stay, as no document is known to be theirs; so do rows without words.
+    A row goes only if its own set is linked to that of a row that stays, so of rows repeated under an id those with other
+    texts stay. Rows without an id all stay, as no document is known to be theirs; so do rows without words.
     """
-    found = materialize(similar_components(docs, doc_id, text, **options))
+    found = materialize(similar_sets(docs, doc_id, text, n=n, **options))
+    repeated = repeated_ids(found)
+    single = found.where("size > 0 AND component != doc_id")
     # Stored, so that the planner knows its size and moves the texts only where the ids are too many to send around.
-    dropped = materialize(found.where("n_shingles > 0 AND component_id != doc_id").select("doc_id").distinct())
-    repeated = materialize(found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
-    rest = docs.join(dropped.withColumnRenamed("doc_id", "_dropped"), F.col(doc_id).cast("bigint") == F.col("_dropped"), "left_anti")
+    dropped = materialize((single if repeated.isEmpty() else single.join(repeated, "doc_id", "left_anti")).select(F.col("doc_id").alias("_dropped")).distinct())
+    rest = docs.join(dropped, F.col(doc_id) == F.col("_dropped"), "left_anti")
     if repeated.isEmpty():
         return rest
-    of_repeated = F.col(doc_id).cast("bigint") == F.col("_repeated")
     again = repeated.withColumnRenamed("doc_id", "_repeated")
-    ranked = rest.join(again, of_repeated, "left_semi").select(
-        pack(rest), F.size(words(F.col(text))).alias("_words"), F.col(doc_id).alias("_id"), F.col(text).alias("_text")
-    )
-    first = F.row_number().over(Window.partitionBy("_id").orderBy(F.col("_words") == 0, "_text"))
-    ranked = ranked.withColumn("_rank", first).where("_rank = 1 OR _words = 0")
-    return rest.join(again, of_repeated, "left_anti").unionByName(ranked.select("row.*"))
+    rows = rest.join(again, F.col(doc_id) == F.col("_repeated"), "left_semi").select(pack(rest), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = ngram_sets(batch.column("text").to_pylist(), n)
+            columns = [pa.array([len(s) for s in sets], pa.int32()), pa.array([fingerprint(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "size", "print"])
+
+    rows = rows.mapInArrow(printed, rows.withColumn("size", F.lit(0)).withColumn("print", F.lit(0).cast("bigint")).schema)
+    of_set = found.where("size > 0 AND doc_id = component").join(repeated, "doc_id", "left_semi").select("doc_id", "size", "print", "component").distinct()
+    # Partial minima come first, so many rows under one id don't meet in one task.
+    first = rows.join(of_set, ["doc_id", "size", "print"]).groupBy("component").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row"))
+    kept = first.select("row").unionByName(rows.where("size = 0").select("row"))
+    return rest.join(again, F.col(doc_id) == F.col("_repeated"), "left_anti").unionByName(kept.select("row.*"))

@@ -29,25 +29,26 @@ def in_year(df: DataFrame, date: str, year: int) -> DataFrame:
 def summary(df: DataFrame, user: str, item: str, date: str, year: int = 2018, k: int = 10) -> DataFrame:
     """One row: row counts, distinct users and items, and the top-k of each as arrays of (key, cnt).
 
-    The rows are read once, into stored counts per (user, item) from which all measures come.
+    The rows are read once: counts per user and per item come from one aggregation over both grouping sets, reduced before the shuffle.
     """
     kind = df.schema[date].dataType.simpleString()
     start, end = (F.lit(str(dt.datetime(y, 1, 1))).cast(kind) for y in (year, year + 1))
     inside = F.count(F.when((F.col(date) >= start) & (F.col(date) < end), 1))
-    counts = materialize(df.groupBy(user, item).agg(F.count(F.lit(1)).alias("cnt"), inside.alias("_in_year")))
+    sets = df.select(user, item, date).groupingSets([[F.col(user)], [F.col(item)]], F.col(user), F.col(item))
+    counts = materialize(sets.agg(F.count(F.lit(1)).alias("cnt"), inside.alias("_in_year"), F.grouping(user).alias("_of_item")))
 
-    def side(key: str, name: str) -> tuple[Column, Column]:
+    def side(key: str, name: str, of_item: int) -> tuple[Column, Column]:
         """Number of non-null keys and the top-k, from one row per key."""
-        per_key = materialize(counts.groupBy(key).agg(F.sum("cnt").alias("cnt")), small=True)
+        per_key = counts.where(F.col("_of_item") == of_item)
         ordered = F.array_sort(F.collect_list(F.struct((-F.col("cnt")).alias("neg"), F.col(key).alias("key"))))
         first = per_key.orderBy(F.desc("cnt"), F.asc(key)).limit(k)
         top = first.agg(F.transform(ordered, lambda x: F.struct(x["key"].alias("key"), (-x["neg"]).alias("cnt"))))
         number = per_key.agg(F.count(F.col(key)))
         return number.scalar().alias(f"n_{name}"), top.scalar().alias(f"top_{name}s")
 
-    n_user, top_users = side(user, "user")
-    n_item, top_items = side(item, "item")
-    totals = counts.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("n_review"), F.coalesce(F.sum("_in_year"), F.lit(0)).alias("n_review_year"))
+    n_user, top_users = side(user, "user", 0)
+    n_item, top_items = side(item, "item", 1)
+    totals = counts.where("_of_item = 0").agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("n_review"), F.coalesce(F.sum("_in_year"), F.lit(0)).alias("n_review_year"))
     return totals.select("n_review", "n_review_year", n_user, top_users, n_item, top_items)
 
 

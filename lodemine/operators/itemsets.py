@@ -6,8 +6,11 @@ length is at most the number of frequent items (rows / support), whatever the ba
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +19,11 @@ from lodemine.operators.skew import ROWS_PER_SPLIT, segment_lines, skew_join
 from lodemine.session import materialize
 
 
+# Items of all candidates together that tasks may hold, and bytes of bitmaps that a task works on at once.
+MAX_BITMAP_ITEMS = 1_000_000
+BITMAP_BYTES = 32_000_000
+
+
 def baskets(df: DataFrame, key: str | Sequence[str], item: str, min_rows: int = 0, count_distinct: bool = False) -> DataFrame:
     """Distinct (basket, item) rows; several key columns are joined by '-'.
 
@@ -86,14 +94,73 @@ def son_candidates(b: DataFrame, support: int, chunks: int = 4, max_k: int | Non
     return out.where(F.col("size") <= max_k) if max_k else out
 
 
-def count_itemsets(b: DataFrame, candidates: DataFrame) -> DataFrame:
+def count_itemsets(b: DataFrame, candidates: DataFrame, most: int = MAX_BITMAP_ITEMS) -> DataFrame:
     """(size, itemset, freq): exact counts of candidate itemsets that are closed under subsets.
 
+    Up to ``most`` items in all candidates together are sent to the tasks, which count by bitmaps; more are counted by walking the candidates.
+    """
+    candidates = materialize(candidates.select("size", "itemset"))
+    total = candidates.agg(F.sum("size")).first()[0]
+    if total is None:
+        return _empty(b)
+    return count_by_bitmaps(b, candidates) if total <= most else count_by_walking(b, candidates)
+
+
+def count_by_bitmaps(b: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(size, itemset, freq) from bitmaps of baskets per item.
+
+    A task turns each Arrow batch of baskets into one bit row per candidate item; the count of an itemset in the batch is the number of
+    bits left when its rows are combined by AND. A task sends one row per candidate it has seen. Candidates travel to the
+    tasks, so their number must be bounded.
+    """
+    wanted = [tuple(r["itemset"]) for r in candidates.select("itemset").collect()]
+    items = sorted({i for w in wanted for i in w})
+    number = {item: at for at, item in enumerate(items)}
+    by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for size in {len(w) for w in wanted}:
+        which = [k for k, w in enumerate(wanted) if len(w) == size]
+        by_size[size] = np.array(which), np.array([[number[i] for i in wanted[k]] for k in which])
+    spark = b.sparkSession
+    shared = spark.sparkContext.broadcast((len(wanted), len(items), by_size))
+    kind = b.schema["item"].dataType.simpleString()
+    # The tables made from the bounded candidates are as bounded.
+    places = F.broadcast(spark.createDataFrame(list(number.items()), f"item {kind}, _at int"))
+    named = F.broadcast(spark.createDataFrame(list(enumerate(map(list, wanted))), f"_k bigint, itemset array<{kind}>"))
+    baskets_of = b.join(places, "item").groupBy("basket").agg(F.collect_set("_at").alias("at")).select("at")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_wanted, n_items, by_size = shared.value
+        rows = max(64, min(10_000, BITMAP_BYTES // n_items))
+        total = np.zeros(n_wanted, dtype=np.int64)
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows):
+                column = whole.slice(start, rows).column("at")
+                n = len(column)
+                held = np.zeros((n_items, n), dtype=bool)
+                held[column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(n), pc.list_value_length(column).to_numpy(zero_copy_only=False))] = True
+                bits = np.packbits(held, axis=1)
+                block = max(1, BITMAP_BYTES // bits.shape[1])
+                for which, places in by_size.values():
+                    for at in range(0, len(which), block):
+                        part = places[at : at + block]
+                        both = bits[part[:, 0]]
+                        for column_of in range(1, part.shape[1]):
+                            both &= bits[part[:, column_of]]
+                        total[which[at : at + block]] += np.bitwise_count(both).sum(axis=1, dtype=np.int64)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["_k", "n"])
+
+    counts = baskets_of.mapInArrow(count, "_k bigint, n bigint").groupBy("_k").agg(F.sum("n").alias("freq"))
+    return counts.join(named, "_k").select(F.size("itemset").alias("size"), "itemset", "freq")
+
+
+def count_by_walking(b: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(size, itemset, freq) for any number of candidates.
+
     Every basket walks the candidates as a prefix tree: a row holds a prefix found in a basket and the basket's
     later items, and is joined with the items that may follow that prefix. Only true occurrences of candidates
     become rows. The counts of one level tell which prefixes of the next join must be split.
     """
-    candidates = materialize(candidates.select("size", "itemset"))
     deepest = candidates.agg(F.max("size")).first()[0]
     if deepest is None:
         return _empty(b)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from lodemine.functions.hashing import POSITION_MUL_1, POSITION_MUL_2, POSITION_PRIME, affine_family
 
 ORACLE: dict[str, str] = {}
@@ -307,6 +309,30 @@ inner_ends AS (SELECT count(*) AS n FROM both_ways JOIN part p ON p.id = src JOI
 degrees AS (SELECT sum(d * d) AS dd FROM (SELECT sum(k) AS d FROM k JOIN part USING (id) GROUP BY c))
 SELECT 1 AS round, (SELECT count(*) FROM scores, top WHERE betweenness >= t) AS n_cut, (SELECT count(DISTINCT c) FROM part) AS n_communities,
        round(n / (2 * m) - dd / (4 * m * m), 6) AS modularity FROM m, inner_ends, degrees"""
+
+
+def _divisive(rounds: int) -> str:
+    """part_{r}(id, c) and q_{r}(q) after each round of cutting all edges of the highest betweenness; left_{r}(src, dst) are the edges left."""
+    parts = [EDGES, "left_0 AS (SELECT src, dst FROM edges)", "k AS (SELECT src AS id, count(*) AS k FROM both_ways GROUP BY 1)", "m AS (SELECT count(*)::DOUBLE AS m FROM edges)"]
+    for r in range(1, rounds + 1):
+        named = re.sub(r"\b(walk|both_ways|vertices|edges|dist|path|sigma|scores)\b", rf"\1_{r}", BETWEENNESS)
+        parts.append(f"""edges_{r} AS MATERIALIZED (SELECT src, dst FROM left_{r - 1}),
+both_ways_{r} AS MATERIALIZED (SELECT src, dst FROM edges_{r} UNION ALL SELECT dst, src FROM edges_{r}),
+vertices_{r} AS MATERIALIZED (SELECT DISTINCT src AS id FROM both_ways_{r}), {named},
+left_{r} AS MATERIALIZED (SELECT src, dst FROM scores_{r} WHERE betweenness < (SELECT max(betweenness) FROM scores_{r}) * (1 - 1e-9)),
+reach_{r}(id, r) AS (SELECT id, id FROM vertices UNION SELECT e.dst, r FROM reach_{r} t JOIN (SELECT src, dst FROM left_{r} UNION ALL SELECT dst, src FROM left_{r}) e ON e.src = t.id),
+part_{r} AS MATERIALIZED (SELECT id, min(r) AS c FROM reach_{r} GROUP BY id),
+q_{r} AS (SELECT (SELECT count(*) FROM both_ways JOIN part_{r} p ON p.id = src JOIN part_{r} q ON q.id = dst WHERE p.c = q.c) / (2 * m)
+  - (SELECT sum(d * d) FROM (SELECT sum(k) AS d FROM k JOIN part_{r} USING (id) GROUP BY c)) / (4 * m * m) AS q FROM m WHERE EXISTS (SELECT 1 FROM edges_{r}))""")
+    return "WITH RECURSIVE " + ",\n".join(parts)
+
+
+_ROUNDS = 24
+_QS = " UNION ALL ".join(f"SELECT {r} AS r, q FROM q_{r}" for r in range(1, _ROUNDS + 1))
+_PARTS = " UNION ALL ".join(f"SELECT {r} AS r, id, c FROM part_{r}" for r in range(1, _ROUNDS + 1))
+ORACLE["girvan_newman"] = f"""{_divisive(_ROUNDS)}, best AS (SELECT r FROM ({_QS}) ORDER BY round(q, 12) DESC, r LIMIT 1),
+found AS (SELECT id, c FROM ({_PARTS}) JOIN best USING (r))
+SELECT count(*) OVER (PARTITION BY c) AS size, c AS community, id FROM found"""
 ORACLE["modularity"] = f"""
 WITH {EDGES}, k AS (SELECT src AS id, count(*) AS k FROM both_ways GROUP BY 1), m AS (SELECT count(*) AS m FROM edges)
 SELECT round((SELECT sum(CASE WHEN e.src IS NULL THEN 0 ELSE 1 END - a.k * c.k / (2 * m)) FROM k a JOIN k c ON a.id % 3 = c.id % 3

@@ -417,7 +417,7 @@ def girvan_newman(spark, folder):
 def girvan_newman_round(spark, folder):
     """The first round: edges cut, communities left, modularity."""
     rounds = graph.girvan_newman(_edges(spark, folder), max_rounds=1).rounds
-    return rounds.withColumn("modularity", r6("modularity"))
+    return rounds.select("round", "n_cut", "n_communities", r6("modularity").alias("modularity"))
 
 
 # --- chunked clustering ----------------------------------------------------------------------------------------

@@ -80,3 +80,19 @@ def test_report_lines(spark):
     rows = itemsets.itemset_lines({"Candidates": df, "Frequent Itemsets": df.where("size = 1")}).collect()
     assert [(r.section, r.size, r.line) for r in rows] == [
         ("Candidates", 1, "('a'),('b')"), ("Candidates", 2, "('a', 'b')"), ("Frequent Itemsets", 1, "('a'),('b')")]
+
+
+def test_bitmaps_and_walk_count_alike(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = sorted({(b, rng.choice("abcdefgh")) for b in range(300) for _ in range(rng.randrange(1, 6))})
+    b = spark.createDataFrame([*rows, (1000, None)], "basket long, item string").repartition(3)
+    sets = [s for k in (1, 2, 3) for s in combinations("abcdefg", k)] + [("h",), ("zz",)]
+    candidates = spark.createDataFrame([(len(s), list(s)) for s in sets], "size int, itemset array<string>")
+    held = {}
+    for basket, item in rows:
+        held.setdefault(basket, set()).add(item)
+    want = {s: n for s in sets if (n := sum(set(s) <= items for items in held.values()))}
+    monkeypatch.setattr(itemsets, "BITMAP_BYTES", 900)  # several blocks of baskets and candidates
+    for counted in (itemsets.count_by_bitmaps(b, candidates), itemsets.count_by_walking(b, candidates)):
+        assert {tuple(r["itemset"]): r["freq"] for r in counted.collect()} == want
+    assert itemsets.count_itemsets(b, candidates.limit(0)).count() == 0

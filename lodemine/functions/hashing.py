@@ -51,6 +51,11 @@ def string_residue(text: Column, modulus: int) -> Column:
     return F.when(text.isNull(), None).when(F.length(digits) == 0, F.lit(0).cast("bigint")).otherwise(folded)
 
 
+def text_number(text: Column) -> Column:
+    """A number in [0, 2**31-1) from the first 32 bits of the MD5 of a text."""
+    return F.conv(F.substring(F.md5(F.encode(text, "UTF-8")), 1, 8), 16, 10).cast("bigint") % F.lit(POSITION_PRIME).cast("bigint")
+
+
 def affine(x: Column, a: Column, b: Column, modulus: int) -> Column:
     return (a * x + b) % F.lit(modulus).cast("bigint")
 

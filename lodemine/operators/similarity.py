@@ -6,19 +6,19 @@ every join. Results name representatives; :func:`expand_pairs` lists the pairs o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodemine.functions.hashing import affine_family
+from lodemine.functions.hashing import affine_family, text_number
 from lodemine.operators.overlap import CROWDED, PAIR_SPLIT, PairRule, candidate_pairs, common_counts, first_keys, rare_first
-from lodemine.operators.skew import hot_keys, positions, skew_join
+from lodemine.operators.skew import hot_keys, skew_join
 from lodemine.session import materialize
 
 
-# Hash functions whose minima share one aggregation row: few enough for compiled code, many enough to save rows.
-HASHES_PER_PART = 10
-
-
 def words(docs: DataFrame, id: str, text: str) -> DataFrame:
     """(id, word): the distinct lower-case words of the whole text; ids are unique, so rows are distinct without a shuffle."""
     return docs.select(id, F.explode(F.array_distinct(F.split(F.lower(text), "[ \\t\\n\\r\\f]+"))).alias("word")).where("word <> ''")
@@ -49,56 +49,46 @@ def distinct_sets(sets: DataFrame, groups: DataFrame, id: str, elem: str) -> Dat
     return skew_join(sets.select(id, elem), reps, id, "left_semi")
 
 
-def element_index(sets: DataFrame, elem: str) -> DataFrame:
-    """(elem, idx): dense 0-based index of the sorted distinct elements."""
-    return positions(sets.select(elem).distinct(), [], [elem], name="_at").select(elem, (F.col("_at") - 1).alias("idx"))
-
-
 def indexed(sets: DataFrame, id: str, elem: str) -> DataFrame:
-    """(id, idx) rows; an integer element is its own index."""
+    """(id, idx) rows; an integer element is its own index, another one's is a hash of its text, without any table of elements."""
     if sets.schema[elem].dataType.simpleString() in ("int", "bigint"):
         return sets.select(id, F.col(elem).cast("bigint").alias("idx"))
-    return skew_join(sets.select(id, elem), element_index(sets, elem), elem).select(id, "idx")
-
-
-def minhash(sets: DataFrame, id: str, elem: str, n_hash: int = 80, modulus: int = 10000, seed: int = 80) -> DataFrame:
-    """(id, hash_no, min_hash): the minimum of (a * index + b) mod ``modulus`` per item and hash function."""
-    parts = signature_parts(sets, id, elem, n_hash, modulus, seed)
-    return parts.select(id, "part", F.posexplode("minima").alias("_at", "min_hash")).select(
-        id, (F.col("part") * HASHES_PER_PART + F.col("_at")).alias("hash_no"), "min_hash"
-    )
+    return sets.select(id, text_number(F.col(elem).cast("string")).alias("idx"))
 
 
-def signature_parts(sets: DataFrame, id: str, elem: str, n_hash: int = 80, modulus: int = 10000, seed: int = 80) -> DataFrame:
-    """(id, part, minima[]): minima of HASHES_PER_PART hash functions per row.
+def partial_minima(sets: DataFrame, id: str, elem: str, n_hash: int, modulus: int, seed: int) -> DataFrame:
+    """(id, minima[]): all hash minima of each stretch of rows of one item within an Arrow batch.
 
-    Each (item, index) row is repeated once per part and updates that part's minima in one aggregation. Hash values
-    depend on the index modulo ``modulus`` only, and minima merge, so map-side combining shrinks an item, however
-    large, to one row per part and task before the shuffle.
+    Rows of an item that lie together become one row before anything is shuffled; minima of several rows of an item merge.
     """
     family = affine_family(n_hash, seed, modulus + 1, modulus)
-    numbers = range(HASHES_PER_PART)
+    a, b = (np.array([row[k] for row in family], dtype=np.int64)[:, None] for k in (1, 2))
+    rows = indexed(sets, id, elem).select(id, F.pmod("idx", F.lit(modulus)).alias("_x"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("_x").to_numpy(zero_copy_only=False)
+            if not len(x):
+                continue
+            ids = batch.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            minima = np.minimum.reduceat((a * x + b) % modulus, starts, axis=1).T
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1) * n_hash, pa.int32()), pa.array(minima.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(starts)), lists], names=[id, "minima"])
 
-    def part(start: int) -> Column:
-        rows = family[start : start + HASHES_PER_PART]
-        rows += [rows[-1]] * (HASHES_PER_PART - len(rows))
-        a = [F.lit(r[1]).cast("bigint").alias(f"a{i}") for i, r in enumerate(rows)]
-        b = [F.lit(r[2]).cast("bigint").alias(f"b{i}") for i, r in enumerate(rows)]
-        return F.struct(F.lit(start // HASHES_PER_PART).alias("part"), *a, *b)
+    return rows.mapInArrow(work, f"`{id}` {rows.schema[id].dataType.simpleString()}, minima array<bigint>")
 
-    parts = F.array(*[part(start) for start in range(0, n_hash, HASHES_PER_PART)])
-    rows = indexed(sets, id, elem).select(id, (F.col("idx") % modulus).alias("_x"), F.explode(parts).alias("_h"))
-    minima = [F.min((F.col("_x") * F.col(f"_h.a{i}") + F.col(f"_h.b{i}")) % modulus).alias(f"m{i}") for i in numbers]
-    grouped = rows.groupBy(id, F.col("_h.part").alias("part")).agg(*minima)
-    used = F.least(F.lit(HASHES_PER_PART), F.lit(n_hash) - F.col("part") * HASHES_PER_PART)
-    return grouped.select(id, "part", F.slice(F.array(*[f"m{i}" for i in numbers]), F.lit(1), used).alias("minima"))
+
+def minhash(sets: DataFrame, id: str, elem: str, n_hash: int = 80, modulus: int = 10000, seed: int = 80) -> DataFrame:
+    """(id, hash_no, min_hash): the minimum of (a * index + b) mod ``modulus`` per item and hash function."""
+    parts = partial_minima(sets, id, elem, n_hash, modulus, seed).select(id, F.posexplode("minima").alias("hash_no", "min_hash"))
+    return parts.groupBy(id, "hash_no").agg(F.min("min_hash").alias("min_hash"))
 
 
 def signature(sets: DataFrame, id: str, elem: str, n_hash: int = 80, modulus: int = 10000, seed: int = 80) -> DataFrame:
     """(id, sig): all ``n_hash`` minima of an item in one array."""
-    parts = signature_parts(sets, id, elem, n_hash, modulus, seed)
-    ordered = F.array_sort(F.collect_list(F.struct("part", "minima")))
-    return parts.groupBy(id).agg(ordered.alias("_p")).select(id, F.flatten("_p.minima").alias("sig"))
+    minima = [F.min(F.get("minima", F.lit(j))).alias(f"m{j}") for j in range(n_hash)]
+    return partial_minima(sets, id, elem, n_hash, modulus, seed).groupBy(id).agg(*minima).select(id, F.array(*[f"m{j}" for j in range(n_hash)]).alias("sig"))
 
 
 def bands(sig: DataFrame, id: str, n_hash: int, n_bands: int) -> DataFrame:
@@ -157,7 +147,6 @@ def lsh_pairs(
     """
     groups = materialize(set_groups(sets, id, elem)) if groups is None else groups
     reps = distinct_sets(sets, groups, id, elem)
-    # The index must span all elements of the given sets; representatives carry every one of them.
     ranked = rare_first(reps, id, elem)
     in_bands = bands(signature(reps, id, elem, n_hash, modulus, seed), id, n_hash, n_bands)
     keys = in_bands.select(F.xxhash64("band", "bucket").alias("key"), F.col(id).alias("id"))

@@ -489,8 +489,8 @@ def _residue(modulus: int) -> str:
     )
 
 
-BLOOM = f"""{EVENT_STREAM}, {_residue(499)}, {_family(2, 11)},
-bits AS (SELECT seq, id, (a * x + b) % 499 AS bit FROM s JOIN res USING (id), fam),
+BLOOM = f"""{EVENT_STREAM}, {_residue(69997)}, {_family(2, 11)},
+bits AS (SELECT seq, id, (a * x + b) % 69997 AS bit FROM s JOIN res USING (id), fam),
 firsts AS (SELECT bit, min(seq) AS f FROM bits GROUP BY bit),
 seen AS (SELECT seq, id, bool_or(f = seq) AS is_new FROM bits JOIN firsts USING (bit) GROUP BY seq, id)"""
 ORACLE["bloom_seen"] = f"WITH {BLOOM} SELECT seq, id, is_new FROM seen"

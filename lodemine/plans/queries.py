@@ -18,7 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
 YEAR = 1998
-BLOOM_BITS, BLOOM_HASHES = 499, 2
+BLOOM_BITS, BLOOM_HASHES = 69_997, 2
 BATCH = 1000
 STREAM_FILES = 4
 SON_CHUNKS = 4

@@ -142,12 +142,17 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_
     return fit(table.where("_learn").join(known, "doc_id"), "_label"), table
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_good(
+    docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.7, doc_id: str = "doc_id", text: str = "text", most_labelled: int = 50_000
+) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``.
 
-    The fit needs the statistics of rows that teach only, so those are looked for first; then all rows are scored in one pass.
+    The fit takes the rows of at most ``most_labelled`` labelled ids, those of the least hash, which are few enough to be sent around: no
+    text moves, and statistics are computed for these rows only. Then all rows are scored in one pass.
     """
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_label")).where("_label IN (0, 1)")
-    teaching = docs.where(learn).select(F.col(doc_id).alias("_id"), F.col(text).alias("_of")).join(known.select("_id").distinct(), "_id", "left_semi")
-    model = fit(statistics(teaching, "_of", [F.col("_id")]).join(known, "_id"), "_label")
+    ids = materialize(known.select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(most_labelled))
+    teaching = docs.where(learn).select(F.col(doc_id).alias("_id"), F.col(text).alias("_of")).join(F.broadcast(ids), "_id", "left_semi")
+    told = known.join(F.broadcast(ids), "_id", "left_semi")
+    model = fit(statistics(teaching, "_of", [F.col("_id")]).join(told, "_id"), "_label")
     return statistics(docs, text, [pack(docs)]).where(model.score() >= threshold).select("row.*")

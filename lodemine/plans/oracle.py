@@ -541,3 +541,26 @@ SELECT (batch + 1) * 1000 AS seqnum, max(id) FILTER (WHERE slot = 0) AS id_0, ma
 FROM c GROUP BY batch"""
 ORACLE["stream_event_windows"] = """
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, count(*)::BIGINT AS n FROM events GROUP BY 1"""
+
+# --- files -----------------------------------------------------------------------------------------------------
+
+ORACLE["entity_files"] = f"""WITH {REVIEWS}, {CITIES}
+SELECT usr::VARCHAR AS user_id, item::VARCHAR AS business_id, stars, strftime(dt, '%Y-%m-%d') AS date, city, state, categories FROM reviews JOIN cities USING (item)"""
+ORACLE["rating_files"] = f'WITH {REVIEWS} SELECT usr::VARCHAR AS "user", item::VARCHAR AS item, stars AS rating FROM reviews'
+ORACLE["retail_files"] = """SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, o_custkey::VARCHAR AS customer, l_suppkey AS product
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+ORACLE["point_files"] = """SELECT vec_id AS id, label::BIGINT AS truth, unnest(range(len(embedding)))::INT AS axis, unnest(embedding)::DOUBLE AS x FROM embeddings"""
+ORACLE["report_file"] = ORACLE["review_summary"]
+WRITTEN_ORDERS = """o AS (SELECT o_orderkey AS id, o_custkey AS customer, o_orderstatus AS status, o_orderpriority LIKE '1%' AS urgent, o_orderstatus = 'P' AS cut FROM orders),
+bad AS (SELECT * FROM o WHERE urgent OR cut),
+t AS (SELECT *, CASE WHEN urgent THEN '"n/a"' ELSE customer::VARCHAR END AS c FROM bad)"""
+ORACLE["rejected_lines"] = f"""WITH {WRITTEN_ORDERS}
+SELECT '{{"id":' || id || ',"customer":' || c || ',"status":"' || status || CASE WHEN cut THEN '' ELSE '"}}' END AS line,
+       CASE WHEN cut THEN 'not json' ELSE 'wrong type' END AS reason, 'json' AS shape FROM t
+UNION ALL SELECT id || ',' || c || CASE WHEN cut THEN '' ELSE ',"' || status || '"' END, CASE WHEN cut THEN 'field count' ELSE 'wrong type' END, 'csv' FROM t"""
+ORACLE["accepted_lines"] = f"""WITH {WRITTEN_ORDERS}
+SELECT id, customer, status, shape FROM o, (VALUES ('json'), ('csv')) s(shape) WHERE NOT urgent AND NOT cut"""
+ORACLE["reject_counts"] = f"""WITH {WRITTEN_ORDERS}
+SELECT shape, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE urgent OR cut)::BIGINT AS n_rejected FROM o, (VALUES ('json'), ('csv')) s(shape) GROUP BY shape"""
+ORACLE["bfr_label_lines"] = f"{CLUSTERED} SELECT id || ',' || cluster AS line FROM ({LABELS})"
+ORACLE["bfr_round_lines"] = f"""{ORACLE["bfr_rounds"].replace(_COUNTS, "SELECT 'Round ' || round || ': ' || n_ds || ',' || n_cs_clusters || ',' || n_cs || ',' || n_rs AS line FROM (" + _COUNTS)})"""

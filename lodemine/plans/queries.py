@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodemine.operators import bfr, explore, graph, itemsets, recommend, similarity, sketches
 from lodemine.plans import views
 from lodemine.session import materialize, scratch_path
-from lodemine.sources import sinks
+from lodemine.sources import checked, readers, sinks
 from lodemine.sources.readers import table
 from lodemine.streaming import sketches as live
 
@@ -563,3 +563,110 @@ def stream_event_windows(spark, folder):
 @register
 def betweenness_report(spark, folder):
     return sinks.betweenness_lines(graph.edge_betweenness(_edges(spark, folder)))
+
+
+# --- files: a table written in each input shape, and read back ---------------------------------------------------
+
+
+def _written_reviews(spark, folder):
+    r = views.reviews(spark, folder)
+    fields = [("user", "user_id", "string"), ("item", "business_id", "string"), ("stars", "stars", "double")]
+    return r.select(*[F.col(c).cast(kind).alias(name) for c, name, kind in fields], F.date_format("date", "yyyy-MM-dd").alias("date"))
+
+
+@register
+def entity_files(spark, folder):
+    """Reviews joined to their businesses, both read from an entity folder of JSON lines."""
+    path = scratch_path(spark, "entities")
+    _written_reviews(spark, folder).write.json(f"{path}/review.json")
+    places = views.cities(spark, folder).select(F.col("item").cast("string").alias("business_id"), "city", "state", "categories")
+    places.write.json(f"{path}/business.json")
+    review, business = readers.entity_folder(spark, path, "review"), readers.entity_folder(spark, path, "business")
+    return review.drop("review_id").join(business.select("business_id", "city", "state", "categories"), "business_id")
+
+
+@register
+def rating_files(spark, folder):
+    """Ratings through a CSV file with header."""
+    path = scratch_path(spark, "ratings")
+    sinks.write_csv(_written_reviews(spark, folder).select("user_id", "business_id", "stars"), path)
+    return readers.ratings_folder(spark, path)
+
+
+@register
+def retail_files(spark, folder):
+    """Transactions through a CSV file with seven columns, all of them in quotes."""
+    path = scratch_path(spark, "retail")
+    blank = [F.lit("").alias(c) for c in ("AGE_GROUP", "PIN_CODE", "PRODUCT_SUBCLASS")]
+    rows = views.retail_rows(spark, folder)
+    wide = rows.select(F.col("day").alias("DATE"), F.col("customer").alias("CUSTOMER_ID"), *blank, F.col("product").alias("PRODUCT_ID"), F.lit(1).alias("AMOUNT"))
+    wide.write.option("header", True).option("quoteAll", True).csv(path)
+    return readers.retail_transactions(spark, path)
+
+
+@register
+def point_files(spark, folder):
+    """Points through lines without header; every coordinate must come back as it was."""
+    path = scratch_path(spark, "points")
+    sinks.write_lines(views.points(spark, folder).select(F.concat_ws(",", "id", "truth", F.col("features").cast("array<string>")).alias("line")), path)
+    back = readers.numeric_points(spark, path)
+    return back.select("id", "truth", F.posexplode("features").alias("axis", "x"))
+
+
+@register
+def report_file(spark, folder):
+    """The review summary through its JSON document."""
+    path = scratch_path(spark, "report")
+    report = review_summary(spark, folder)
+    sinks.write_report(report, path)
+    return readers.json_lines(spark, path, ", ".join(f"{name} {kind}" for name, kind in report.dtypes))
+
+
+def _damaged_orders(spark, folder):
+    """Orders as JSON lines and as CSV lines; those in progress lose their end, urgent ones have text for the customer."""
+    o = table(spark, folder, "orders")
+    customer = F.when(F.col("o_orderpriority").startswith("1"), F.lit('"n/a"')).otherwise(F.col("o_custkey").cast("string"))
+    json = F.format_string('{"id":%d,"customer":%s,"status":"%s"}', "o_orderkey", customer, "o_orderstatus")
+    csv = F.format_string('%d,%s,"%s"', "o_orderkey", customer, "o_orderstatus")
+    cut = F.col("o_orderstatus") == "P"
+    written = []
+    for name, line, end in (("json", json, 2), ("csv", csv, 4)):
+        path = scratch_path(spark, name)
+        sinks.write_lines(o.select(F.when(cut, F.substring(line, F.lit(1), F.length(line) - end)).otherwise(line).alias("line")), path)
+        written.append(path)
+    return written
+
+
+def _of_both(spark, folder, part):
+    json, csv = _damaged_orders(spark, folder)
+    schema = "id bigint, customer bigint, status string"
+    both = checked.json_lines(spark, json, schema), checked.csv_lines(spark, csv, schema, header=False)
+    shapes = [part(c).withColumn("shape", F.lit(name)) for name, c in zip(("json", "csv"), both, strict=True)]
+    return shapes[0].unionByName(shapes[1])
+
+
+@register
+def rejected_lines(spark, folder):
+    return _of_both(spark, folder, lambda c: c.rejects().select("line", "reason"))
+
+
+@register
+def accepted_lines(spark, folder):
+    return _of_both(spark, folder, lambda c: c.good())
+
+
+@register
+def reject_counts(spark, folder):
+    """Lines and rejects over all files of each shape."""
+    counts = _of_both(spark, folder, lambda c: c.counts())
+    return counts.groupBy("shape").agg(F.sum("n_lines").alias("n_lines"), F.sum("n_rejected").alias("n_rejected"))
+
+
+@register
+def bfr_label_lines(spark, folder):
+    return sinks.label_lines(_clustering(spark, folder).labels)
+
+
+@register
+def bfr_round_lines(spark, folder):
+    return sinks.round_lines(_clustering(spark, folder).rounds)

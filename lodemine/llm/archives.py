@@ -7,8 +7,9 @@ For each record it makes a WARC record: the id is a UUID derived from file name,
 computed. HTTP records whose payload of at least ``least_bytes`` occurs several times become revisits, without the payload, of the one
 with the largest key.
 
-Files are written by Spark's text writer, which writes bytes as they are: the column value is one record without its last line feed. They are
-gzip-compressed as a whole and hold at most ``per_file`` rows, as a file is read as one value (Spark's limit for it is 2 GB).
+Every record is a gzip member of its own, so a record can be read by its offset alone. A task joins members into files of at most ``per_file``
+records and ``per_bytes`` bytes of records (a larger record has a file to itself), so what a task holds of a file, in writing and reading, is bounded
+by these and the largest record. A file is one row for Spark's text writer, which writes bytes as they are.
 
 Defined results: a null html is an empty payload, a null url is ``urn:page:<id>``, blanks and control characters in urls are percent-encoded. A null id
 is left out of the record and read back as null; among equal payloads it counts as the smallest. Repeated rows are records of their own; of those with
@@ -22,7 +23,7 @@ import base64
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -38,11 +39,45 @@ ARC_FIELDS = {
 }
 PAGE_ID = "X-Page-Id"
 CHUNK = 4_000_000
+#: Bytes of records in a file, before compression.
+PER_BYTES = 32_000_000
+#: Bytes decompressed at a time.
+STEP = 65_536
 
 
-def write_lines(lines: DataFrame, path: str, per_file: int) -> None:
-    """Write the binary column ``record``, a line feed after each."""
-    lines.select(F.col("record").cast("string").alias("value")).write.option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+def member(record: bytes, level: int = 3) -> bytes:
+    """A record as gzip members that end with a zero byte: the last one's length is below 16 MB, if need be as it is empty."""
+    made = zlib.compressobj(level, zlib.DEFLATED, 31)
+    out = made.compress(record) + made.flush()
+    return out if out[-1] == 0 else out + member(b"")
+
+
+def archive_files(records: Iterable[bytes], per_file: int, per_bytes: int, opening: Callable[[int], bytes] | None = None) -> Iterator[bytes]:
+    """Contents of files; ``opening`` makes the record that the file of a number begins with, which is not counted."""
+    out: list[bytes] = []
+    n = size = number = 0
+    for record in records:
+        if n and (n == per_file or size + len(record) > per_bytes):
+            yield b"".join(out)
+            out, n, size, number = [], 0, 0, number + 1
+        if not n and opening:
+            out.append(member(opening(number)))
+        out.append(member(record))
+        n += 1
+        size += len(record)
+    if n:
+        yield b"".join(out)
+
+
+def file_batches(contents: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    """A batch per file, without the last byte, which the writer adds as the end of its line."""
+    for content in contents:
+        yield pa.RecordBatch.from_pydict({"content": pa.array([content[:-1]], pa.binary())})
+
+
+def write_files(contents: DataFrame, path: str) -> None:
+    lines = contents.select(F.col("content").cast("string").alias("value"))
+    lines.write.option("maxRecordsPerFile", 1).option("lineSep", "\0").option("compression", "none").text(path)
 
 
 def arc_record(version: int, url: str, stamp: str, content: bytes) -> bytes:
@@ -57,45 +92,46 @@ def arc_version_block(version: int, name: str, stamp: str) -> bytes:
     return f"{line}{' 200 - - 0 ' + name if version == 2 else ''} {len(body)}\n".encode() + body
 
 
-def write_arc(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", stamp: str = "20200101000000", per_file: int = 500) -> None:
+def write_arc(
+    pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", stamp: str = "20200101000000", per_file: int = 500, per_bytes: int = PER_BYTES
+) -> None:
     """Pages as ARC files, each with a version block; tasks with even numbers write version 1, the others version 2."""
     address = F.coalesce(F.col(url), F.concat(F.lit("urn:page:"), F.coalesce(F.col(page_id).cast("string"), F.lit(""))))
     rows = pages.select(F.col(page_id).cast("bigint").alias("id"), address.alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        version, n = 1 + task % 2, 0
-        for batch in batches:
-            out: list[bytes] = []
-            size = 0
-            for page, address, payload in zip(*[batch.column(c).to_pylist() for c in ("id", "url", "payload")], strict=True):
-                if n % per_file == 0:  # the writer begins a file here
-                    out.append(arc_version_block(version, f"pages-{task:06d}-{n // per_file:06d}", stamp))
-                    n += 1
-                safe = "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in address) or "-"
-                head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
-                head += f"{PAGE_ID}: {page}\r\n" if page is not None else ""
-                out.append(arc_record(version, safe, stamp, f"{head}Content-Length: {len(payload)}\r\n\r\n".encode() + payload))
-                n += 1
-                size += len(payload)
-                if size > CHUNK:
-                    yield pa.RecordBatch.from_pydict({"record": pa.array(out, pa.binary())})
-                    out, size = [], 0
-            yield pa.RecordBatch.from_pydict({"record": pa.array(out, pa.binary())})
-
-    write_lines(rows.mapInArrow(write, "record binary"), path, per_file)
+        version = 1 + task % 2
+
+        def records() -> Iterator[bytes]:
+            for batch in batches:
+                for page, address, payload in zip(*[batch.column(c) for c in ("id", "url", "payload")], strict=True):
+                    page, address, payload = page.as_py(), address.as_py(), payload.as_py()
+                    safe = "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in address) or "-"
+                    head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
+                    head += f"{PAGE_ID}: {page}\r\n" if page is not None else ""
+                    yield arc_record(version, safe, stamp, f"{head}Content-Length: {len(payload)}\r\n\r\n".encode() + payload) + b"\n"
+
+        yield from file_batches(archive_files(records(), per_file, per_bytes, lambda k: arc_version_block(version, f"pages-{task:06d}-{k:06d}", stamp) + b"\n"))
+
+    write_files(rows.mapInArrow(write, "content binary"), path)
 
 
 def plain(content: bytes) -> bytes:
     """The content of a file, whether or not it is gzip-compressed, in one or several members."""
     if content[:2] != b"\x1f\x8b":
         return content
-    out = []
-    while content[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(content) + member.flush())
-        content = member.unused_data
-    return b"".join(out)
+    out, opened = [], zlib.decompressobj(31)
+    for at in range(0, len(content), STEP):
+        left = content[at : at + STEP]
+        while left:
+            out.append(opened.decompress(left))
+            left = b""
+            if opened.eof:
+                left, opened = opened.unused_data, zlib.decompressobj(31)
+                if left and left[:1] != b"\x1f":  # something else behind the last member
+                    return b"".join(out)
+    return b"".join([*out, opened.flush()])
 
 
 def arc_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes, bool]]:
@@ -178,7 +214,7 @@ def parsed_records(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(parse, schema)
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = 1000, per_file: int = 500) -> None:
+def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = 1000, per_file: int = 500, per_bytes: int = PER_BYTES) -> None:
     """Convert all ARC files below ``arc_path`` into WARC files in ``warc_path``."""
     records = parsed_records(spark, arc_path)
     # The one record of each repeated payload that stays whole, by digest; only digests met more than once.
@@ -215,8 +251,13 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int
         header("Content-Length", F.octet_length(block)),
         F.lit("\r\n"),
     )
-    lines = joined.select(F.concat(head.cast("binary"), block, F.lit("\r\n\r").cast("binary")).alias("record"))
-    write_lines(lines, warc_path, per_file)
+    made = joined.select(F.concat(head.cast("binary"), block, F.lit("\r\n\r\n").cast("binary")).alias("record"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records = (record.as_py() for batch in batches for record in batch.column("record"))
+        yield from file_batches(archive_files(records, per_file, per_bytes))
+
+    write_files(made.mapInArrow(write, "content binary"), warc_path)
 
 
 def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

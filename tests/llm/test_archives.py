@@ -1,6 +1,8 @@
 import base64
 import gzip
 import hashlib
+import os
+import zlib
 
 from lodemine.llm import archives
 from lodemine.session import scratch_path
@@ -25,10 +27,23 @@ def test_parses_both_versions_by_field_names_and_declared_lengths():
             ("http://c/", "19990101120000", b"0123456", False),
         ]
         assert [data[o:].startswith(f["URL"].encode()) for o, f, _, _ in got] == [True] * 3
-    assert archives.plain(gzip.compress(b"ab") + gzip.compress(b"c")) == b"abc" and archives.plain(b"x") == b"x"
+    assert archives.plain(gzip.compress(b"ab") + gzip.compress(b"c")) == b"abc" and archives.plain(b"x") == b"x" and archives.plain(gzip.compress(b"ab") + b"\n\n") == b"ab"
     assert list(archives.arc_records(b"")) == []
 
 
+def test_files_are_bounded_and_have_a_member_per_record():
+    records = [b"a" * 10, b"b" * 10, b"c" * 25, b"", b"d" * 5, b"e", b"f", os.urandom(1000)]
+    files = list(archives.archive_files(records, per_file=3, per_bytes=30))
+    assert [archives.plain(f) for f in files] == [b"".join(x) for x in (records[:2], records[2:5], records[5:7], records[7:])]
+    assert all(f.endswith(b"\0") for f in files) and list(archives.archive_files([], 3, 30)) == []
+    at = len(archives.member(records[2])) + len(archives.member(records[3]))
+    assert zlib.decompressobj(31).decompress(files[1][at:]) == records[4]  # by its offset alone
+    headed = list(archives.archive_files([b"x", b"y", b"z"], 2, 30, lambda k: b"%d:" % k))
+    assert [archives.plain(f) for f in headed] == [b"0:xy", b"1:z"]
+    huge = b"0123456789abcdef" * (17 << 16)  # its length has a last byte other than zero
+    assert archives.member(huge)[-1] == 0 and archives.plain(archives.member(huge) + archives.member(b"next")) == huge + b"next"
+
+
 def through(spark, pages, per_file=500):
     arc, warc = scratch_path(spark, "arc"), scratch_path(spark, "warc")
     archives.write_arc(pages, arc, per_file=per_file)

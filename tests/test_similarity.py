@@ -7,6 +7,7 @@ import pytest
 from lodemine.functions.hashing import affine_family
 from lodemine.operators import similarity
 from lodemine.operators.overlap import shared_pairs
+from lodemine.plans.queries import REGISTRY
 
 
 def make_sets(seed, n=50):
@@ -93,3 +94,12 @@ def test_shared_pairs_equal_brute_force(spark, at_least, crowded):
     got = {(r.id_1, r.id_2): r.n for r in shared_pairs(frame(spark, sets), "id", "e", at_least, crowded=crowded).collect()}
     want = {(a, b): len(sets[a] & sets[b]) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= at_least}
     assert got == want
+
+
+def test_minhash_signature_ranks_the_words_of_all_documents(spark, tmp_path):
+    texts = {1: "b a", 2: "c B é", 3: None, 4: "z c c a", 5: " "}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.hash_no): r.min_hash for r in REGISTRY["minhash_signature"](spark, str(tmp_path)).collect()}
+    words = {d: set(t.lower().split()) for d, t in texts.items() if t and t.strip()}
+    rank = {w: i for i, w in enumerate(sorted(set().union(*words.values())))}
+    assert got == {(d, j): min((a * rank[w] + b) % 10000 for w in ws) for d, ws in words.items() for j, a, b in affine_family(80, 80, 10001, 10000)}

@@ -12,7 +12,7 @@ frequent come last, by rising frequency; the others are ordered by hash. The ord
    meet, each overlap is counted separately, and the counts are summed per pair. A hub with many partners is
    repeated, and its partners are spread over the copies.
 4. Links join classes into components. Members that are not in their hub's component are then paired with all members
-   of their groups in other components, as far as the places of the n-gram leave a chance, and counted the same way. Every pair of similar documents in
+   of their groups in other components, as far as the overlap of their prefixes leaves a chance, and counted the same way. Every pair of similar documents in
    different components would appear here, so the components are those of the full link graph, though pairs
    inside a component are never listed.
 
@@ -38,6 +38,8 @@ from lodemine.session import materialize
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 # Sets that a task remembers so as not to send copies again; forgetting some costs rows, not results.
 REMEMBERED = 500_000
+# Hashes of ids that are told apart where texts are picked; fewer cost rows, not results.
+FILTER_PLACES = 2**21
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -258,6 +260,16 @@ def fragments_of(grams: np.ndarray, order: tuple[np.ndarray, np.ndarray], cuts:
     return [*front[:-1], np.sort(np.concatenate([front[-1], back[0]])), *back[1:]]
 
 
+def texts_asked(docs: DataFrame, doc_id: str, text: str, asked: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents ``asked`` for, and of others that share a hash with them, which a join on the id drops: only these texts are moved.
+
+    What is sent around are the hashes, at most FILTER_PLACES numbers.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_PLACES)).alias("place")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return rows.select("*", place).join(F.broadcast(asked.select(place).distinct()), "place", "left_semi").drop("place")
+
+
 def verified(
     docs: DataFrame, doc_id: str, text: str, n: int, percent: int, pairs: DataFrame, classes: DataFrame, order: tuple, cuts: tuple, per_copy: int = 250
 ) -> DataFrame:
@@ -272,14 +284,14 @@ def verified(
         F.col("b_print").alias("print"), F.col("b_size").alias("size"), *b, F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("side")
     )
     # A document asks for at most one place per n-gram of its prefix.
-    asked = (
+    asked = materialize(
         partners.unionByName(hubs)
         .groupBy("print", "size")
         .agg(F.collect_list(F.struct("b_print", "b_size", "copy", "side")).alias("places"))
         .join(classes, ["print", "size"])
         .select(F.col("class").alias("doc_id"), "print", "size", "places")
     )
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(asked, "doc_id")
+    texts = texts_asked(docs, doc_id, text, asked).join(asked, "doc_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["b_print", "b_size", "copy", "fragment", "side", "print", "size", "segment"]
@@ -408,36 +420,24 @@ def similar_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     def labelled(rows: DataFrame, side: str) -> DataFrame:
         return rows.join(inside.select(F.col("print").alias(f"{side}_print"), F.col("size").alias(f"{side}_size"), F.col("in").alias(f"{side}_in")), [f"{side}_print", f"{side}_size"])
 
-    apart = labelled(labelled(pairs.select(*PAIR), "a"), "b").where("a_in != b_in")
-    minor = materialize(
-        pairs.join(apart, PAIR)
-        .select("a_print", "a_size", "a_in", F.explode("met").alias("m"))
-        .select(F.col("m.gram").alias("gram"), "a_print", "a_size", "a_in", F.col("m.pos").alias("a_pos"))
-    )
-    met_rows = pairs.select(*PAIR, F.explode("met").alias("m")).withColumn("gram", F.col("m.gram")).join(minor.select("gram").distinct(), "gram", "left_semi")
-    members = met_rows.select("gram", F.col("a_print").alias("b_print"), F.col("a_size").alias("b_size"), F.col("m.pos").alias("b_pos")).unionByName(
-        met_rows.select("gram", "b_print", "b_size", F.col("m.hub_pos").alias("b_pos"))
+    apart = materialize(labelled(labelled(pairs.select(*PAIR), "a"), "b").where("a_in != b_in").select(*PAIR, "a_in"))
+    flagged = pairs.join(apart, PAIR, "left").select(*PAIR, "a_in", F.explode("met").alias("m"))
+    minor = materialize(flagged.where("a_in IS NOT NULL").select(F.col("m.gram").alias("gram"), "a_print", "a_size", "a_in", F.col("m.pos").alias("a_pos")))
+    met_rows = flagged.withColumn("gram", F.col("m.gram")).join(minor.select("gram").distinct(), "gram", "left_semi")
+    members = met_rows.select("gram", F.col("a_print").alias("b_print"), F.col("a_size").alias("b_size"), F.col("m.pos").alias("b_pos"), F.col("a_in").isNotNull().alias("b_minor")).unionByName(
+        met_rows.select("gram", "b_print", "b_size", F.col("m.hub_pos").alias("b_pos"), F.lit(False).alias("b_minor"))
     )
     others = materialize(labelled(members.distinct(), "b"))
-    # A similar pair has all its overlap from its first common n-gram on, in both sets. Where too little follows for any partner
-    # in the group, the row is left out before the join; the pair's own bound is checked in the join.
-    least_sizes = others.groupBy("gram").agg(F.min("b_size").alias("least_size"))
-
-    def in_reach(rows: DataFrame, side: str) -> DataFrame:
-        size = F.col(f"{side}_size")
-        partner = F.greatest(F.col("least_size"), F.ceil(percent * size / 100))
-        return rows.join(least_sizes, "gram").where(size - F.col(f"{side}_pos") >= needed(size, partner, percent)).drop("least_size")
-
+    # Of two sets in different components at least one is outside the hub's, so they meet here under every n-gram that their prefixes
+    # share, and once: the same bound as for the hubs' pairs holds.
     sizes_fit = F.least("a_size", "b_size") * 100 >= percent * F.greatest("a_size", "b_size")
-    rest = F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos"))
-    crossing = in_reach(minor, "a").join(in_reach(others, "b"), "gram")
-    crossing = crossing.where((F.col("a_in") != F.col("b_in")) & sizes_fit & (rest >= needed(F.col("a_size"), F.col("b_size"), percent)))
-    # A pair can be met from either side, in several groups.
-    one, other = F.struct("a_print", "a_size"), F.struct("b_print", "b_size")
-    ends = crossing.select(F.least(one, F.struct(F.col("b_print").alias("a_print"), F.col("b_size").alias("a_size"))).alias("l"),
-                           F.greatest(F.struct(F.col("a_print").alias("b_print"), F.col("a_size").alias("b_size")), other).alias("r"))
+    turn = F.struct("a_print", "a_size") > F.struct(F.col("b_print").alias("a_print"), F.col("b_size").alias("a_size"))
+    crossing = minor.join(others, "gram").where((F.col("a_in") != F.col("b_in")) & sizes_fit & ~(F.col("b_minor") & turn))
+    swap = {"a": "b", "b": "a"}
+    crossing = crossing.select(*[F.when(turn, F.col(swap[c[0]] + c[1:])).otherwise(F.col(c)).alias(c) for c in (*PAIR, "a_pos", "b_pos")])
+    crossing = crossing.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("shared"), F.max("a_pos").alias("a_last"), F.max("b_pos").alias("b_last")).where(may_link(percent))
     turned = matched.select(F.col("b_print").alias("a_print"), F.col("b_size").alias("a_size"), F.col("a_print").alias("b_print"), F.col("a_size").alias("b_size"))
-    crossing = ends.select("l.*", "r.*").distinct().join(matched.select(*PAIR).unionByName(turned), PAIR, "left_anti")
+    crossing = crossing.select(*PAIR).join(matched.select(*PAIR).unionByName(turned), PAIR, "left_anti")
     crossing = materialize(crossing.select(*PAIR))
     if not crossing.isEmpty():
         crossing = busier_second(crossing)

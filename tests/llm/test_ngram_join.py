@@ -141,3 +141,20 @@ def test_frequent_summary_bounds_its_error():
     assert len(known) <= 50
     for k in range(10):
         assert 400 - len(stream) / 50 <= known[k] <= 400
+
+
+def test_only_texts_asked_for_are_moved(spark):
+    rows = [(f"d{i}" if i else None, f"text {i}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "name string, body string").repartition(3)
+    asked = spark.createDataFrame([(f"d{i}",) for i in range(7, 4000, 100)], "doc_id string")
+    found = {(r.doc_id, r.text) for r in ngram_join.texts_asked(docs, "name", "body", asked).collect()}
+    assert {(f"d{i}", f"text {i}") for i in range(7, 4000, 100)} <= found <= set(rows) and len(found) < 100
+    none = ngram_join.texts_asked(docs, "name", "body", asked.limit(0))
+    assert none.count() == 0
+
+
+def test_few_hashes_still_have_all_that_was_asked_for(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FILTER_PLACES", 40)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(500)], "doc_id bigint, text string")
+    found = {r.doc_id for r in ngram_join.texts_asked(docs, "doc_id", "text", docs.where("doc_id % 2 = 0")).collect()}
+    assert found >= set(range(0, 500, 2))

@@ -5,7 +5,7 @@ from itertools import combinations
 import pytest
 
 from lodemine.functions.hashing import affine_family
-from lodemine.operators import similarity
+from lodemine.operators import overlap, similarity
 from lodemine.operators.overlap import shared_pairs
 from lodemine.plans.queries import REGISTRY
 
@@ -68,6 +68,20 @@ def test_lsh_pairs_share_a_band_and_reach_the_threshold(spark, crowded, n_bands,
     assert want
 
 
+@pytest.mark.parametrize("places", [3, 2**21])
+def test_blocks_of_sets_meet_whole(spark, places, monkeypatch):
+    for name, value in (("LEAST_LOAD", 300), ("MOST_LOAD", 300), ("SET_LOAD", 2), ("MOVED_LOAD", 2000), ("COUNTED_PAIRS", 40), ("UNFOLDED_ROWS", 7)):
+        monkeypatch.setattr(overlap, name, value)
+    monkeypatch.setattr(similarity, "COPY_PLACES", places)
+    sets = make_sets(5, 90)
+    r = reps(sets)
+    named = spark.createDataFrame([(f"d{i:03}", f"w{e}") for i, s in sets.items() for e in s], "id string, e string")
+    want = {(f"d{a:03}", f"d{b:03}"): jac(r[a], r[b]) for a, b in combinations(sorted(r), 2) if jac(r[a], r[b]) >= 0.4}
+    assert {(x.item_1, x.item_2): x.similarity for x in similarity.jaccard_pairs(named, "id", "e", 0.4).collect()} == pytest.approx(want)
+    meet = similarity.lsh_pairs(named, "id", "e", n_bands=80, modulus=3, threshold=0.4)  # every bucket is crowded
+    assert {(x.item_1, x.item_2): x.similarity for x in meet.collect()} == pytest.approx(want)
+
+
 def test_expanded_pairs_are_all_pairs_of_items(spark):
     sets = make_sets(3)
     df = frame(spark, sets)

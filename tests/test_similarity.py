@@ -70,7 +70,7 @@ def test_lsh_pairs_share_a_band_and_reach_the_threshold(spark, crowded, n_bands,
 
 @pytest.mark.parametrize("places", [3, 2**21])
 def test_blocks_of_sets_meet_whole(spark, places, monkeypatch):
-    for name, value in (("LEAST_LOAD", 300), ("MOST_LOAD", 300), ("SET_LOAD", 2), ("MOVED_LOAD", 2000), ("COUNTED_PAIRS", 40), ("UNFOLDED_ROWS", 7)):
+    for name, value in (("LEAST_LOAD", 300), ("MOST_LOAD", 300), ("SET_LOAD", 2), ("MOVED_LOAD", 2000), ("COUNTED_PAIRS", 40), ("UNFOLDED_ROWS", 7), ("ROWS_PER_PASS", 400)):
         monkeypatch.setattr(overlap, name, value)
     monkeypatch.setattr(similarity, "COPY_PLACES", places)
     sets = make_sets(5, 90)

@@ -82,6 +82,15 @@ def test_blocks_of_sets_meet_whole(spark, places, monkeypatch):
     assert {(x.item_1, x.item_2): x.similarity for x in meet.collect()} == pytest.approx(want)
 
 
+def test_repeated_rows_need_their_first_common_element_in_reach(spark):
+    # Every row comes twice: sizes are 12, 8 common rows are needed, an element in common makes four, the rarest come first.
+    sets = {1: "abcxyz", 2: "defxyz", 3: "ghrstu", 4: "ijrstu"}
+    rows = [(i, e) for i, s in sets.items() for e in s] * 2
+    groups = spark.createDataFrame([(i, i, 1) for i in sets], "id long, rep long, n_copies long")
+    found = similarity.jaccard_pairs(spark.createDataFrame(rows, "id long, e string"), "id", "e", groups=groups).collect()
+    assert [(x.item_1, x.item_2, x.similarity) for x in found] == [(3, 4, 2.0)]
+
+
 def test_expanded_pairs_are_all_pairs_of_items(spark):
     sets = make_sets(3)
     df = frame(spark, sets)
